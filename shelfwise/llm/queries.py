@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfwise.llm import decontaminate, jaccard, language, packing, quality, rans, repeats, secrets, sharding
+from shelfwise.llm import chat, decontaminate, jaccard, language, packing, quality, rans, repeats, secrets, sharding
 from shelfwise.llm.common import table
 
 #: Bytes of text in a shard: a unit that streaming loaders fetch and shuffle.
@@ -31,6 +31,11 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.deduplicate(table(spark, sf_dir, "documents"))
 
 
+def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """conv_id, turn, part, role, rendered."""
+    return chat.format_conversations(table(spark, sf_dir, "conversations"))
+
+
 def op4_rans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rans.round_trip(table(spark, sf_dir, "documents"), tokenizer(), 1)
 
@@ -62,4 +67,4 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op2_suffix_dedup, op4_rans, op5_quality, op6_secrets, op7_language, op8_decontaminate, op9_jaccard, op10_packing)}
+    return {f.__name__: f for f in (op1_sharding, op2_suffix_dedup, op3_chat, op4_rans, op5_quality, op6_secrets, op7_language, op8_decontaminate, op9_jaccard, op10_packing)}

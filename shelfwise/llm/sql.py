@@ -28,7 +28,7 @@ _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvw
 
 def _sets(table: str, key: str, n: int, name: str) -> str:
     """Distinct n-word shingles of each row's words, a shorter text being one."""
-    words = f"list_filter({_WORDS.format(_LOWER)}, x -> x <> '')"
+    words = f"list_filter({_WORDS.format(_LOWER)}, lambda x: x <> '')"
     return f"""
 {name}_words AS (SELECT {key}, {words} AS w FROM {table} WHERE text IS NOT NULL),
 {name} AS (
