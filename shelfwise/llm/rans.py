@@ -154,21 +154,21 @@ def tokenised(docs: DataFrame, tokenizer: str, end_id: int, block: int = BLOCK)
         from pyspark import TaskContext
 
         coder, part, number = encoder(tokenizer), TaskContext.get().partitionId(), 0
-        tail, w = np.array([end_id], dtype=coder.dtype).tobytes(), coder.dtype.itemsize
+        end = np.array([end_id], dtype=coder.dtype)
         doc_ids, lengths, raw, held = [], [], [], 0
 
         def row() -> pa.RecordBatch:
             nonlocal doc_ids, lengths, raw, held, number
-            arrays = [pa.array([part], pa.int32()), pa.array([number], pa.int32()), pa.array([held], pa.int64()), pa.array([doc_ids], pa.list_(pa.int64())), pa.array([lengths], pa.list_(pa.int64())), pa.array([b"".join(raw)], pa.binary())]
+            arrays = [pa.array([part], pa.int32()), pa.array([number], pa.int32()), pa.array([held], pa.int64()), pa.array([doc_ids], pa.list_(pa.int64())), pa.array([lengths], pa.list_(pa.int64())), pa.array([np.concatenate(raw).tobytes()], pa.binary())]
             doc_ids, lengths, raw, held, number = [], [], [], 0, number + 1
             return pa.RecordBatch.from_arrays(arrays, ["part", "block", "n_ids", "doc_ids", "lengths", "ids"])
 
-        for batch in slices(batches, "text", 2 << 20):
-            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), coder.encode(batch.column("text").to_pylist())):
-                n = len(ids) // w + 1
+        for batch in slices(batches, "text", 8 << 20):
+            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), coder.encode(batch.column("text"))):
+                n = len(ids) + 1
                 if held and held + n > block:
                     yield row()
-                doc_ids.append(doc_id), lengths.append(n), raw.append(ids + tail)
+                doc_ids.append(doc_id), lengths.append(n), raw.append(ids), raw.append(end)
                 held += n
         if held:
             yield row()

@@ -2,22 +2,34 @@
 
 Most of the time of a plain call goes into words that were seen before. Where
 the tokenizer's own configuration shows that white space only separates (it is
-replaced by one space and dropped by the pre-tokenizer), a text is cut at white
-space and the library encodes each distinct piece once; any other tokenizer, and
-any text in which a special token or a separator control character occurs, goes
-through the library whole. Tests hold both ways against each other.
+replaced by one space and dropped by the pre-tokenizer), texts are cut at ASCII
+white space, Arrow finds the distinct pieces of a batch, and the library encodes
+each piece once. A full stop or comma after letters ends a word to the tokenizer,
+so pieces that differ in it are encoded once; a piece of Latin letters is one
+word, so it goes straight to the library's model. Any other tokenizer, and any text in which a special token
+or a separator control character occurs, goes through the library whole. Tests
+hold both ways against each other.
 """
 
 from __future__ import annotations
 
 import json
-import re
+from array import array
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-#: Texts with these go to the library whole: special tokens, and characters that Python takes for white space and the tokenizer doesn't.
-_WHOLE = re.compile("<\\||[\x1c-\x1f]")
+#: Texts with these go to the library whole: special tokens, and control characters that some take for white space.
+_WHOLE = "<\\||[\x1c-\x1f]"
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter that byte-level tokenizers write for each byte: printable Latin-1 as it is, the rest from U+0100 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
 def _space_separates(config: dict) -> bool:
@@ -31,9 +43,9 @@ def _space_separates(config: dict) -> bool:
 
 
 class WordCache:
-    """Encodes texts to little-endian ids of `width` bytes each."""
+    """Encodes texts to ids of the smallest little-endian type that holds the vocabulary."""
 
-    def __init__(self, path: str, limit: int = 400_000):
+    def __init__(self, path: str, limit: int = 500_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -41,60 +53,71 @@ class WordCache:
         self.dtype = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
         self.by_word = _space_separates(json.loads(self.tokenizer.to_str()))
         self.limit, self.cache = limit, {}
-        if self.by_word:
-            self.ends = np.zeros(self.size, dtype=bool)
-            for token, i in self.tokenizer.get_vocab().items():
-                self.ends[i] = token.endswith("</w>")
+        self.letters = _byte_letters()
+        #: Ids of the marks that may follow a word; only marks of one id are taken off.
+        self.marks = {m: i[0] for m in ".," if len(i := self.tokenizer.encode(m, add_special_tokens=False).ids) == 1}
 
     def _ids(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
 
     def _learn(self, pieces: list[str]) -> None:
-        """Encode new pieces. Latin words, with a full stop or comma at the end or not, go to the library many at a time."""
-        cache, stems, later = self.cache, {}, []
+        """Encode new pieces."""
+        cache, tokenize, letters, kind = self.cache, self.tokenizer.model.tokenize, self.letters, self.dtype.char
         for piece in pieces:
-            tail = piece[-1] if piece[-1] in ".," else ""
-            stem = (piece[:-1] if tail else piece).lower()
-            if stem.isalpha() and max(stem) < "Ā":
-                later.append((piece, stem, tail))
-                if stem not in cache:
-                    stems[stem] = None
-            else:
-                cache[piece] = self._ids(piece)
-        for mark in ".,":
-            if mark not in cache:
-                cache[mark] = self._ids(mark)
-        todo = list(stems)
-        for i in range(0, len(todo), 1000):
-            some = todo[i : i + 1000]
-            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, dtype=self.dtype)
-            cuts = np.flatnonzero(self.ends[ids]) + 1
-            if len(cuts) == len(some):
-                raw, w, begin = ids.tobytes(), self.dtype.itemsize, 0
-                for stem, end in zip(some, (cuts * w).tolist()):
-                    cache[stem] = raw[begin:end]
-                    begin = end
+            if piece.isascii() and piece.isalpha():
+                cache[piece] = array(kind, [t.id for t in tokenize(piece)]).tobytes()
+            elif piece.isalpha() and max(piece) < "Ā":
+                cache[piece] = array(kind, [t.id for t in tokenize(piece.lower().encode().decode("latin-1").translate(letters))]).tobytes()
             else:
-                for stem in some:
-                    cache[stem] = self._ids(stem)
-        for piece, stem, tail in later:
-            cache[piece] = cache[stem] + cache[tail] if tail else cache[stem]
+                cache[piece] = self._ids(piece) if piece else b""
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of each text; none for a null text."""
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        """Ids of each text of a string array; none for a null text."""
+        if isinstance(texts, pa.ChunkedArray):
+            texts = texts.combine_chunks()
         if not self.by_word:
-            return [self._ids(t) if t else b"" for t in texts]
+            return [np.frombuffer(self._ids(t), dtype=self.dtype) if t else np.zeros(0, dtype=self.dtype) for t in texts.to_pylist()]
+        whole = np.flatnonzero(pc.fill_null(pc.match_substring_regex(texts, _WHOLE), False).to_numpy(zero_copy_only=False))
+        apart = {int(i): np.frombuffer(self._ids(texts[int(i)].as_py()), dtype=self.dtype) for i in whole}
+        plain = pc.fill_null(texts, "")
+        if apart:
+            mask = np.zeros(len(texts), dtype=bool)
+            mask[whole] = True
+            plain = pc.if_else(pa.array(mask), "", plain)
+        cut = pc.ascii_split_whitespace(pc.ascii_lower(plain))
+        words = cut.flatten().dictionary_encode()
+        # Words without a mark after their letters, and which mark it was.
+        bare = pc.utf8_rtrim(words.dictionary, characters="".join(self.marks))
+        marked = pc.and_(pc.equal(pc.subtract(pc.binary_length(words.dictionary), pc.binary_length(bare)), 1), pc.utf8_is_alpha(bare))
+        mark = np.zeros(len(bare), dtype=np.int64)
+        for m, i in self.marks.items():
+            mark[pc.and_(marked, pc.ends_with(words.dictionary, m)).to_numpy(zero_copy_only=False)] = i + 1
+        stems = pc.if_else(marked, bare, words.dictionary).dictionary_encode()
+        distinct = stems.dictionary.to_pylist()
         if len(self.cache) > self.limit:
             self.cache.clear()
-        cut = [None if not t or _WHOLE.search(t) else t.split() for t in texts]
-        get = self.cache.get
-        found = [list(map(get, c)) if c else [] for c in cut]
-        missing = dict.fromkeys(w for c, f in zip(cut, found) if None in f for w, x in zip(c, f) if x is None)
-        if missing:
-            self._learn(list(missing))
-            get = self.cache.__getitem__
-            found = [list(map(get, c)) if None in f else f for c, f in zip(cut, found)]
-        return [b"".join(f) if c is not None else self._ids(t) if t else b"" for t, c, f in zip(texts, cut, found)]
+        known = list(map(self.cache.get, distinct))
+        new = [i for i, k in enumerate(known) if k is None]
+        self._learn([distinct[i] for i in new])
+        for i in new:
+            known[i] = self.cache[distinct[i]]
+        pool = np.frombuffer(b"".join(known), dtype=self.dtype)
+        sizes = np.fromiter(map(len, known), dtype=np.int32, count=len(known)) // self.dtype.itemsize
+        starts = np.cumsum(sizes, dtype=np.int32) - sizes
+        stem = stems.indices.to_numpy()
+        codes = words.indices.to_numpy()
+        n = (sizes[stem] + (mark > 0)).astype(np.int32)[codes]
+        ends = np.cumsum(n)
+        at = np.repeat((starts[stem][codes] - (ends - n)).astype(np.int32), n)
+        at += np.arange(len(at), dtype=np.int32)
+        ids = pool[np.minimum(at, len(pool) - 1)] if len(pool) else np.zeros(len(at), dtype=self.dtype)
+        last = mark[codes]
+        ids[ends[last > 0] - 1] = last[last > 0] - 1
+        bounds = np.concatenate([[0], ends])[cut.offsets.to_numpy() - cut.offsets[0].as_py()].tolist()
+        out = [ids[x:y] for x, y in zip(bounds, bounds[1:])]
+        for i, x in apart.items():
+            out[i] = x
+        return out
 
 
 @lru_cache(maxsize=2)

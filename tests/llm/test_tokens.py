@@ -2,6 +2,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -19,16 +20,18 @@ def library(items, end):
 
 def test_cached_words_equal_whole_texts(small):
     items = [t for _, t in AWKWARD] + list(texts(f"{small}/documents.parquet").values())
-    items += ["don't 'twas l'eau 's x.,y end.' ..a ,b c.. A.B.C i'll 'Re İstanbul ΣΑΣ ﬁn é é ́x ÀB.", "tab\tnbsp end x　y", "it's.,", "µm Å Å ª º ß."]
+    items += ["don't 'twas l'eau 's x.,y end.' ..a ,b c.. A.B.C i'll 'Re İstanbul ΣΑΣ ﬁn é é ́x ÀB.", "tab\tnbsp end x　y", "it's.,", "a. b, c., d,. e.. .f ,g . , É. É, ñ, 5. 5, x́. ǅ, ⅷ. ", "ABC abc aBc. ABC,", "µm Å Å ª º ß."]
     cache = WordCache(PATH)
     for _ in range(2):  # with an empty cache, then with a full one
-        assert [np.frombuffer(x, cache.dtype).tolist() + [1] for x in cache.encode(items)] == library(items, 1)
+        assert [x.tolist() + [1] for x in cache.encode(pa.array(items, pa.string()))] == library(items, 1)
+    assert cache.encode(pa.array([], pa.string())) == []
+    assert [x.tolist() + [1] for x in cache.encode(pa.array(items, pa.string())[3:9])] == library(items[3:9], 1)
 
 
 def test_a_full_cache_is_dropped():
     cache = WordCache(PATH, limit=3)
     for t in ("some words to hold here", "and other ones", "some words"):
-        assert np.frombuffer(cache.encode([t])[0], cache.dtype).tolist() == library([t], 0)[0][:-1]
+        assert cache.encode(pa.array([t]))[0].tolist() == library([t], 0)[0][:-1]
 
 
 @pytest.mark.parametrize("n", [0, 1, 5, 1024, 1025, 70_000, 140_000])
