@@ -10,7 +10,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import datetime, timezone
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfwise.operators import chains, filters, hierarchy
@@ -80,11 +80,11 @@ def _page(*columns: str) -> Callable[[Query], DataFrame]:
     return lambda q: q.run().page.select(F.col("__position").cast("long").alias("position"), "pk", *columns)
 
 
-def _extra(name: str, *columns: str | Column) -> Callable[[Query], DataFrame]:
-    return lambda q: q.run().extras[name].select(*columns)
+def _extra(name: str, *columns: str) -> Callable[[Query], DataFrame]:
+    return lambda q: q.run().extras[name].selectExpr(*columns)
 
 
-_BUCKETS = ("bucket", F.col("threshold").cast("decimal(20,4)").alias("threshold"), F.col("occurrences").cast("long").alias("occurrences"), "relative_frequency")
+_BUCKETS = ("bucket", "cast(threshold AS decimal(20,4)) AS threshold", "cast(occurrences AS long) AS occurrences", "relative_frequency")
 
 
 def _standard(values: str, n: int) -> str:
@@ -260,7 +260,7 @@ CASES: dict[str, Case] = {
         ends AS (SELECT group_pk, min(value)::DOUBLE AS lo, max(value)::DOUBLE AS hi FROM v GROUP BY 1),
         grid AS (SELECT group_pk, i::INTEGER AS bucket, (lo + (hi - lo) * i / 5)::DECIMAL(20,6) AS threshold, lead(threshold) OVER (PARTITION BY group_pk ORDER BY i) AS upto FROM ends, range(5) t(i) WHERE lo < hi OR i = 0)
         SELECT g.group_pk, bucket, threshold::DECIMAL(20,4) AS threshold, count(DISTINCT pk) AS occurrences FROM grid g LEFT JOIN v ON v.group_pk = g.group_pk AND value >= threshold AND (upto IS NULL OR value < upto) GROUP BY 1, 2, 3""",
-        _extra("referenceHistogram:suppliers:quantity", "group_pk", "bucket", F.col("threshold").cast("decimal(20,4)").alias("threshold"), F.col("occurrences").cast("long").alias("occurrences")),
+        _extra("referenceHistogram:suppliers:quantity", "group_pk", "bucket", *_BUCKETS[1:3]),
     ),
     "histogram_optimized": Case("query(collection('product'), require(attributeHistogram(20, OPTIMIZED, 'size')))", None, _extra("attributeHistogram:size", *_BUCKETS)),
     "histogram_equalized": Case("query(collection('product'), require(attributeHistogram(10, EQUALIZED, 'list_price')))", None, _extra("attributeHistogram:list_price", *_BUCKETS)),
@@ -270,7 +270,7 @@ CASES: dict[str, Case] = {
           SELECT 'suppliers' AS reference, group_pk::BIGINT AS group_pk, ref_pk, pk FROM supply UNION ALL SELECT 'brand', -1, ref_pk, pk FROM brand_ref)
         SELECT reference, group_pk, ref_pk AS facet_pk, count(DISTINCT pk) AS count, any_value(n) AS group_count, reference = 'brand' AND ref_pk = 3 AS requested
         FROM f JOIN base USING (pk) JOIN (SELECT reference, group_pk, count(DISTINCT pk) AS n FROM f JOIN base USING (pk) GROUP BY 1, 2) USING (reference, group_pk) GROUP BY 1, 2, 3""",
-        _extra("referenceSummary", "reference", "group_pk", "facet_pk", "count", "group_count", "requested"),
+        _extra("referenceSummary", "reference", "group_pk", "facet_pk", "`count`", "group_count", "requested"),
     ),
     "facet_impact": Case(
         "query(collection('product'), filterBy(attributeLessThan('size', 30), userFilter(facetHaving('suppliers', entityPrimaryKeyInSet(1001, 1002)))), require(referenceSummaryOfReference('suppliers', IMPACT)))",
