@@ -29,7 +29,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfwise.llm.common import partitions, settle, slices
@@ -88,11 +88,14 @@ def _blocks(rows: DataFrame) -> DataFrame:
 
 
 _KEY = ["conv_id", "seg"]
-_ORDER = [F.col(c).asc_nulls_first() for c in ("conv_id", "seg", "turn", "h", "part")]
+
+
+def _order(n: int = 5) -> list[Column]:
+    return [F.col(c).asc_nulls_first() for c in ("conv_id", "seg", "turn", "h", "part")[:n]]
 
 
 def _in_order(blocks: DataFrame) -> DataFrame:
-    return blocks.repartition(partitions(blocks.sparkSession), *_KEY).sortWithinPartitions(*_ORDER)
+    return blocks.repartition(partitions(blocks.sparkSession), *_KEY).sortWithinPartitions(*_order())
 
 
 def _groups(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[pa.RecordBatch]:
@@ -202,7 +205,7 @@ def _ends(blocks: DataFrame, model: dict) -> DataFrame:
 
     kinds = "conv_id long, seg long, m array<double>"
     found = _in_order(blocks.drop("text")).mapInArrow(sums, kinds)
-    found = found.repartition(partitions(blocks.sparkSession), "conv_id").sortWithinPartitions(*_ORDER[:2])
+    found = found.repartition(partitions(blocks.sparkSession), "conv_id").sortWithinPartitions(*_order(2))
     return found.mapInArrow(scan, "conv_id long, seg long, enter int, leave int")
 
 
