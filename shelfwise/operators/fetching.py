@@ -46,7 +46,7 @@ def fetched(ctx: Context, df: DataFrame, contents: list[Constraint], defaults: t
         elif c.name == "accompanyingPriceContent":
             joins.append(accompanying(ctx, c, defaults))
         elif c.name in ("referenceContent", "referenceContentWithAttributes"):
-            joins += [reference_lists(ctx, name, c) for name in ([v for v in c.values if isinstance(v, str)] or ctx.collection.references)]
+            joins += [reference_lists(ctx, name, c) for name in ([v for v in c.values if v not in ("ANY", "EXISTING")] or ctx.collection.references)]
         elif c.name == "hierarchyContent":
             joins.append(parent_chain(ctx, c))
         elif c.name != "dataInLocales":
@@ -97,6 +97,8 @@ def reference_lists(ctx: Context, name: str, c: Constraint) -> DataFrame:
     """(pk, <reference>): an array of the references, filtered, ordered and cut to a page for each entity."""
     reference = ctx.collection.reference(name)
     refs = filters.references(ctx, name, c.child("filterBy").children) if c.child("filterBy") else reference.frame
+    if "EXISTING" in c.values:  # only references to entities that there are
+        refs = refs.join(ctx.on(reference.target).rows().select(F.col("pk").alias("__there")), F.col("ref_pk") == F.col("__there"), "left_semi")
     order: list[Column] = []
     for o in c.child("orderBy").children if c.child("orderBy") else ():
         if o.name in ("entityProperty", "entityGroupProperty"):

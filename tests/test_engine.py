@@ -117,6 +117,9 @@ def test_fetching(shop):
     rows = {r.pk: r for r in Query(shop, text, now=NOW).run().page.collect()}
     assert set(rows) == {2, 3} and rows[2].name == {"en": "b"} and rows[3].price_default == 36 and [x.price_id for x in rows[2].prices] == [3, 4, 5]
     assert [x.ref_pk for x in rows[3].node] == [3, 5] and rows[3].node[0].entity.name == "b" and rows[3].node[0].group.name == "g8"
+    refs = "query(collection('node'), require(page(1, 9), entityFetch(referenceContent('items'))))"
+    there = lambda text: sum(len(r["items"] or ()) for r in Query(shop, text, now=NOW).run().page.collect())
+    assert there(refs) == 5 and there(refs.replace("'items'", "EXISTING, 'items'")) == 5
     up = Query(shop, "query(collection('node'), require(entityFetch(hierarchyContent(stopAt(distance(1))))))", now=NOW).run().page.collect()
     assert {r.pk: r.parents for r in up} == {1: None, 2: [1], 3: [1], 4: [2], 5: None}
 
