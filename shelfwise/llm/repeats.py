@@ -12,13 +12,18 @@ which the one before left more than one member:
    them; suffixes that are equal to the depth have equal anchors at equal places.
 2. Digit two is all the bytes that the suffixes of a run cover to the depth. Runs
    that agree in it are equal suffix by suffix; all but the first are removed.
-3. Runs that agree in digit one alone - the edges of repeated passages - are
-   spread out into their suffixes, told apart by all DEPTH bytes.
+3. Runs that agree in digit one alone - the edges of repeated passages - travel
+   with the bytes that they cover to where their anchor is sorted, and are spread
+   out there into their suffixes, told apart by all DEPTH bytes.
 
 Digits are 64-bit hashes (16 bytes for digits one and two together). The shuffle
 of the first two passes carries a row for each run, one in about 32 bytes of
 text; copies within a task are settled before it, so a passage that most
-documents hold sends one row from each task, not one from each document.
+documents hold sends one row from each task, not one from each document. An
+anchor that a task meets with more than HOT different surroundings, as a common
+line has, is sorted by digit two and then by all DEPTH bytes from the start, so
+that its runs don't meet in one task; everyone else who holds that anchor learns
+of it by a mark in its place.
 
 Order is that of doc_id, then place. Defined cases: a null or empty text has no
 bytes; a null doc_id comes first; rows equal in doc_id and text are one document
@@ -33,6 +38,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,9 +50,11 @@ _BASE = U64(0x5851F42D4C957F2D)
 _BYTES = mixed(np.arange(1, 257, dtype=U64) * U64(0x9E3779B97F4A7C15))
 _PLACE = U64((1 << 24) - 1)
 #: Bytes hashed at once; their places must fit in 24 bits.
-PIECE = 1 << 20
+PIECE = 1 << 19
 #: Bytes of text whose runs are compared with each other before the shuffle.
-CHUNK = 32 << 20
+CHUNK = 16 << 20
+#: Different surroundings of one anchor in a chunk from which it is hot.
+HOT = 8
 
 
 def window_hashes(b: np.ndarray, sizes: tuple[int, ...]) -> list[np.ndarray]:
@@ -140,11 +148,13 @@ def _firsts(two: np.ndarray, key: np.ndarray, start: np.ndarray) -> np.ndarray:
     return first
 
 
-_RUNS = ["key", "one", "two", "place", "removed"]
+#: What a row of the first shuffle is: a run, one that is known to be removed, a run of a hot anchor, or the mark of such an anchor.
+RUN, REMOVED, OF_HOT, MARK = range(4)
+_RUNS = ["key", "sort", "one", "two", "place", "kind"]
 
 
 def _all_runs(docs: DataFrame, depth: int) -> DataFrame:
-    """A row for each run: key, digits, place (start * 256 + number) and whether it is known to be removed."""
+    """A row for each run: key, digits, place (start * 256 + number), kind, and `sort`, by which it is dealt."""
 
     def find(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
@@ -153,10 +163,16 @@ def _all_runs(docs: DataFrame, depth: int) -> DataFrame:
         def rows() -> pa.RecordBatch:
             key, one, two, place = (np.concatenate(x) for x in zip(*held))
             held.clear()
-            removed = ~_firsts(two, key, place)
-            # What is settled here goes through the shuffle spread evenly.
-            one = np.where(removed, mixed(key.view(U64) + place.view(U64)), one)
-            return pa.RecordBatch.from_arrays([pa.array(key), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(place), pa.array(removed)], _RUNS)
+            first = _firsts(two, key, place)
+            kind = np.where(first, RUN, REMOVED).astype(np.int8)
+            anchors, times = np.unique(one[first], return_counts=True)
+            hot = anchors[times > HOT]
+            kind[first & np.isin(one, hot)] = OF_HOT
+            # Runs of an anchor meet where it is sorted, those of a hot one where digit two is; what is settled goes anywhere.
+            sort = np.where(kind == RUN, one, np.where(kind == OF_HOT, two, mixed(key.view(U64) + place.view(U64))))
+            none = np.zeros(len(hot), dtype=np.int64)
+            columns = [np.append(key, none), np.append(sort, hot).view(np.int64), np.append(one, hot).view(np.int64), np.append(two, none.view(U64)).view(np.int64), np.append(place, none), np.append(kind, np.full(len(hot), MARK, dtype=np.int8))]
+            return pa.RecordBatch.from_arrays(list(map(pa.array, columns)), _RUNS)
 
         for batch in slices(batches, "text", PIECE):
             texts = [(t or "").encode("utf-8", "surrogatepass") for t in batch.column("text").to_pylist()]
@@ -175,67 +191,139 @@ def _all_runs(docs: DataFrame, depth: int) -> DataFrame:
         if held:
             yield rows()
 
-    return docs.mapInArrow(find, "key long, one long, two long, place long, removed boolean")
+    return docs.mapInArrow(find, "key long, sort long, one long, two long, place long, kind byte")
+
+
+def _gathered(batches: Iterable[pa.RecordBatch], names: list[str]) -> list[np.ndarray] | None:
+    parts = [[b.column(c).to_numpy(zero_copy_only=False) for c in names] for b in batches if b.num_rows]
+    return [np.concatenate(x) for x in zip(*parts)] if parts else None
+
+
+_RESOLVED = ["key", "place", "one", "state"]
+#: States of a resolved run: removed, or to be spread out where its anchor is sorted, or (of a hot one) where its bytes are.
+GONE, EDGE, HOT_EDGE = range(3)
 
 
 def _resolved(found: DataFrame) -> DataFrame:
-    """Passes one and two: removed runs, and runs to be spread out, as key, place, removed."""
+    """Passes one and two: removed runs, and runs to be spread out."""
 
     def resolve(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [[b.column(c).to_numpy(zero_copy_only=False) for c in _RUNS] for b in batches if b.num_rows]
-        if not parts:
+        all_ = _gathered(batches, ["key", "one", "two", "place", "kind"])
+        if all_ is None:
             return
-        key, one, two, place, removed = (np.concatenate(x) for x in zip(*parts))
-        parts.clear()
-        yield pa.RecordBatch.from_arrays([pa.array(key[removed]), pa.array(place[removed]), pa.array(np.ones(int(removed.sum()), dtype=bool))], ["key", "place", "removed"])
-        keep = ~removed
-        key, one, two, place = key[keep], one[keep], two[keep], place[keep]
-        first = _firsts(two, key, place)
-        yield pa.RecordBatch.from_arrays([pa.array(key[~first]), pa.array(place[~first]), pa.array(np.ones(int((~first).sum()), dtype=bool))], ["key", "place", "removed"])
-        key, one, place = key[first], one[first], place[first]
-        _, inverse, times = np.unique(one, return_inverse=True, return_counts=True)
-        edge = times[inverse] > 1
-        yield pa.RecordBatch.from_arrays([pa.array(key[edge]), pa.array(place[edge]), pa.array(np.zeros(int(edge.sum()), dtype=bool))], ["key", "place", "removed"])
+        key, one, two, place, kind = all_
+
+        def out(at: np.ndarray, state: int) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(key[at]), pa.array(place[at]), pa.array(one[at]), pa.array(np.full(int(at.sum()), state, dtype=np.int8))], _RESOLVED)
+
+        yield out(kind == REMOVED, GONE)
+        marked = np.unique(one[kind == MARK])
+        for own in (RUN, OF_HOT):  # runs of one digit two are together in each kind
+            mine = np.flatnonzero(kind == own)
+            first = _firsts(two[mine], key[mine], place[mine])
+            gone = np.zeros(len(key), dtype=bool)
+            gone[mine[~first]] = True
+            yield out(gone, GONE)
+            mine = mine[first]
+            edge = np.zeros(len(key), dtype=bool)
+            if own == OF_HOT:
+                edge[mine] = True
+                yield out(edge, HOT_EDGE)
+                continue
+            hot = np.isin(one[mine], marked)
+            edge[mine[hot]] = True
+            yield out(edge, HOT_EDGE)
+            mine, edge = mine[~hot], np.zeros(len(key), dtype=bool)
+            _, inverse, times = np.unique(one[mine], return_inverse=True, return_counts=True)
+            edge[mine[times[inverse] > 1]] = True
+            yield out(edge, EDGE)
 
     n = partitions(found.sparkSession)
-    return found.repartition(n, "one").mapInArrow(resolve, "key long, place long, removed boolean")
+    return found.repartition(n, "sort").mapInArrow(resolve, "key long, place long, one long, state byte")
 
 
-#: Bytes of run lists that a join may broadcast.
-BROADCAST_BYTES = 32 << 20
+def _listed(rows: DataFrame, *columns: str) -> DataFrame:
+    """key and, as one array each, the columns of its rows. They grow with the corpus, so they are shuffled to the texts at any size."""
+    lists = rows.groupBy("key").agg(F.collect_list(F.struct(*columns)).alias("rows"))
+    return settle(lists.select(F.col("key").alias("k"), *(F.col(f"rows.{c}").alias(f"{c}s") for c in columns)), "repeats-listed").hint("merge")
 
 
-def _listed(rows: DataFrame) -> DataFrame:
-    """key and its places, as one array; marked for broadcast if all of them are counted to be small."""
-    out = settle(rows.groupBy("key").agg(F.collect_list("place").alias("places")).select(F.col("key").alias("k"), "places"), "repeats-listed")
-    size = out.agg(F.coalesce(F.sum(F.size("places") * 8 + 40), F.lit(0))).first()[0]
-    return F.broadcast(out) if size <= BROADCAST_BYTES else out
+_SPREAD = ["slot", "key", "place", "bytes", "gone"]
 
 
 def _spread(docs: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
-    """Every suffix of the runs in `edges`: all its bytes to the depth as a digit, key, start."""
+    """Edges with the bytes that they cover, dealt by their anchor (slot); those of hot anchors as single suffixes, dealt by a hash of theirs."""
 
     def find(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", PIECE):
-            deep, keys, starts = [], [], []
-            for key, text, places in zip(batch.column("key").to_pylist(), batch.column("text").to_pylist(), batch.column("places")):
-                b = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), dtype=np.uint8)
-                place = np.sort(np.asarray(places.values))
-                s, n = place // 256, place % 256
-                for i in range(0, len(s), 4096):  # bounds what is hashed of a long text at once
-                    lo, hi = s[i], int((s + n)[i : i + 4096].max()) + depth - 1
-                    for at in range(int(lo), hi - depth + 1, PIECE):
-                        h = window_hashes(b[at : min(hi, at + PIECE + depth - 1)], (depth,))[0]
-                        within = np.zeros(len(h) + 1, dtype=np.int64)
-                        x, y = np.clip(s[i : i + 4096] - at, 0, len(h)), np.clip((s + n)[i : i + 4096] - at, 0, len(h))
-                        np.add.at(within, x, 1)
-                        np.add.at(within, y, -1)
-                        where = np.flatnonzero(np.cumsum(within[:-1]))
-                        deep.append(h[where]), starts.append(where + at), keys.append(np.full(len(where), key, dtype=np.int64))
-            if deep:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(deep).view(np.int64)), pa.array(np.concatenate(keys)), pa.array(np.concatenate(starts).astype(np.int64))], ["deep", "key", "start"])
-
-    return docs.join(edges, F.col("key") == F.col("k")).select("key", "text", "places").mapInArrow(find, "deep long, key long, start long")
+            slots, keys, places, covered, hot = [], [], [], [], []
+            for key, text, place, one, state in zip(*(batch.column(c).to_pylist() for c in ("key", "text", "places", "ones", "states"))):
+                b = (text or "").encode("utf-8", "surrogatepass")
+                for p, o, x in zip(place, one, state):
+                    s, n = divmod(p, 256)
+                    if x == EDGE:
+                        slots.append(o), keys.append(key), places.append(p), covered.append(b[s : s + n + depth - 1])
+                    else:
+                        hot.append((key, p, b[s : s + n + depth - 1]))
+            if slots:
+                yield pa.RecordBatch.from_arrays([pa.array(slots, pa.int64()), pa.array(keys, pa.int64()), pa.array(places, pa.int64()), pa.array(covered, pa.binary()), pa.array([False] * len(slots))], _SPREAD)
+            for i in range(0, len(hot), 4096):
+                key, start, deep = _suffixes([k for k, _, _ in hot[i : i + 4096]], [p for _, p, _ in hot[i : i + 4096]], [c for _, _, c in hot[i : i + 4096]], depth)
+                gone = ~_firsts(deep, key, start)
+                slot = np.where(gone, mixed(key.view(U64) + start.view(U64)), deep).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(key), pa.array(start * 256 + 1), pa.nulls(len(key), pa.binary()), pa.array(gone)], _SPREAD)
+
+    both = docs.join(edges, F.col("key") == F.col("k")).select("key", "text", "places", "ones", "states")
+    return both.mapInArrow(find, "slot long, key long, place long, bytes binary, gone boolean")
+
+
+def _suffixes(keys: list[int], places: list[int], covered: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of runs given with the bytes that they cover: key, start and the hash of all bytes to the depth of each suffix."""
+    n = np.array([len(c) for c in covered], dtype=np.int64)
+    begins = np.cumsum(n) - n
+    deep = window_hashes(np.frombuffer(b"".join(covered), dtype=np.uint8), (depth,))[0]
+    many = n - depth + 1
+    at = np.repeat(begins - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
+    offset = at - np.repeat(begins, many)
+    return np.repeat(np.array(keys, dtype=np.int64), many), np.repeat(np.array(places, dtype=np.int64) // 256, many) + offset, deep[at]
+
+
+def _settled(spread: DataFrame, depth: int) -> DataFrame:
+    """Pass three: key and place of the runs of suffixes that have an earlier equal."""
+
+    def resolve(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, starts, deeps, known = [], [], [], []
+        for batch in batches:
+            has = pc.is_valid(batch.column("bytes")).to_numpy(zero_copy_only=False)
+            gone = batch.column("gone").to_numpy(zero_copy_only=False)
+            key, place, slot = (batch.column(c).to_numpy() for c in ("key", "place", "slot"))
+            rows = np.flatnonzero(has)
+            texts = batch.column("bytes").take(pa.array(rows)).to_pylist()
+            for i in range(0, len(rows), 4096):
+                some = rows[i : i + 4096]
+                k, s, d = _suffixes(key[some], place[some], texts[i : i + 4096], depth)
+                keys.append(k), starts.append(s), deeps.append(d)
+            single = ~has & ~gone
+            keys.append(key[single]), starts.append(place[single] // 256), deeps.append(slot[single].view(U64))
+            known.append((key[gone], place[gone] // 256))
+        if not keys:
+            return
+        key, start, deep = np.concatenate(keys), np.concatenate(starts), np.concatenate(deeps)
+        later = ~_firsts(deep, key, start)
+        key = np.concatenate([key[later], *(k for k, _ in known)])
+        start = np.concatenate([start[later], *(s for _, s in known)])
+        order = np.lexsort((start, key))
+        key, start = key[order], start[order]
+        # Neighbouring suffixes as one run, of 128 at most.
+        new = np.concatenate([[True], (key[1:] != key[:-1]) | (start[1:] != start[:-1] + 1)]) if len(key) else np.zeros(0, dtype=bool)
+        head = np.maximum.accumulate(np.where(new, np.arange(len(key)), 0)) if len(key) else np.zeros(0, dtype=np.int64)
+        new |= (np.arange(len(key)) - head) % 128 == 0
+        first = np.flatnonzero(new)
+        n = np.diff(np.append(first, len(key)))
+        yield pa.RecordBatch.from_arrays([pa.array(key[first]), pa.array(start[first] * 256 + n)], ["key", "place"])
+
+    n = partitions(spread.sparkSession)
+    return spread.repartition(n, "slot").mapInArrow(resolve, "key long, place long")
 
 
 def _keyed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -259,14 +347,10 @@ def deduplicate(docs: DataFrame, depth: int = DEPTH, texts: bool = False) -> Dat
     keyed, bare = _keyed(docs)
     found = settle(_resolved(_all_runs(bare, depth)), "repeats-runs")
     release(spark)
-    edges = _listed(found.where("not removed"))
-    suffixes = _spread(bare, edges, depth)
-    # Only the first of each group and those after it in a group of more: the group's size and first member, by map-side sums.
-    firsts = suffixes.groupBy("deep").agg(F.min(F.struct("key", "start")).alias("first"), F.max(F.struct("key", "start")).alias("last")).where("first < last")
-    firsts = settle(firsts.select("deep", "first"), "repeats-groups")
+    edges = _listed(found.where(F.col("state") != GONE), "place", "one", "state")
+    later = settle(_settled(_spread(bare, edges, depth), depth), "repeats-suffixes")
     release(spark)
-    again = suffixes.join(firsts, "deep").where(F.struct("key", "start") > F.col("first")).select("key", (F.col("start") * 256 + 1).alias("place"))
-    gone = _listed(found.where("removed").select("key", "place").unionByName(settle(again, "repeats-suffixes")).distinct())
+    gone = _listed(found.where(F.col("state") == GONE).select("key", "place").unionByName(later), "place")
     release(spark)
     kind = docs.schema["doc_id"].dataType.simpleString()
 

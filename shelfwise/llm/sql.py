@@ -57,5 +57,21 @@ FROM documents LEFT JOIN sizes USING (doc_id) LEFT JOIN roots ON a = doc_id
 """
 
 
+#: Every 100-byte window as hex digits; windows all have one length, so spans are islands of starts.
+_OP2 = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, h, unnest(range(0, greatest(len(h) // 2 - 99, 0))) AS i FROM d),
+f AS (SELECT doc_id, i, row_number() OVER (PARTITION BY substr(h, 2 * i + 1, 200) ORDER BY doc_id, i) AS n FROM w),
+g AS (SELECT doc_id, i, coalesce(i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 100, TRUE) AS new FROM f WHERE n > 1),
+m AS (SELECT doc_id, i, sum(new::INTEGER) OVER (PARTITION BY doc_id ORDER BY i) AS span FROM g),
+spans AS (SELECT doc_id, span, min(i) AS s, max(i) + 100 AS e FROM m GROUP BY 1, 2),
+cuts AS (SELECT doc_id, s, e, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY s), 0) AS before FROM spans),
+parts AS (SELECT doc_id, count(*) AS n_spans, sum(e - s)::BIGINT AS n_removed, max(e) AS last, string_agg(substr(h, 2 * before + 1, 2 * (s - before)), '' ORDER BY s) AS head FROM cuts JOIN d USING (doc_id) GROUP BY 1)
+SELECT doc_id, (len(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+  sha256(unhex(coalesce(head || substr(h, 2 * last + 1), h))) AS kept_sha256
+FROM d LEFT JOIN parts USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_sharding": _OP1, "op8_decontaminate": _OP8, "op9_jaccard": _OP9}
+    return {"op1_sharding": _OP1, "op2_suffix_dedup": _OP2, "op8_decontaminate": _OP8, "op9_jaccard": _OP9}

@@ -61,7 +61,8 @@ def test_repeats_at_edges(spark, monkeypatch):
 def test_tasks_settle_copies_alike(spark, small, monkeypatch):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     want = digest(repeats.deduplicate(docs))
-    monkeypatch.setattr(repeats, "BROADCAST_BYTES", -1)
+    monkeypatch.setattr(repeats, "HOT", 1)  # then most anchors are hot
+    monkeypatch.setattr(repeats, "CHUNK", 1 << 17)
     assert digest(repeats.deduplicate(docs.repartition(7))) == want
 
 
@@ -225,8 +226,11 @@ def test_automata_generalise():
 
 def test_model_spans_are_added_and_masked(spark, small):
     """A credential of a known format without its usual key is found by the automata; words are left alone."""
-    model = secrets.learn(spark.read.parquet(f"{small}/documents.parquet"))
     rng = np.random.default_rng(1)
+    draw = lambda abc, n: "".join(rng.choice(list(abc), n))
+    keys = [(-i, f"left AKIA{draw('ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789', 16)} right password={draw('0123456789abcdef', 18)}") for i in range(1, 80)]
+    model = secrets.learn(spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text").unionByName(spark.createDataFrame(keys, "doc_id long, text string")))
+    assert len(model["automata"]["access"]) >= 5  # the fixed head is a chain of states
     upper = "ASIE" + "".join(rng.choice(list("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"), 16))
     found = secrets.all_spans(model, f"left {upper} right")
     assert found == ([], [(5, 3, 25)])
