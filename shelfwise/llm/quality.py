@@ -22,7 +22,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfwise.llm.common import checked_broadcast
+from shelfwise.llm.common import checked_broadcast, settle
 
 BUCKETS = 1 << 14
 #: Mean log-likelihood ratio, in nats per n-gram, from which a document is kept.
@@ -49,46 +49,51 @@ def _paired(a: Column, gap: int) -> Column:
     return F.zip_with(_but_last(a, gap), _but_first(a, gap), lambda x, y: F.xxhash64(x, y))
 
 
+def words(text: Column) -> Column:
+    """The words [^\\x20\\x09-\\x0D]+ of a text, by built-in functions that are compiled."""
+    bare = F.trim(F.coalesce(text, F.lit("")), F.lit(SPACES))
+    return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, "[\\x20\\x09-\\x0D]+"))
+
+
 def features(docs: DataFrame) -> DataFrame:
     """(doc_id, text) to doc_id, the base columns, and arrays h1, h2 of word and word-pair hashes.
 
-    Each step is a column of its own and no lambda refers to another array: what
-    a lambda captures would be computed anew for every element. Windows of 8
-    words are hashed by doubling (2, 4, 8); sorted with their places, equal ones
-    are neighbours. All is n log n in the words of a document.
+    Each step is a column of its own: what a lambda or a larger expression refers
+    to twice would be computed twice, and what a lambda captures anew for every
+    element. Windows of 8 words are hashed by doubling (2, 4, 8); sorted with
+    their places, equal ones are neighbours. All is n log n in the words of a
+    document.
     """
     text = F.coalesce(docs["text"], F.lit(""))
-    bare = F.translate(text, SPACES, "")
     d = docs.select(
         docs["doc_id"],
-        F.transform(F.filter(F.split(text, "[\\x20\\x09-\\x0D]+"), lambda w: w != ""), lambda w: F.xxhash64(w)).alias("h1"),
-        F.length(bare).cast("long").alias("word_chars"),
+        F.transform(words(docs["text"]), lambda w: F.xxhash64(w)).alias("h1"),
+        F.length(F.translate(text, SPACES, "")).cast("long").alias("word_chars"),
         (F.length(text) - F.length(F.translate(text, "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
-        F.transform(F.filter(F.split(text, "\n"), lambda x: F.translate(x, SPACES, "") != ""), lambda x: F.xxhash64(x)).alias("lines"),
+        F.filter(F.transform(F.split(text, "\n"), lambda x: F.when(F.trim(x, F.lit(SPACES)) != "", F.xxhash64(x))), lambda x: x.isNotNull()).alias("lines"),
     )
-    d = d.withColumn("n_words", F.size("h1").cast("long")).withColumn("n_dup_lines", (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long")).drop("lines")
-    d = d.withColumn("h2", _paired(d["h1"], 1))
-    d = d.withColumn("h8", _paired(_paired(d["h2"], 2), 4))
-    some = F.size("h8") != F.size(F.array_distinct("h8"))  # else no window is repeated
-    at = F.when(some, F.sequence(F.lit(0), F.size("h8") - 1)).otherwise(F.array().cast("array<int>"))
-    d = d.withColumn("sorted", F.array_sort(F.zip_with(F.when(some, d["h8"]).otherwise(F.array().cast("array<long>")), at, lambda w, i: F.struct(w.alias("w"), i.alias("i")))))
+    d = d.select("*", F.size("h1").cast("long").alias("n_words"), (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"), _paired(d["h1"], 1).alias("h2")).drop("lines")
+    d = d.select("*", _paired(d["h2"], 2).alias("h4"))
+    d = d.select("*", _paired(d["h4"], 4).alias("h8")).drop("h4")
+    d = d.select("*", (F.size("h8") != F.size(F.array_distinct("h8"))).alias("some"))  # else no window is repeated
+    none = F.array().cast("array<struct<w:bigint,i:int>>")
+    numbered = F.transform("h8", lambda w, i: F.struct(w.alias("w"), i.alias("i")))
+    d = d.select("*", F.when(F.col("some"), F.array_sort(numbered)).otherwise(none).alias("sorted")).drop("h8", "some")
     twice = F.zip_with(_but_last(d["sorted"]), _but_first(d["sorted"]), lambda a, b: F.when(a["w"] == b["w"], F.array(a["i"], b["i"])).otherwise(F.array().cast("array<int>")))
-    d = d.withColumn("starts", F.array_sort(F.array_distinct(F.flatten(twice))))
+    d = d.select("*", F.array_sort(F.array_distinct(F.flatten(twice))).alias("starts")).drop("sorted")
     gaps = F.zip_with(_but_last(d["starts"]), _but_first(d["starts"]), lambda a, b: F.least(b - a, F.lit(WINDOW)))
     covered = F.aggregate(gaps, F.lit(0).cast("long"), lambda s, x: s + x) + F.when(F.size("starts") > 0, WINDOW).otherwise(0)
     return d.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", covered.alias("n_repeat_words"), "h1", "h2")
 
 
-def _buckets(buckets: int) -> Column:
+def _grams(docs: DataFrame, buckets: int) -> DataFrame:
+    """(text, trusted) to a row for each 1- and 2-gram: its bucket, and trusted. Compiled throughout."""
+    d = docs.select("trusted", words(docs["text"]).alias("w"))
+    d = d.select("trusted", F.explode(F.arrays_zip(F.col("w").alias("a"), _but_first(F.col("w")).alias("b"))).alias("x"))
+    a, b = F.xxhash64("x.a"), F.xxhash64("x.b")
     mask = F.lit(buckets - 1).cast("long")
-    return F.transform(F.concat("h1", "h2"), lambda x: x.bitwiseAND(mask).cast("int"))
-
-
-def _hashed(docs: DataFrame) -> DataFrame:
-    """(text, trusted) to h1, h2, trusted."""
-    text = F.coalesce(docs["text"], F.lit(""))
-    d = docs.select("trusted", F.transform(F.filter(F.split(text, "[\\x20\\x09-\\x0D]+"), lambda w: w != ""), lambda w: F.xxhash64(w)).alias("h1"))
-    return d.withColumn("h2", _paired(d["h1"], 1))
+    d = d.select("trusted", F.array(a.bitwiseAND(mask).cast("int"), F.when(F.col("x.b").isNotNull(), F.xxhash64(a, b).bitwiseAND(mask).cast("int"))).alias("g"))
+    return d.select("trusted", F.explode("g").alias("bucket")).where("bucket is not null")
 
 
 def weights(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, smoothing: float = SMOOTHING) -> list[int]:
@@ -100,8 +105,7 @@ def weights(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, smoothi
     mark = trusted.select(F.col("doc_id").alias("t_id")).where("t_id is not null").distinct()
     mark = checked_broadcast(mark.withColumn("trusted", F.lit(1).cast("long")))
     d = docs.select("doc_id", "text").join(mark, F.col("doc_id") == F.col("t_id"), "left").select("text", F.coalesce("trusted", F.lit(0).cast("long")).alias("trusted"))
-    grams = _hashed(d).select("trusted", F.explode(_buckets(buckets)).alias("bucket"))
-    rows = grams.groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.sum("trusted").alias("target")).collect()  # `buckets` rows at most
+    rows = _grams(d, buckets).groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.sum("trusted").alias("target")).collect()  # `buckets` rows at most
     raw, target = [smoothing] * buckets, [smoothing] * buckets
     for r in rows:
         raw[r["bucket"]] += r["raw"]
@@ -119,12 +123,15 @@ def judge(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, threshold
     table = F.split(F.lit(",".join(map(str, w))), ",").cast("array<int>")
     d = features(docs.select("doc_id", "text"))
     n = F.greatest(F.size("h1") + F.size("h2"), F.lit(1))
-    total = F.aggregate(_buckets(buckets), F.lit(0).cast("long"), lambda s, b: s + F.get(table, b))
+    mask = F.lit(buckets - 1).cast("long")
+    total = F.aggregate(F.concat("h1", "h2"), F.lit(0).cast("long"), lambda s, h: s + F.get(table, h.bitwiseAND(mask).cast("int")))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED_PERCENT * F.col("n_words"))
     d = d.withColumn("units", total).withColumn("n_grams", n.cast("long")).withColumn("base_failed", failed)
     limit = F.lit(round(threshold / UNIT)).cast("long") * F.col("n_grams")
-    return d.select(
+    out = d.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         (~F.col("base_failed") & (F.col("units") >= limit)).alias("kept"),
         (F.col("units") * UNIT / F.col("n_grams")).alias("score"),
     )
+    # Written, so that a filter on the result isn't pushed down into the array steps, where each would be computed over and over.
+    return settle(out, "quality")
