@@ -76,6 +76,18 @@ def slices(batches: Iterable[pa.RecordBatch], column: str, limit: int = 8 << 20)
             end = max(begin + 1, int(np.searchsorted(ends, base + limit, side="right")))
             yield batch.slice(begin, end - begin)
             begin = end
+    trim()
+
+
+def trim() -> None:
+    """Give back what this worker process has freed; it lives on, and may get little of the next task's memory otherwise."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # another C library
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -87,26 +99,22 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(32))
 
 
-class WordHashes(dict):
-    """Word (bytes) to a 64-bit hash; forgets all when it grows past `limit` words."""
-
-    def __init__(self, limit: int = 400_000):
-        super().__init__()
-        self.limit = limit
-
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        if len(self) >= self.limit:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), dtype=U64, count=len(words))
+#: A letter's random number, and the base of the polynomial that a word's hash is.
+_LETTERS = mixed(np.arange(1, 257, dtype=U64) * U64(0xA0761D6478BD642F))
+_BASE = 0x5851F42D4C957F2D
+_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+_SPACE = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
+_POWERS: dict[str, np.ndarray] = {}
 
 
-_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse modulo 2**64, n at least."""
+    if not len(_POWERS) or len(_POWERS["up"]) < n:
+        size = max(1 << 16, 1 << (n - 1).bit_length())
+        with np.errstate(over="ignore"):
+            up, down = (np.cumprod(np.concatenate([[U64(1)], np.full(size - 1, U64(b), dtype=U64)]), dtype=U64) for b in (_BASE, pow(_BASE, -1, 1 << 64)))
+        _POWERS["up"], _POWERS["down"] = up, down
+    return _POWERS["up"], _POWERS["down"]
 
 
 def lower_words(text: str | None) -> list[bytes]:
@@ -114,6 +122,24 @@ def lower_words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(_LOWER).split() if text else []
 
 
+def word_hashes(texts: list[str | None]) -> list[np.ndarray]:
+    """64-bit hashes of the words of `lower_words`, text by text, computed for all texts together."""
+    raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+    b = np.frombuffer(b" ".join(raw).translate(_LOWER) + b" ", dtype=np.uint8)
+    gap = _SPACE[b]
+    edge = np.flatnonzero(gap[1:] != gap[:-1]) + 1
+    if not gap[0]:
+        edge = np.concatenate([[0], edge])
+    begin, end = edge[0::2], edge[1::2]
+    up, down = _powers(len(b))
+    # A word's polynomial is a difference of prefix sums, brought to its own start.
+    total = np.concatenate([np.zeros(1, dtype=U64), np.cumsum(_LETTERS[b] * up[: len(b)], dtype=U64)])
+    out = mixed((total[end] - total[begin]) * down[begin] + (end - begin).astype(U64))
+    starts = np.cumsum([0, *(len(r) + 1 for r in raw)])
+    cuts = np.searchsorted(begin, starts).tolist()
+    return [out[x:y] for x, y in zip(cuts, cuts[1:])]
+
+
 def shingles(hashes: np.ndarray, n: int) -> np.ndarray:
     """Hashes of all n-word windows; fewer words give one window of them all, none give none."""
     size = len(hashes)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfwise.llm.common import U64, WordHashes, lower_words, settle, shingles, slices
+from shelfwise.llm.common import U64, lower_words, settle, shingles, slices, word_hashes
 
 WORDS, NUM, DEN = 5, 80, 100
 #: Of all items together: about 50 MB with their words.
@@ -51,9 +51,8 @@ def _items(benchmark: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """item_id, size, text, hashes (ascending), minima (how many of them)."""
 
     def find(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
-        for batch in slices(batches, "text"):
-            found = [np.unique(shingles(hashes.of(lower_words(t)), n)) for t in batch.column("text").to_pylist()]
+        for batch in slices(batches, "text", 1 << 20):
+            found = [np.unique(shingles(h, n)) for h in word_hashes(batch.column("text").to_pylist())]
             k = [min(len(h), minima(len(h), num, den)) if len(h) else 0 for h in found]
             yield pa.RecordBatch.from_arrays([batch.column("item_id"), batch.column("text"), pa.array([h.view(np.int64) for h in found], pa.list_(pa.int64())), pa.array(k, pa.int32())], ["item_id", "text", "hashes", "minima"])
 
@@ -92,13 +91,13 @@ def search(docs: DataFrame, benchmark: DataFrame, n: int = WORDS, num: int = NUM
     index = docs.sparkSession.sparkContext.broadcast([(r["item_id"], r["text"], r["hashes"], r["minima"]) for r in items.orderBy("item_id", "text").collect()])
 
     def find(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, held = WordHashes(), _Index(index.value, n)
-        for batch in slices(batches, "text"):
+        held = _Index(index.value, n)
+        for batch in slices(batches, "text", 1 << 20):
             of, item, size, common = [], [], [], []
-            for i, text in enumerate(batch.column("text").to_pylist()):
-                words = lower_words(text)
-                found = held.candidates(shingles(hashes.of(words), n)) if words else []
-                own = shingle_set(words, n).keys() if found else ()
+            texts = batch.column("text").to_pylist()
+            for i, (text, hashes) in enumerate(zip(texts, word_hashes(texts))):
+                found = held.candidates(shingles(hashes, n)) if len(hashes) else []
+                own = shingle_set(lower_words(text), n).keys() if found else ()
                 for j in found:
                     both = len(held.sets[j] & own)
                     if both * den >= len(held.sets[j]) * num:
@@ -119,11 +118,10 @@ def _search_by_join(docs: DataFrame, items: DataFrame, n: int, num: int, den: in
     """The same for any number of items. Items are told apart by a number, documents by a fingerprint of their row."""
 
     def spread(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for batch in slices(batches, "text", 1 << 20):
             of, out = [], []
-            for i, text in enumerate(batch.column("text").to_pylist()):
-                h = np.unique(shingles(hashes.of(lower_words(text)), n))
+            for i, h in enumerate(word_hashes(batch.column("text").to_pylist())):
+                h = np.unique(shingles(h, n))
                 out.append(h.view(np.int64)), of.append(np.full(len(h), i))
             yield pa.RecordBatch.from_arrays([batch.column("row").take(pa.array(np.concatenate(of))), pa.array(np.concatenate(out))], ["row", "hash"])
 

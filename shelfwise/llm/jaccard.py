@@ -7,18 +7,24 @@ Documents with the same shingle set are one point. The join is by regions:
    each point is placed in its own interval and, as its boundary copy, in the
    one below; a pair meets in the interval of the smaller set.
 2. An interval bounds by K the shingles in which a pair may differ. The shingle
-   universe is cut into K + 3 pivot sets; a pair differs in K of its projections
-   onto them at most, so 3 are equal. A region holds the points with the same
-   projection onto one pivot set. (Empty projections tell nothing apart; they are
-   used only by points that have 3 of them, without which no pair can rest on
-   empty ones alone.)
-3. In a region documents are pivots. All points are measured against the first
-   pivot; then, where points of different components are left, against the one
-   nearest to it; then what remains is joined pair by pair, but for pairs of one
-   component and pairs that the triangle inequality rules out by the distances
-   to the two pivots.
-
-Regions are tables of identifiers; sets travel only to pairs that are measured.
+   universe is cut into K + S pivot sets; a pair differs in K of its projections
+   onto them at most, so S are equal, where S is more than a set of that size is
+   likely to have empty ones. A region holds the points with the same projection
+   onto one pivot set. (Empty projections tell nothing apart; they are used only
+   by points that have S of them, without which no pair can rest on empty ones
+   alone.) So a point stays in play only while S of its projections, the empty
+   ones included, meet another point.
+3. Regions that share points make a cluster. A document is its pivot, and all
+   points of the cluster are measured against it; those within the distance are
+   linked to it. The cell is then joined again,
+   each point described by its difference from the pivot: x and y differ in as
+   much as their differences from p do. By the triangle inequality a pair of which
+   one lies beyond the distance can only be linked if its differences overlap by
+   a computable number, so the rarest of them, a computable prefix, must meet;
+   pairs that meet in one are measured exactly. Pairs that both lie within the
+   distance are in one component already.
+
+Regions are tables of identifiers; sets travel only to be measured against pivots.
 Distances are exact: set sizes and intersections of 64-bit shingle hashes.
 
 Pivots that are documents can't cut the whole space: the distance of unrelated
@@ -32,23 +38,25 @@ other by having one set; extra columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfwise.llm.common import U64, WordHashes, checked_broadcast, lower_words, mixed, settle, shingles, slices
+from shelfwise.llm.common import U64, checked_broadcast, mixed, release, settle, shingles, slices, word_hashes
 from shelfwise.llm.components import components
 
+#: Least number of projections that linked sets share.
 SPARE = 3
 
 
-def word_sets(texts: Iterable[str | None], n: int, hashes: WordHashes) -> Iterator[np.ndarray]:
+def word_sets(texts: list[str | None], n: int) -> Iterator[np.ndarray]:
     """The sorted distinct hashes of each text's n-word shingles."""
-    for text in texts:
-        yield np.unique(shingles(hashes.of(lower_words(text)), n))
+    for hashes in word_hashes(texts):
+        yield np.unique(shingles(hashes, n))
 
 
 def print_of(s: np.ndarray) -> int:
@@ -70,38 +78,45 @@ def intervals(size: int, num: int, den: int) -> list[tuple[int, int]]:
     return [(a, (b + b * den // num) * (den - num) // (den + num)) for a, b in found]
 
 
-def projections(s: np.ndarray, num: int, den: int, cache: dict) -> np.ndarray:
-    """Region numbers of a sorted set of hashes."""
+def spare(low: int, k: int) -> int:
+    """Projections beyond K, at least SPARE and more than a set of this size is likely to have empty ones."""
+    empty = math.exp(-low / (k + SPARE)) * k
+    return SPARE + math.ceil(1.5 * empty + 5 * math.sqrt(empty))
+
+
+def projections(s: np.ndarray, num: int, den: int, cache: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a sorted set of hashes: region numbers, their interval, and how many of the interval's a linked set shares at least."""
     size = len(s)
     if size not in cache:
         if len(cache) > 100_000:
             cache.clear()
-        cache[size] = intervals(size, num, den)
+        cache[size] = [(low, k + spare(low, k), spare(low, k)) for low, k in intervals(size, num, den) if k]  # k = 0: only equal sets are as near
     total = np.concatenate([np.zeros(1, dtype=U64), np.cumsum(mixed(s), dtype=U64)])
-    out = []
-    for low, k in cache[size]:
-        if not k:  # only equal sets are as near, and those are one point
-            continue
-        parts = k + SPARE
+    out, levels, needs = [], [], []
+    for low, parts, need in cache[size]:
         # Pivot sets are ranges of the hash, so a sorted set falls into runs.
         bounds = np.searchsorted((s >> U64(32)) * U64(parts) >> U64(32), np.arange(parts + 1, dtype=U64))
         sums = total[bounds[1:]] - total[bounds[:-1]]
         names = np.arange(parts, dtype=U64) + (U64(low) << U64(24))
         keep = bounds[1:] > bounds[:-1]
-        if parts - np.count_nonzero(keep) >= SPARE:
-            keep[:] = True
+        none = parts - int(np.count_nonzero(keep))
+        if none >= need:
+            keep[:], none = True, 0
         out.append(mixed(sums[keep] ^ mixed(names[keep])))
-    return np.concatenate(out) if out else np.zeros(0, dtype=U64)
+        levels.append(np.full(len(out[-1]), low, dtype=np.int64))
+        needs.append(np.full(len(out[-1]), need - none, dtype=np.int64))
+    if not out:
+        return np.zeros(0, dtype=U64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    return np.concatenate(out), np.concatenate(levels), np.concatenate(needs)
 
 
 def _points(docs: DataFrame, n: int) -> DataFrame:
     """doc_id, size, print of every document."""
 
     def find(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", 1 << 19):
             sizes, prints = [], []
-            for s in word_sets(batch.column("text").to_pylist(), n, hashes):
+            for s in word_sets(batch.column("text").to_pylist(), n):
                 sizes.append(len(s)), prints.append(print_of(s))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(prints, pa.int64())], ["doc_id", "size", "print"])
 
@@ -109,29 +124,38 @@ def _points(docs: DataFrame, n: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(find, f"doc_id {kind}, size long, print long")
 
 
-def _regions(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """(region, print) of every document."""
+def _regions(docs: DataFrame, n: int, num: int, den: int, bare: bool) -> DataFrame:
+    """(region, print) of every document, and unless `bare` the interval (level) and how many of it a linked set shares."""
+    names = ["region", "print"] if bare else ["region", "print", "level", "need"]
 
     def find(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, cache = WordHashes(), {}
-        for batch in slices(batches, "text"):
-            regions, prints = [], []
-            for s in word_sets(batch.column("text").to_pylist(), n, hashes):
+        cache: dict = {}
+        for batch in slices(batches, "text", 1 << 19):
+            parts: list[tuple[np.ndarray, ...]] = []
+            for s in word_sets(batch.column("text").to_pylist(), n):
                 if len(s):
-                    g = projections(s, num, den, cache)
-                    regions.append(g)
-                    prints.append(np.full(len(g), print_of(s), dtype=np.int64))
-            if regions:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(regions).view(np.int64)), pa.array(np.concatenate(prints))], ["region", "print"])
+                    g, level, need = projections(s, num, den, cache)
+                    parts.append((g.view(np.int64), np.full(len(g), print_of(s), dtype=np.int64), level, need))
+            if parts:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in list(zip(*parts))[: len(names)]], names)
+
+    return docs.select("text").mapInArrow(find, ", ".join(f"{c} long" for c in names))
 
-    return docs.select("text").mapInArrow(find, "region long, print long")
+
+def _meeting(members: DataFrame) -> DataFrame:
+    """`members` without points of which too few projections meet another point, and regions with one point then."""
+    for _ in range(2):
+        here = members.groupBy("print", "level").agg(F.count("region").alias("equal"), F.max("need").alias("need")).where("equal >= need").select("print", "level")
+        members = members.join(here, ["print", "level"], "left_semi")
+        full = members.groupBy("region").agg(F.min("print").alias("pivot"), F.max("print").alias("other")).where("pivot < other").select("region")
+        members = settle(members.join(full, "region", "left_semi"), "jaccard-meeting")
+    return members
 
 
 def _sets(docs: DataFrame, n: int) -> DataFrame:
     def find(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
-        for batch in slices(batches, "text"):
-            found = [s.view(np.int64) for s in word_sets(batch.column("text").to_pylist(), n, hashes)]
+        for batch in slices(batches, "text", 1 << 19):
+            found = [s.view(np.int64) for s in word_sets(batch.column("text").to_pylist(), n)]
             prints = [print_of(s.view(U64)) for s in found]
             yield pa.RecordBatch.from_arrays([pa.array(prints, pa.int64()), pa.array(found, pa.list_(pa.int64()))], ["print", "set"])
 
@@ -139,12 +163,57 @@ def _sets(docs: DataFrame, n: int) -> DataFrame:
 
 
 def _measured(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """(a, b) to a, b, distance and whether they are linked."""
+    """(a, b) to a, b, na, nb, difference (the shingles that one of them has) and whether they are linked."""
     x = sets.select(F.col("print").alias("a"), F.col("set").alias("x"))
     y = sets.select(F.col("print").alias("b"), F.col("set").alias("y"))
-    both = pairs.join(y, "b").join(x, "a").select("a", "b", F.size("x").alias("nx"), F.size("y").alias("ny"), F.size(F.array_intersect("x", "y")).alias("common"))
-    union = F.col("nx") + F.col("ny") - F.col("common")
-    return both.select("a", "b", (1 - F.col("common") / union).alias("distance"), (F.col("common") * den >= union * num).alias("linked"))
+    both = pairs.join(y, "b").join(x, "a").select("a", "b", F.size("x").alias("na"), F.size("y").alias("nb"), F.concat(F.array_except("x", "y"), F.array_except("y", "x")).alias("difference"))
+    return both.withColumn("linked", _linked(F.col("na"), F.col("nb"), F.size("difference"), num, den))
+
+
+def _linked(na: Column, nb: Column, apart: Column, num: int, den: int) -> Column:
+    """Whether sets of these sizes that differ in so many elements are within the distance."""
+    return (na + nb - apart) * den >= (na + nb + apart) * num
+
+
+def _rest(cells: DataFrame, num: int, den: int) -> DataFrame:
+    """Links (a, b) between points of a pivot's cell that the pivot doesn't show.
+
+    cells: (pivot, print, n, difference, linked, root). With d the size of a
+    point's difference and k the most that sets of the two sizes can differ in, an
+    overlap of (d + d' - k) / 2 is needed. Elements beyond the prefix that the most
+    modest partner needs are dropped first: a point beyond the distance may meet
+    partners down to d' = d - k, one within it only partners beyond it, of which
+    it shares (den - num) / (den + num) less than half its own difference at least.
+    """
+    c = cells.withColumn("d", F.size("difference")).where("d > 0")
+    ratio = (den - num) / (den + num)
+    k = F.floor((F.col("n") + F.col("n") * den / num) * ratio + 1e-9)
+    beyond = F.greatest(F.lit(1), F.ceil((F.col("d") + F.greatest(F.lit(1), F.col("d") - k) - k) / 2))
+    within = F.greatest(F.lit(1), F.ceil(F.col("d") * ((1 - ratio) / 2) - 1e-9))
+    need = F.when(F.col("linked"), within).otherwise(beyond)
+    c = settle(c.select("pivot", "print", "n", "d", "root", (~F.col("linked")).alias("far"), "difference", (F.col("d") - need + 1).cast("int").alias("prefix")), "jaccard-cells")
+    steps = c.select("pivot", "print", "prefix", F.explode("difference").alias("e"))
+    # What only one point of a cell differs in meets nobody, but takes its place in the prefix.
+    times = steps.groupBy("pivot", "e").agg(F.count(F.lit(1)).alias("times")).where("times > 1")
+    often = steps.join(times, ["pivot", "e"])
+    alone = c.select("pivot", "print", "d").join(often.groupBy("pivot", "print").agg(F.count(F.lit(1)).alias("shared")), ["pivot", "print"]).select("pivot", "print", (F.col("d") - F.col("shared")).alias("alone"))
+    place = F.row_number().over(Window.partitionBy("pivot", "print").orderBy("times", "e"))
+    kept = often.withColumn("place", place).join(alone, ["pivot", "print"]).withColumn("at", F.col("place") + F.col("alone")).where("at <= prefix").select("pivot", "e", "print", "at")
+    kept = settle(kept.join(c.select("pivot", "print", "root", "far", "n", "d"), ["pivot", "print"]), "jaccard-prefixes")
+    x = kept.where("far").select("pivot", "e", *(F.col(f).alias(f"{f}_a") for f in ("print", "root", "n", "d", "at")))
+    y = kept.select("pivot", "e", *(F.col(f).alias(f"{f}_b") for f in ("print", "root", "n", "d", "at", "far")))
+    # What this pair needs is more than each could need at least, and shortens both prefixes. Of two far points the smaller print is the first.
+    pair_need = F.ceil((F.col("d_a") + F.col("d_b") - F.floor((F.col("n_a") + F.col("n_b")) * ratio + 1e-9)) / 2)
+    meet = (F.col("at_a") <= F.col("d_a") - pair_need + 1) & (F.col("at_b") <= F.col("d_b") - pair_need + 1)
+    apart = (F.col("root_a") != F.col("root_b")) & (~F.col("far_b") | (F.col("print_a") < F.col("print_b")))
+    both = x.withColumnsRenamed({"pivot": "p", "e": "f"}).join(y, (F.col("p") == F.col("pivot")) & (F.col("f") == F.col("e")) & apart & meet)
+    pairs = both.select("pivot", F.col("print_a").alias("a"), F.col("print_b").alias("b"))
+    pairs = settle(pairs.distinct(), "jaccard-pairs")
+    one = c.select("pivot", F.col("print").alias("a"), F.col("n").alias("na"), F.col("difference").alias("da"))
+    two = c.select("pivot", F.col("print").alias("b"), F.col("n").alias("nb"), F.col("difference").alias("db"))
+    both = pairs.join(one, ["pivot", "a"]).join(two, ["pivot", "b"])
+    apart = F.size("da") + F.size("db") - 2 * F.size(F.array_intersect("da", "db"))
+    return both.where(_linked(F.col("na"), F.col("nb"), apart, num, den)).select("a", "b")
 
 
 def join(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100) -> tuple[DataFrame, DataFrame]:
@@ -154,54 +223,26 @@ def join(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100) -> tuple[Da
     """
     points = settle(_points(docs, n), "jaccard-points")
     # Regions of two sets at least; copies of one set add nothing to minimum and maximum.
-    shared = _regions(docs, n, num, den).groupBy("region").agg(F.min("print").alias("pivot"), F.max("print").alias("other")).where("pivot < other").select("region", "pivot")
+    shared = _regions(docs, n, num, den, True).groupBy("region").agg(F.min("print").alias("pivot"), F.max("print").alias("other")).where("pivot < other").select("region")
     shared = settle(shared, "jaccard-regions")
-    members = _regions(docs, n, num, den).join(checked_broadcast(shared), "region").distinct()
-    members = settle(members, "jaccard-members")
-    wanted = members.select("print").distinct()
-    one = points.where("size > 0").groupBy("print").agg(F.min("doc_id").alias("doc_id")).join(wanted, "print", "left_semi").select(F.col("doc_id").alias("__doc"))
+    release(docs.sparkSession)
+    members = _regions(docs, n, num, den, False).join(checked_broadcast(shared), "region").distinct()
+    members = _meeting(settle(members, "jaccard-members"))
+    # Clusters of regions, each with the smallest print as its pivot.
+    pivots = members.groupBy("region").agg(F.min("print").alias("a"))
+    clusters = components(members.select("region", F.col("print").alias("b")).join(pivots, "region").select("a", "b")).select(F.col("node").alias("print"), F.col("root").alias("pivot"))
+    clusters = settle(clusters, "jaccard-clusters")
+    one = points.where("size > 0").groupBy("print").agg(F.min("doc_id").alias("doc_id")).join(clusters, "print", "left_semi").select(F.col("doc_id").alias("__doc"))
     sets = settle(_sets(docs.join(checked_broadcast(settle(one, "jaccard-one")), F.col("doc_id") == F.col("__doc"), "left_semi"), n).dropDuplicates(["print"]), "jaccard-sets")
+    release(docs.sparkSession)
 
-    # First pivots.
-    first = settle(_measured(members.where("print <> pivot").select(F.col("pivot").alias("a"), F.col("print").alias("b")).distinct(), sets, num, den), "jaccard-first")
+    first = settle(_measured(clusters.where("print <> pivot").select(F.col("pivot").alias("a"), F.col("print").alias("b")), sets, num, den), "jaccard-first")
     links = first.where("linked").select("a", "b")
-    roots = components(links)
-
-    def labelled(m: DataFrame) -> DataFrame:
-        return m.join(checked_broadcast(roots.withColumnRenamed("node", "print")), "print", "left").withColumn("root", F.coalesce("root", "print"))
-
-    def open_(m: DataFrame) -> DataFrame:
-        """Members of regions in which components differ."""
-        sums = m.groupBy("region").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("region")
-        return m.join(checked_broadcast(sums), "region", "left_semi")
-
-    far = first.select(F.col("a").alias("pivot"), F.col("b").alias("print"), F.col("distance").alias("d1"))
-    m = labelled(members).join(far, ["pivot", "print"], "left").withColumn("d1", F.coalesce("d1", F.lit(0.0)))
-    m = settle(open_(settle(m, "jaccard-open")), "jaccard-open")
-    if m.isEmpty():
-        return points, roots
-    # Second pivots: in each region the point nearest to the first.
-    near = m.where("print <> pivot").groupBy("region").agg(F.min_by("print", F.struct("d1", "print")).alias("second"))
-    m = settle(m.join(checked_broadcast(near), "region"), "jaccard-second")
-    second = m.where("print <> second and print <> pivot").select(F.col("second").alias("a"), F.col("print").alias("b")).distinct()
-    second = settle(_measured(second, sets, num, den), "jaccard-second")
-    links = links.unionByName(second.where("linked").select("a", "b"))
-    roots = components(links)
-    far = second.select(F.col("a").alias("second"), F.col("b").alias("print"), F.col("distance").alias("d2"))
-    # A pivot's own distances: to itself 0, of the two to each other d1.
-    own = F.when(F.col("print") == F.col("second"), 0.0).otherwise(F.col("d2"))
-    m = labelled(m.drop("root").join(far, ["second", "print"], "left").withColumn("d2", own))
-    m = open_(settle(m.where("print <> pivot and print <> second"), "jaccard-rest"))
-    m = settle(m.select("region", "print", "root", "d1", "d2"), "jaccard-rest")
-    if m.isEmpty():
-        return points, roots
-    reach = 1 - num / den + 1e-9
-    x, y = m.alias("x"), m.alias("y")
-    near = (F.abs(F.col("x.d1") - F.col("y.d1")) <= reach) & (F.abs(F.col("x.d2") - F.col("y.d2")) <= reach)
-    rest = x.join(y, (F.col("x.region") == F.col("y.region")) & (F.col("x.print") < F.col("y.print")) & (F.col("x.root") != F.col("y.root")) & near)
-    rest = settle(rest.select(F.col("x.print").alias("a"), F.col("y.print").alias("b")).distinct(), "jaccard-pairs")
-    links = links.unionByName(_measured(rest, sets, num, den).where("linked").select("a", "b"))
-    return points, components(links)
+    # What is linked to the pivot is one component; all else is not known to be linked with anything yet.
+    cells = first.select(F.col("a").alias("pivot"), F.col("b").alias("print"), F.col("nb").alias("n"), "difference", "linked", F.when(F.col("linked"), F.col("a")).otherwise(F.col("b")).alias("root"))
+    open_ = first.where("not linked").select(F.col("a").alias("pivot")).distinct()
+    rest = settle(_rest(cells.join(checked_broadcast(open_), "pivot", "left_semi"), num, den), "jaccard-rest")
+    return points, components(links.unionByName(rest))
 
 
 def classes(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100) -> DataFrame:

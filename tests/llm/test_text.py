@@ -145,12 +145,13 @@ def test_intervals_hold_every_pair():
                 assert ks and ks[0] >= x + y - 2 * least
 
 
-def test_components_of_chains_and_stars(spark):
+@pytest.mark.parametrize("one_task", [0, 10**6])
+def test_components_of_chains_and_stars(spark, one_task):
     links = [(i, i + 1) for i in range(20, 60)] + [(100, i) for i in range(101, 140)] + [(-5, 7), (7, 7), (7, 200)]
-    got = {r.node: r.root for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
+    got = {r.node: r.root for r in components(spark.createDataFrame(links, "a long, b long"), one_task).collect()}
     want = {**{i: 20 for i in range(20, 61)}, **{i: 100 for i in range(100, 140)}, -5: -5, 7: -5, 200: -5}
     assert got == want
-    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+    assert components(spark.createDataFrame([], "a long, b long"), one_task).count() == 0
 
 
 # Decontamination
