@@ -45,7 +45,7 @@ def _space_separates(config: dict) -> bool:
 class WordCache:
     """Encodes texts to ids of the smallest little-endian type that holds the vocabulary."""
 
-    def __init__(self, path: str, limit: int = 500_000):
+    def __init__(self, path: str, limit: int = 300_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
