@@ -41,8 +41,7 @@ def op4_rans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    trusted = table(spark, sf_dir, "labels").where("quality = 1 and toxic = 0").select("doc_id")
-    return quality.judge(table(spark, sf_dir, "documents"), trusted)
+    return quality.judge_labelled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -351,3 +351,12 @@ def test_quality_keeps_good_documents(spark):
     bad = [r.kept for r in rows if r.quality == 0]
     print(np.mean(good), np.mean(bad), len(bad))
     assert np.mean(good) >= 0.99
+
+
+def test_quality_rejects_low_quality_of_a_larger_corpus(spark):
+    from shelfwise.llm.queries import op5_quality
+
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet").where("quality is not null and (quality = 0 or toxic = 0)")
+    rows = op5_quality(spark, "/root/testdata/sf0.1").join(labels, "doc_id").where("not base_failed").collect()
+    good, bad = ([r.kept for r in rows if r.quality == q] for q in (1, 0))
+    assert len(bad) > 250 and np.mean(bad) <= 0.02 and np.mean(good) >= 0.995
