@@ -10,7 +10,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shelfwise.operators import chains, filters, hierarchy
@@ -354,11 +354,21 @@ def _closure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hierarchy.closure(hierarchy.nodes(q.ctx)).select("ancestor", "node", "distance", "level")
 
 
+def _predecessors(parts: DataFrame) -> DataFrame:
+    """Parts of each brand as a linked list by key, the first of each brand named by the head."""
+    before = F.lag("p_partkey").over(Window.partitionBy("p_brand").orderBy("p_partkey"))
+    return parts.select(F.col("p_partkey").cast("int").alias("pk"), F.coalesce(before.cast("int"), F.lit(chains.HEAD)).alias("predecessor"))
+
+
+def _chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lists of all brands: where each part stands, and the first part of its list."""
+    return chains.positions(_predecessors(spark.read.parquet(f"{sf_dir}/part.parquet"))).select("pk", F.col("chain").cast("int").alias("chain"), F.col("position").cast("long").alias("position"))
+
+
 def _chain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts of one brand as a linked list by key, the first named by the head."""
-    parts = spark.read.parquet(f"{sf_dir}/part.parquet").where("p_brand = 'Brand#3'").select(F.col("p_partkey").cast("int").alias("pk"))
-    below = parts.alias("a").join(parts.alias("b"), F.col("b.pk") < F.col("a.pk"), "left").groupBy(F.col("a.pk").alias("pk")).agg(F.coalesce(F.max("b.pk"), F.lit(chains.HEAD)).alias("predecessor"))
-    return chains.positions(below).select("pk", F.col("position").cast("long").alias("position"))
+    """Of all lists, the one that the SQL twin names."""
+    own = spark.read.parquet(f"{sf_dir}/part.parquet").where("p_brand = 'Brand#3'").select(F.col("p_partkey").cast("int").alias("pk"))
+    return _chains(spark, sf_dir).join(own, "pk", "left_semi").select("pk", "position")
 
 
 def _changes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -381,6 +391,7 @@ def _expressions(spark: SparkSession, sf_dir: str) -> DataFrame:
 OTHERS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "hierarchy_closure": (_closure, PRELUDE + "SELECT ancestor, node, distance::INTEGER AS distance, level::INTEGER AS level FROM closure"),
     "predecessor_chain": (_chain, "SELECT p_partkey::INTEGER AS pk, row_number() OVER (ORDER BY p_partkey) - 1 AS position FROM part WHERE p_brand = 'Brand#3'"),
+    "predecessor_chains": (_chains, "SELECT p_partkey::INTEGER AS pk, (min(p_partkey) OVER (PARTITION BY p_brand))::INTEGER AS chain, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS position FROM part"),
     "changes_captured": (
         lambda s, d: changes.captured(_changes(s, d), [changes.Criterion(operations=("REMOVE",)), changes.Criterion(container_names=("purchase",), pk=7)], 1704070000, 0, "HEADER").select("version", "index", "pk", "operation", "container_name"),
         "SELECT epoch(date_trunc('minute', ts))::BIGINT AS version, event_id::INTEGER AS index, user_id::INTEGER AS pk, CASE WHEN event_type = 'error' THEN 'REMOVE' ELSE 'UPSERT' END AS operation, event_type AS container_name FROM events WHERE (event_type = 'error' OR (event_type = 'purchase' AND user_id = 7)) AND epoch(date_trunc('minute', ts)) >= 1704070000",

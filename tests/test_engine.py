@@ -168,6 +168,20 @@ def test_chains(spark, rows, want):
     assert {r.pk: (r.chain, r.position) for r in got} == want
 
 
+def test_chains_of_all_brands(spark, small):
+    from shelfwise.plans import registry
+
+    parts = spark.read.parquet(f"{small}/part.parquet")
+    want, lists = {}, {}
+    for r in sorted(parts.collect(), key=lambda r: r.p_partkey):
+        own = lists.setdefault(r.p_brand, [])
+        own.append(r.p_partkey)
+        want[r.p_partkey] = (own[0], len(own) - 1)
+    got = registry.queries()["predecessor_chains"](spark, small).collect()
+    assert len(lists) > 1 and len(got) == len(want) and {r.pk: (r.chain, r.position) for r in got} == want
+    assert "Join" not in registry._predecessors(parts)._jdf.queryExecution().executedPlan().toString()  # no pairs of parts
+
+
 @pytest.mark.parametrize(
     "text",
     ["query(collection('none'))", "query(collection('item'), filterBy(attributeEquals('nope', 1)))", "query(collection('item'), filterBy(attributeEquals('hidden', 1)))", "query(collection('item'), filterBy(attributeEquals('name', 'a')))", "query(collection('item'), filterBy(userFilter(priceInCurrency('CZK'))))", "query(collection('item'), filterBy(or(priceInCurrency('CZK'), priceInCurrency('EUR'))))", "query(collection('item'), filterBy(priceBetween(1, 2)))", "query(collection('group'), filterBy(hierarchyWithinRootSelf()))", "query(collection('item'), require(attributeHistogram(5, 'code')))", "query(filterBy(attributeEquals('size', 1)))"],
