@@ -29,7 +29,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfwise.llm.common import partitions, settle, slices
@@ -50,7 +50,7 @@ _SIZES, _LINES = 18, 4
 
 
 def blocks_of(role: str | None, text: str | None) -> list[tuple[int, str]]:
-    """(marker, text without it) of each block of a row."""
+    """(marker, text without it) of each block of a row; a marker without text gives an empty block."""
     text = text or ""
     marker = NONE if role is None or not role.strip() else NAMES.get(role.strip().lower(), OTHER)
     out, at = [], 0
@@ -62,7 +62,7 @@ def blocks_of(role: str | None, text: str | None) -> list[tuple[int, str]]:
             out.append((marker, ""))
         marker, at = NAMES[(m[1] or m[2]).lower()], m.end()
     out.append((marker, text[at:]))
-    return [b for i, b in enumerate(out) if b[1] or len(out) == 1 or i == len(out) - 1] or out
+    return out
 
 
 def features(text: str) -> tuple[int, int, int]:
@@ -135,7 +135,13 @@ def train(blocks: DataFrame, smoothing: float = 0.5) -> dict:
     move, start = np.full((3, 3), smoothing), np.full(3, smoothing)
     for r in _in_order(bare).mapInArrow(pairs, "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n")).collect():
         move[r["a"], r["b"]] += r["n"]
-    first = F.min(F.struct(F.col("turn").isNotNull().alias("x"), "turn", "h", "part", "marker"))["marker"]
+    place = F.struct(F.col("turn").isNotNull().alias("x"), "turn", "h", "part", "marker")
+    # Pairs across segments: a row a segment, its first and last marker.
+    ends = bare.groupBy(*_KEY).agg(F.min(place)["marker"].alias("b"), F.max(place)["marker"].alias("last"))
+    ends = ends.select("b", F.lag("last").over(Window.partitionBy("conv_id").orderBy("seg")).alias("a"))
+    for r in ends.where(f"a < {OTHER} and b < {OTHER}").groupBy("a", "b").count().collect():
+        move[r["a"], r["b"]] += r["count"]
+    first = F.min(place)["marker"]
     for r in bare.groupBy("conv_id").agg(first.alias("m")).where(f"m < {OTHER}").groupBy("m").count().collect():
         start[r["m"]] += r["count"]
     shown = [np.full((3, n), smoothing) for n in (_SIZES, _LINES, 2)]

@@ -13,6 +13,20 @@ def test_blocks():
     assert chat.blocks_of("user", "userland: no marker\naim: none") == [(1, "userland: no marker\naim: none")]
 
 
+def test_empty_turns_are_kept():
+    assert chat.blocks_of(None, "User:\nAssistant: hi") == [(1, ""), (2, "hi")]
+    assert chat.blocks_of("user", "Assistant: hi") == [(1, ""), (2, "hi")] and chat.blocks_of("assistant", "Assistant: hi") == [(2, "hi")]
+
+
+def test_pairs_across_segments_count(spark, monkeypatch):
+    rows = spark.createDataFrame([(c, t, "user" if t % 2 else "assistant", f"text {t}") for c in (1, None) for t in (*range(7), 600, 601)], "conv_id long, turn long, role string, text string")
+    whole = chat.train(chat._blocks(rows.where("turn < 256")))["move"]
+    monkeypatch.setattr(chat, "SEGMENT", 2)
+    assert np.allclose(chat.train(chat._blocks(rows.where("turn < 256")))["move"], whole)
+    more = np.exp(chat.train(chat._blocks(rows), 0.0)["move"])  # 6, 600 and 601 are neighbours too
+    assert abs(more[2, 1] - 8 / 10) < 1e-9 and abs(more[2, 2] - 2 / 10) < 1e-9
+
+
 def brute(model, e):
     best = max(itertools.product(range(3), repeat=len(e)), key=lambda p: model["start"][p[0]] + sum(e[i][k] for i, k in enumerate(p)) + sum(model["move"][a, b] for a, b in zip(p, p[1:])))
     return list(best)
