@@ -32,14 +32,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
-    Only where the session names none (tests on one machine) a temporary one is
-    made and set.
+    Only where the session names none and runs in one process (master local) a
+    temporary one is made and set; on a cluster that is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return base.rstrip("/")
     option = spark.sparkContext._jsc.sc().getCheckpointDir()
     if option.isEmpty():
+        if not spark.sparkContext._jsc.sc().isLocal():
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="shelfwise-"))
         option = spark.sparkContext._jsc.sc().getCheckpointDir()
     return option.get().rstrip("/")
@@ -58,7 +60,21 @@ def settle(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """
     path = scratch(df.sparkSession, name)
     df.write.option("compression", codec).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._settled = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete tables that `settle` wrote and that nothing reads any more.
+
+    What a result that is handed out still reads stays until its reader clears the
+    shared folder.
+    """
+    for df in tables:
+        spark = df.sparkSession
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df._settled)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def partitions(spark: SparkSession) -> int:

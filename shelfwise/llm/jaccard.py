@@ -1,6 +1,7 @@
 """N-gram Jaccard join: an exact metric-space self-join under Jaccard distance.
 
-Documents with the same shingle set are one point. The join is by regions:
+Documents with the same shingle set are one point. The join is by regions, in
+three steps, each on the regions that the one before leaves open:
 
 1. The first coordinate is a set's size. Points within the distance differ in
    size by a bounded ratio, so sizes are cut into intervals of that ratio and
@@ -10,22 +11,29 @@ Documents with the same shingle set are one point. The join is by regions:
    universe is cut into K + S pivot sets; a pair differs in K of its projections
    onto them at most, so S are equal, where S is more than a set of that size is
    likely to have empty ones. A region holds the points with the same projection
-   onto one pivot set. (Empty projections tell nothing apart; they are used only
-   by points that have S of them, without which no pair can rest on empty ones
-   alone.) So a point stays in play only while S of its projections, the empty
-   ones included, meet another point.
-3. Regions that share points make a cluster. A document is its pivot, and all
-   points of the cluster are measured against it; those within the distance are
-   linked to it. The cell is then joined again,
-   each point described by its difference from the pivot: x and y differ in as
-   much as their differences from p do. By the triangle inequality a pair of which
-   one lies beyond the distance can only be linked if its differences overlap by
-   a computable number, so the rarest of them, a computable prefix, must meet;
-   pairs that meet in one are measured exactly. Pairs that both lie within the
-   distance are in one component already.
+   onto one pivot set. Empty projections tell nothing apart: a point drops them,
+   and must meet others in as many fewer; one with S of them or more keeps them,
+   and must meet others once. A point stays in play only while that many of its
+   projections meet another point. Regions that share points make a cell.
+3. The most central point of a cell (whose regions hold most) is its pivot, and
+   all points of the cell are measured against it; those within the distance are
+   linked to it, and pairs among them are one component already. The cell is then
+   joined again, each point described by its difference from the pivot: x and y
+   differ in as much as their differences from p do. So by the triangle
+   inequality a point beyond the distance can only be linked with one whose
+   difference it shares to a computable part. What it shares with no other point
+   of the cell counts against it, and points that can't reach that part are
+   dropped, until few are left. The rarest elements of the others, a computable
+   prefix, cut the cell into smaller regions; these are joined recursively, with
+   further pivots among the points beyond the distance: 16 of a region, then 256,
+   and so on, a point being a pivot once. Each pivot is measured against the
+   points of its region that lie within its window and aren't in its component
+   by then, and the components are brought up to date after each turn.
 
 Regions are tables of identifiers; sets travel only to be measured against pivots.
-Distances are exact: set sizes and intersections of 64-bit shingle hashes.
+Distances are exact: set sizes and intersections of 64-bit shingle hashes (two
+shingles with one hash count as one; at 10^12 distinct shingles a given document
+of 1000 is touched by that with a probability of 10^-4).
 
 Pivots that are documents can't cut the whole space: the distance of unrelated
 documents is nearly 1 to any of them, so every window would hold everything (see
@@ -33,7 +41,8 @@ the README for figures). Hence the first two steps.
 
 Defined cases: documents without words have size 0 and are linked with nothing;
 texts of fewer than n words are one shingle; repeated rows are linked with each
-other by having one set; extra columns are ignored.
+other by having one set; extra columns are ignored; null identifiers are carried,
+and are the smallest of their class only if it has no others.
 """
 
 from __future__ import annotations
@@ -46,11 +55,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfwise.llm.common import U64, checked_broadcast, mixed, release, settle, shingles, slices, word_hashes
+from shelfwise.llm.common import U64, checked_broadcast, forget, mixed, partitions, release, settle, shingles, slices, word_hashes
 from shelfwise.llm.components import components
 
 #: Least number of projections that linked sets share.
 SPARE = 3
+#: Bytes of text whose regions are compared with each other before the shuffle.
+CHUNK = 4 << 20
+#: Points of one region in a chunk from which it is hot.
+HOT = 8
+#: Turns in which points of a cell that can't be linked are dropped, and pivots of a region in the first turn; each further one has so many times more.
+DROPS, PIVOTS = 2, 16
 
 
 def word_sets(texts: list[str | None], n: int) -> Iterator[np.ndarray]:
@@ -101,7 +116,7 @@ def projections(s: np.ndarray, num: int, den: int, cache: dict) -> tuple[np.ndar
         keep = bounds[1:] > bounds[:-1]
         none = parts - int(np.count_nonzero(keep))
         if none >= need:
-            keep[:], none = True, 0
+            keep[:], none = True, need - 1
         out.append(mixed(sums[keep] ^ mixed(names[keep])))
         levels.append(np.full(len(out[-1]), low, dtype=np.int64))
         needs.append(np.full(len(out[-1]), need - none, dtype=np.int64))
@@ -111,47 +126,129 @@ def projections(s: np.ndarray, num: int, den: int, cache: dict) -> tuple[np.ndar
 
 
 def _points(docs: DataFrame, n: int) -> DataFrame:
-    """doc_id, size, print of every document."""
+    """doc_id, text_hash, size, print of every document."""
 
     def find(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 1 << 19):
             sizes, prints = [], []
             for s in word_sets(batch.column("text").to_pylist(), n):
                 sizes.append(len(s)), prints.append(print_of(s))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(prints, pa.int64())], ["doc_id", "size", "print"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(sizes, pa.int64()), pa.array(prints, pa.int64())], ["doc_id", "text_hash", "size", "print"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(find, f"doc_id {kind}, size long, print long")
+    return docs.select("doc_id", "text", text_hash(docs).alias("text_hash")).mapInArrow(find, f"doc_id {kind}, text_hash long, size long, print long")
 
 
-def _regions(docs: DataFrame, n: int, num: int, den: int, bare: bool) -> DataFrame:
-    """(region, print) of every document, and unless `bare` the interval (level) and how many of it a linked set shares."""
-    names = ["region", "print"] if bare else ["region", "print", "level", "need"]
+def text_hash(docs: DataFrame) -> Column:
+    """With the identifier, what tells rows of different documents apart."""
+    return F.xxhash64(docs["text"])
+
+
+_REGIONS = ["deal", "region", "print", "tag"]
+
+
+def _regions(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """A row for each region of each document: region, print, tag (the interval, how many regions a linked set shares, whether the region is known to be shared), and `deal`, by which it is dealt.
+
+    In a chunk a set is taken once, and of a hot region, as a common passage makes
+    it, one row goes to where the region is gathered; the others, known to be
+    shared, go anywhere.
+    """
 
     def find(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict = {}
+        seen: set[int] = set()
+        held: list[tuple[np.ndarray, ...]] = []
+        size = 0
+
+        def rows() -> Iterator[pa.RecordBatch]:
+            region, point, tag = (np.concatenate(x) for x in zip(*held))
+            held.clear(), seen.clear()
+            deal = region.copy()
+            _, first, which, times = np.unique(region, return_index=True, return_inverse=True, return_counts=True)
+            hot = times[which] > HOT
+            tag += hot
+            away = hot & (first[which] != np.arange(len(region)))
+            deal[away] = mixed(region[away] ^ point[away].view(U64))
+            columns = [deal.view(np.int64), region.view(np.int64), point, tag]
+            for i in range(0, len(region), 1 << 16):
+                yield pa.RecordBatch.from_arrays([pa.array(c[i : i + (1 << 16)]) for c in columns], _REGIONS)
+
         for batch in slices(batches, "text", 1 << 19):
-            parts: list[tuple[np.ndarray, ...]] = []
-            for s in word_sets(batch.column("text").to_pylist(), n):
-                if len(s):
+            texts = batch.column("text").to_pylist()
+            for s in word_sets(texts, n):
+                p = print_of(s)
+                if len(s) and p not in seen:
+                    seen.add(p)
                     g, level, need = projections(s, num, den, cache)
-                    parts.append((g.view(np.int64), np.full(len(g), print_of(s), dtype=np.int64), level, need))
-            if parts:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in list(zip(*parts))[: len(names)]], names)
+                    held.append((g, np.full(len(g), p, dtype=np.int64), level << 17 | need << 1))
+            size += batch.column("text").nbytes
+            if size >= CHUNK and held:
+                yield from rows()
+                size = 0
+        if held:
+            yield from rows()
+
+    return docs.select("text").mapInArrow(find, ", ".join(f"{c} long" for c in _REGIONS))
+
 
-    return docs.select("text").mapInArrow(find, ", ".join(f"{c} long" for c in names))
+def _shared(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows in order of region, print and tag (descending): each point once of regions that hold two at least, or are known to.
+
+    Nothing is held but the last row: a region may have any number of points.
+    """
+    last: tuple[int, int, int] | None = None
+    given = False  # whether the row that is held has been handed out
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        region, point, tag = (batch.column(c).to_numpy() for c in _REGIONS[1:])
+        if last is not None:
+            region, point, tag = (np.concatenate([[x], y]) for x, y in zip(last, (region, point, tag)))
+        first = np.concatenate([[True], region[1:] != region[:-1]])
+        fresh = first | np.concatenate([[True], point[1:] != point[:-1]])
+        region, point, tag, first = region[fresh], point[fresh], tag[fresh], first[fresh]
+        group = np.cumsum(first) - 1
+        ok = (np.bincount(group) > 1) | (np.bincount(group, weights=tag & 1) > 0)
+        out = ok[group]
+        last = (int(region[-1]), int(point[-1]), int(tag[-1]) | int(ok[-1]))
+        if given:
+            out[0] = False
+        given = bool(ok[-1])
+        yield pa.RecordBatch.from_arrays([pa.array(region[out]), pa.array(point[out]), pa.array(tag[out] >> 17), pa.array(tag[out] >> 1 & 0xFFFF)], ["region", "print", "level", "need"])
+
+
+def _members(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """(region, print, level, need) of regions with two points at least."""
+    rows = _regions(docs, n, num, den).repartition(partitions(docs.sparkSession), "deal")
+    rows = rows.sortWithinPartitions("region", "print", F.col("tag").desc())
+    return rows.mapInArrow(_shared, "region long, print long, level long, need long").distinct()
 
 
 def _meeting(members: DataFrame) -> DataFrame:
     """`members` without points of which too few projections meet another point, and regions with one point then."""
     for _ in range(2):
         here = members.groupBy("print", "level").agg(F.count("region").alias("equal"), F.max("need").alias("need")).where("equal >= need").select("print", "level")
-        members = members.join(here, ["print", "level"], "left_semi")
-        full = members.groupBy("region").agg(F.min("print").alias("pivot"), F.max("print").alias("other")).where("pivot < other").select("region")
-        members = settle(members.join(full, "region", "left_semi"), "jaccard-meeting")
+        left = members.join(here, ["print", "level"], "left_semi")
+        full = left.groupBy("region").agg(F.min("print").alias("pivot"), F.max("print").alias("other")).where("pivot < other").select("region")
+        before, members = members, settle(left.join(full, "region", "left_semi"), "jaccard-meeting")
+        forget(before)
     return members
 
 
+def _cells(members: DataFrame) -> DataFrame:
+    """(print, pivot): the cell of each point, named by its most central point."""
+    regions = members.groupBy("region").agg(F.min("print").alias("a"), F.count(F.lit(1)).alias("times"))
+    steps = settle(members.select("region", F.col("print").alias("b")).join(regions, "region").select("a", "b", "times"), "jaccard-steps")
+    degrees = steps.groupBy(F.col("b").alias("node")).agg(F.sum("times").alias("degree"))
+    cells = settle(components(steps.select("a", "b")).join(degrees, "node"), "jaccard-degrees")
+    # Of equally central points the smallest print.
+    pivots = cells.groupBy("root").agg(F.max_by("node", F.struct("degree", -F.col("node"))).alias("pivot"))
+    out = settle(cells.join(pivots, "root").select(F.col("node").alias("print"), "pivot"), "jaccard-cells")
+    forget(steps, cells)
+    return out
+
+
 def _sets(docs: DataFrame, n: int) -> DataFrame:
     def find(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 1 << 19):
@@ -163,104 +260,148 @@ def _sets(docs: DataFrame, n: int) -> DataFrame:
 
 
 def _measured(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """(a, b) to a, b, na, nb, difference (the shingles that one of them has) and whether they are linked."""
-    x = sets.select(F.col("print").alias("a"), F.col("set").alias("x"))
-    y = sets.select(F.col("print").alias("b"), F.col("set").alias("y"))
-    both = pairs.join(y, "b").join(x, "a").select("a", "b", F.size("x").alias("na"), F.size("y").alias("nb"), F.concat(F.array_except("x", "y"), F.array_except("y", "x")).alias("difference"))
-    return both.withColumn("linked", _linked(F.col("na"), F.col("nb"), F.size("difference"), num, den))
-
-
-def _linked(na: Column, nb: Column, apart: Column, num: int, den: int) -> Column:
-    """Whether sets of these sizes that differ in so many elements are within the distance."""
-    return (na + nb - apart) * den >= (na + nb + apart) * num
+    """(pivot, print) to pivot, print, n_pivot, n, difference (the shingles that one of them has) and whether they are linked."""
+    x = sets.select(F.col("print").alias("pivot"), F.col("set").alias("x"))
+    y = sets.select("print", F.col("set").alias("y"))
+    both = pairs.join(y, "print").join(x, "pivot").select("pivot", "print", F.size("x").alias("n_pivot"), F.size("y").alias("n"), F.concat(F.array_except("x", "y"), F.array_except("y", "x")).alias("difference"))
+    apart = F.size("difference")
+    return both.withColumn("linked", (F.col("n_pivot") + F.col("n") - apart) * den >= (F.col("n_pivot") + F.col("n") + apart) * num)
 
 
-def _rest(cells: DataFrame, num: int, den: int) -> DataFrame:
+def _rest(measured: DataFrame, num: int, den: int) -> DataFrame:
     """Links (a, b) between points of a pivot's cell that the pivot doesn't show.
 
-    cells: (pivot, print, n, difference, linked, root). With d the size of a
-    point's difference and k the most that sets of the two sizes can differ in, an
-    overlap of (d + d' - k) / 2 is needed. Elements beyond the prefix that the most
-    modest partner needs are dropped first: a point beyond the distance may meet
-    partners down to d' = d - k, one within it only partners beyond it, of which
-    it shares (den - num) / (den + num) less than half its own difference at least.
+    With n a point's size, d that of its difference from the pivot, and
+    u = (num + den) d - (den - num) n, two points whose differences share o
+    elements are linked if 2 (num + den) o >= u + u'. The pivot links the others,
+    so one of a pair lies beyond the distance, and then u + u' > 0.
     """
-    c = cells.withColumn("d", F.size("difference")).where("d > 0")
-    ratio = (den - num) / (den + num)
-    k = F.floor((F.col("n") + F.col("n") * den / num) * ratio + 1e-9)
-    beyond = F.greatest(F.lit(1), F.ceil((F.col("d") + F.greatest(F.lit(1), F.col("d") - k) - k) / 2))
-    within = F.greatest(F.lit(1), F.ceil(F.col("d") * ((1 - ratio) / 2) - 1e-9))
-    need = F.when(F.col("linked"), within).otherwise(beyond)
-    c = settle(c.select("pivot", "print", "n", "d", "root", (~F.col("linked")).alias("far"), "difference", (F.col("d") - need + 1).cast("int").alias("prefix")), "jaccard-cells")
-    steps = c.select("pivot", "print", "prefix", F.explode("difference").alias("e"))
-    # What only one point of a cell differs in meets nobody, but takes its place in the prefix.
-    times = steps.groupBy("pivot", "e").agg(F.count(F.lit(1)).alias("times")).where("times > 1")
-    often = steps.join(times, ["pivot", "e"])
-    alone = c.select("pivot", "print", "d").join(often.groupBy("pivot", "print").agg(F.count(F.lit(1)).alias("shared")), ["pivot", "print"]).select("pivot", "print", (F.col("d") - F.col("shared")).alias("alone"))
-    place = F.row_number().over(Window.partitionBy("pivot", "print").orderBy("times", "e"))
-    kept = often.withColumn("place", place).join(alone, ["pivot", "print"]).withColumn("at", F.col("place") + F.col("alone")).where("at <= prefix").select("pivot", "e", "print", "at")
-    kept = settle(kept.join(c.select("pivot", "print", "root", "far", "n", "d"), ["pivot", "print"]), "jaccard-prefixes")
-    x = kept.where("far").select("pivot", "e", *(F.col(f).alias(f"{f}_a") for f in ("print", "root", "n", "d", "at")))
-    y = kept.select("pivot", "e", *(F.col(f).alias(f"{f}_b") for f in ("print", "root", "n", "d", "at", "far")))
-    # What this pair needs is more than each could need at least, and shortens both prefixes. Of two far points the smaller print is the first.
-    pair_need = F.ceil((F.col("d_a") + F.col("d_b") - F.floor((F.col("n_a") + F.col("n_b")) * ratio + 1e-9)) / 2)
-    meet = (F.col("at_a") <= F.col("d_a") - pair_need + 1) & (F.col("at_b") <= F.col("d_b") - pair_need + 1)
-    apart = (F.col("root_a") != F.col("root_b")) & (~F.col("far_b") | (F.col("print_a") < F.col("print_b")))
-    both = x.withColumnsRenamed({"pivot": "p", "e": "f"}).join(y, (F.col("p") == F.col("pivot")) & (F.col("f") == F.col("e")) & apart & meet)
-    pairs = both.select("pivot", F.col("print_a").alias("a"), F.col("print_b").alias("b"))
-    pairs = settle(pairs.distinct(), "jaccard-pairs")
-    one = c.select("pivot", F.col("print").alias("a"), F.col("n").alias("na"), F.col("difference").alias("da"))
-    two = c.select("pivot", F.col("print").alias("b"), F.col("n").alias("nb"), F.col("difference").alias("db"))
-    both = pairs.join(one, ["pivot", "a"]).join(two, ["pivot", "b"])
-    apart = F.size("da") + F.size("db") - 2 * F.size(F.array_intersect("da", "db"))
-    return both.where(_linked(F.col("na"), F.col("nb"), apart, num, den)).select("a", "b")
+    w, g = num + den, den - num
+    c = measured.withColumn("d", F.size("difference").cast("long")).where("d > 0")
+    u = F.col("d") * w - F.col("n") * g
+    # The least u of a point that this one can be linked with: by the triangle inequality and the sizes, and if this one is near, because the other isn't.
+    most = F.floor(F.col("n") * den / num)
+    least = F.greatest(u - 2 * g * most, w - g * most, F.when(F.col("linked"), F.col("n_pivot") * g + 1))
+    root = F.when(F.col("linked"), F.col("pivot")).otherwise(F.col("print"))
+    c = settle(c.select("pivot", "print", "difference", u.alias("u"), least.alias("least"), (~F.col("linked")).alias("far"), root.alias("root")), "jaccard-differences")
+
+    def up(x: Column) -> Column:
+        """How many shared elements it takes."""
+        return F.greatest(F.lit(1), F.ceil(x / (2 * w)))
+
+    steps = settle(c.select("pivot", "print", "u", "least", "far", "root", F.explode("difference").alias("e")), "jaccard-elements")
+    own = Window.partitionBy("pivot", "print")
+    for turn in range(DROPS):
+        times = steps.groupBy("pivot", "e").agg(F.count(F.lit(1)).alias("times"), F.bool_or("far").alias("any_far")).where("times > 1 and any_far").select("pivot", "e", "times")
+        often = steps.join(times, ["pivot", "e"]).withColumn("many", F.count(F.lit(1)).over(own)).withColumn("at", F.row_number().over(own.orderBy("times", "e")))
+        # Of `many` elements that any other has, the rarest: a point that shares as many as it takes shares one of them.
+        kept = often.where(F.col("at") <= F.col("many") - up(F.col("u") + F.col("least")) + 1).withColumn("v", 2 * w * F.col("many") - F.col("u"))
+        kept = settle(kept, "jaccard-prefixes")
+        far_only = lambda x: F.when(F.col("far"), F.col(x))
+        sides = kept.groupBy("pivot", "e").agg(F.max("v").alias("v1"), F.min("u").alias("u1"), F.max(far_only("v")).alias("v2"), F.min(far_only("u")).alias("u2"), F.count(F.lit(1)).alias("here")).where("here > 1")
+        # Elements shared are `many` at most on either side, so u <= v' and u' <= v.
+        able = F.when(F.col("far"), (F.col("v1") >= F.col("u")) & (F.col("u1") <= F.col("v"))).otherwise((F.col("v2") >= F.col("u")) & (F.col("u2") <= F.col("v")))
+        regions = settle(kept.join(sides, ["pivot", "e"]).where(able).drop("v1", "u1", "v2", "u2"), "jaccard-regions")
+        forget(kept)
+        if turn + 1 < DROPS:
+            before, steps = steps, settle(steps.join(regions.select("pivot", "print").distinct(), ["pivot", "print"], "left_semi"), "jaccard-elements")
+            forget(before, regions)
+    forget(steps)
+
+    # A point's turn as a pivot of its region: a hash of it picks PIVOTS of the region's points in the first, PIVOTS times as many in each further one.
+    place = F.pmod(F.xxhash64("print", "e"), F.lit(1 << 30)) * F.col("here") / F.lit(1 << 30)
+    turn = F.greatest(F.lit(0), F.floor(F.log(F.greatest(place, F.lit(1.0))) / math.log(PIVOTS))).cast("int")
+    held = settle(regions.withColumn("turn", F.when(F.col("far"), turn)).drop("least", "times", "here"), "jaccard-turns")
+    forget(regions)
+    last = held.agg(F.max("turn")).first()[0]
+    links = [c.select(F.col("pivot").alias("a"), F.col("print").alias("b")).where("false")]
+    for t in range(0 if last is None else last + 1):
+        of = ("print", "root", "u", "v", "many", "at")
+        x = held.where(F.col("turn") == t).select(F.col("pivot").alias("p"), F.col("e").alias("f"), *(F.col(f).alias(f"{f}_a") for f in of))
+        y = held.where(F.col("turn").isNull() | (F.col("turn") >= t)).select("pivot", "e", F.col("turn").alias("turn_b"), *(F.col(f).alias(f"{f}_b") for f in of))
+        window = (F.col("u_a") <= F.col("v_b")) & (F.col("u_b") <= F.col("v_a"))
+        takes = up(F.col("u_a") + F.col("u_b"))
+        window &= (F.col("at_a") <= F.col("many_a") - takes + 1) & (F.col("at_b") <= F.col("many_b") - takes + 1)
+        once = F.col("turn_b").isNull() | (F.col("turn_b") > t) | (F.col("print_a") < F.col("print_b"))
+        both = x.join(y, (F.col("p") == F.col("pivot")) & (F.col("f") == F.col("e")) & (F.col("root_a") != F.col("root_b")) & once & window)
+        pairs = both.select("pivot", F.col("print_a").alias("a"), F.col("print_b").alias("b"), "root_a", "root_b", (F.col("u_a") + F.col("u_b")).alias("uu")).distinct()
+        one = c.select("pivot", F.col("print").alias("a"), F.col("difference").alias("da"))
+        two = c.select("pivot", F.col("print").alias("b"), F.col("difference").alias("db"))
+        found = pairs.join(one, ["pivot", "a"]).join(two, ["pivot", "b"]).where(2 * w * F.size(F.array_intersect("da", "db")) >= F.col("uu"))
+        found = settle(found.select("a", "b", "root_a", "root_b"), "jaccard-links")
+        links.append(found.select("a", "b"))
+        if t < last:
+            merged = components(found.select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))).select("node", F.col("root").alias("new"))
+            before = held
+            held = settle(held.join(merged, F.col("root") == F.col("node"), "left").withColumn("root", F.coalesce("new", "root")).drop("node", "new"), "jaccard-turns")
+            forget(before)
+    out = links[0]
+    for more in links[1:]:
+        out = out.unionByName(more)
+    return out
 
 
 def join(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100) -> tuple[DataFrame, DataFrame]:
-    """All documents' points (doc_id, size, print) and the components of their links (node, root) by print.
+    """All documents' points (doc_id, text_hash, size, print) and the components of their links (node, root) by print.
 
     Points that have no link to another set aren't in the second.
     """
     points = settle(_points(docs, n), "jaccard-points")
-    # Regions of two sets at least; copies of one set add nothing to minimum and maximum.
-    shared = _regions(docs, n, num, den, True).groupBy("region").agg(F.min("print").alias("pivot"), F.max("print").alias("other")).where("pivot < other").select("region")
-    shared = settle(shared, "jaccard-regions")
+    members = settle(_members(docs, n, num, den), "jaccard-members")
     release(docs.sparkSession)
-    members = _regions(docs, n, num, den, False).join(checked_broadcast(shared), "region").distinct()
-    members = _meeting(settle(members, "jaccard-members"))
-    # Clusters of regions, each with the smallest print as its pivot.
-    pivots = members.groupBy("region").agg(F.min("print").alias("a"))
-    clusters = components(members.select("region", F.col("print").alias("b")).join(pivots, "region").select("a", "b")).select(F.col("node").alias("print"), F.col("root").alias("pivot"))
-    clusters = settle(clusters, "jaccard-clusters")
-    one = points.where("size > 0").groupBy("print").agg(F.min("doc_id").alias("doc_id")).join(clusters, "print", "left_semi").select(F.col("doc_id").alias("__doc"))
-    sets = settle(_sets(docs.join(checked_broadcast(settle(one, "jaccard-one")), F.col("doc_id") == F.col("__doc"), "left_semi"), n).dropDuplicates(["print"]), "jaccard-sets")
+    members = _meeting(members)
+    cells = _cells(members)
+    forget(members)
+    # Of each point in a cell one document.
+    one = points.where("size > 0").groupBy("print").agg(F.min(F.struct("doc_id", "text_hash")).alias("first")).join(cells, "print", "left_semi").select(F.col("first.doc_id").alias("__doc"), F.col("first.text_hash").alias("__hash"))
+    one = settle(one, "jaccard-one")
+    these = docs.join(checked_broadcast(one), docs["doc_id"].eqNullSafe(F.col("__doc")) & (text_hash(docs) == F.col("__hash")), "left_semi")
+    sets = settle(_sets(these, n).dropDuplicates(["print"]), "jaccard-sets")
     release(docs.sparkSession)
 
-    first = settle(_measured(clusters.where("print <> pivot").select(F.col("pivot").alias("a"), F.col("print").alias("b")), sets, num, den), "jaccard-first")
-    links = first.where("linked").select("a", "b")
-    # What is linked to the pivot is one component; all else is not known to be linked with anything yet.
-    cells = first.select(F.col("a").alias("pivot"), F.col("b").alias("print"), F.col("nb").alias("n"), "difference", "linked", F.when(F.col("linked"), F.col("a")).otherwise(F.col("b")).alias("root"))
-    open_ = first.where("not linked").select(F.col("a").alias("pivot")).distinct()
-    rest = settle(_rest(cells.join(checked_broadcast(open_), "pivot", "left_semi"), num, den), "jaccard-rest")
+    first = settle(_measured(cells.where("print <> pivot"), sets, num, den), "jaccard-first")
+    forget(sets, one)
+    open_ = settle(first.where("not linked").select("pivot").distinct(), "jaccard-open")
+    rest = _rest(first.join(checked_broadcast(open_), "pivot", "left_semi"), num, den)
+    links = first.where("linked").select(F.col("pivot").alias("a"), F.col("print").alias("b"))
     return points, components(links.unionByName(rest))
 
 
+def _named(points: DataFrame, roots: DataFrame, least: Column) -> DataFrame:
+    """(print, least): what of its class's documents is the least, for every point with words."""
+    sets = points.where("size > 0").groupBy("print").agg(F.min(least).alias("least"))
+    named = sets.join(roots.select(F.col("node").alias("print"), "root"), "print", "left").withColumn("root", F.coalesce("root", "print"))
+    named = settle(named, "jaccard-named")
+    best = named.groupBy("root").agg(F.min("least").alias("least"))
+    out = settle(named.drop("least").join(best, "root").select("print", "least"), "jaccard-classes")
+    forget(named)
+    return out
+
+
 def classes(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100) -> DataFrame:
     """doc_id, n_shingles, component_id: the smallest doc_id that links lead to."""
     points, roots = join(docs, n, num, den)
-    sets = points.where("size > 0").groupBy("print").agg(F.min("doc_id").alias("least"))
-    named = sets.join(roots.select(F.col("node").alias("print"), "root"), "print", "left").withColumn("root", F.coalesce("root", "print"))
-    named = settle(named, "jaccard-named")
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = settle(named.join(least, "root").select(F.col("print"), "component_id"), "jaccard-classes")
+    named = _named(points, roots, F.col("doc_id")).withColumnRenamed("least", "component_id")
     out = points.join(checked_broadcast(named), "print", "left")
     return out.select("doc_id", F.col("size").alias("n_shingles"), F.when(F.col("size") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """`docs`, every column, without the documents that aren't the first of their class; of repeated rows of the first one stays."""
-    found = settle(classes(docs, n, num, den).where("doc_id <=> component_id").select(F.col("doc_id").alias("__keep")), "jaccard-keep")
-    keep = settle(found.distinct(), "jaccard-keep")
-    out = docs.join(checked_broadcast(keep), F.col("doc_id").eqNullSafe(F.col("__keep")), "left_semi")
-    # Only where identifiers repeat, for this shuffles whole rows.
-    return out if found.count() == keep.count() else out.dropDuplicates(["doc_id"])
+    """`docs`, every column, without the documents that aren't the first of their class.
+
+    The first is that with the smallest identifier (null before all), of several
+    texts under it the one with the smallest hash. Of rows equal in identifier and
+    text one stays. Documents without words all stay.
+    """
+    points, roots = join(docs, n, num, den)
+    first = F.struct("doc_id", "text_hash")
+    named = _named(points, roots, first)
+    kept = points.join(checked_broadcast(named), "print", "left").where((F.col("size") == 0) | (first == F.col("least")))
+    kept = settle(kept.select(F.col("doc_id").alias("__doc"), F.col("text_hash").alias("__hash")), "jaccard-kept")
+    keep = settle(kept.distinct(), "jaccard-keep")
+    out = docs.join(checked_broadcast(keep), docs["doc_id"].eqNullSafe(F.col("__doc")) & (text_hash(docs) == F.col("__hash")), "left_semi")
+    # Only where rows repeat, for this shuffles whole rows.
+    if kept.count() == keep.count():
+        return out
+    names = out.columns
+    return out.withColumn("__hash", text_hash(out)).dropDuplicates(["doc_id", "__hash"]).select(*(f"`{c}`" for c in names))

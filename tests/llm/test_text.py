@@ -145,6 +145,68 @@ def test_intervals_hold_every_pair():
                 assert ks and ks[0] >= x + y - 2 * least
 
 
+@pytest.mark.parametrize("num", [90, 80])
+def test_linked_sets_share_as_many_projections_as_they_need(num):
+    """Of small sets too, most of whose projections are empty."""
+    rng = np.random.default_rng(num)
+    for _ in range(3000):
+        x = rng.integers(0, 2**64, int(rng.integers(3, 60)), dtype=np.uint64)
+        y = np.concatenate([x[: len(x) - int(rng.integers(0, 1 + len(x) // 8))], rng.integers(0, 2**64, int(rng.integers(0, 1 + len(x) // 6)), dtype=np.uint64)])
+        x, y = np.unique(x), np.unique(y)
+        both = len(np.intersect1d(x, y))
+        if both * 100 < (len(x) + len(y) - both) * num or len(x) + len(y) == 2 * both:
+            continue
+        found = []
+        for s in (x, y):
+            regions, level, need = jaccard.projections(s, num, 100, {})
+            found.append({k: (set(regions[level == k].tolist()), int(need[level == k].max())) for k in np.unique(level).tolist()})
+        a, b = found
+        assert any(len(a[k][0] & b[k][0]) >= max(a[k][1], b[k][1]) for k in a.keys() & b.keys())
+
+
+def test_regions_are_told_shared_across_batches():
+    """Rows in order, cut into batches anywhere, and the hot rows that are known to be shared."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(4)
+    rows = [(int(r), int(p), 5 << 17 | 3 << 1 | int(rng.random() < 0.05)) for r, p in zip(rng.integers(0, 300, 900), rng.integers(0, 40, 900))]
+    rows.sort(key=lambda x: (x[0], x[1], -x[2]))
+    points, known = {}, set()
+    for r, p, tag in rows:
+        points.setdefault(r, set()).add(p)
+        known |= {r} if tag & 1 else set()
+    want = sorted((r, p) for r, ps in points.items() for p in ps if len(ps) > 1 or r in known)
+    for size in (1, 2, 7, 1000):
+        cut = [rows[i : i + size] for i in range(0, len(rows), size)]
+        batches = [pa.RecordBatch.from_arrays([pa.array([0] * len(c)), *(pa.array(list(x)) for x in zip(*c))], ["deal", "region", "print", "tag"]) for c in cut]
+        got = [(r["region"], r["print"], r["level"], r["need"]) for b in jaccard._shared(batches) for r in b.to_pylist()]
+        assert sorted(g[:2] for g in got) == want and {g[2:] for g in got} <= {(5, 3)}
+
+
+@pytest.mark.parametrize("pivots", [2, 16])
+def test_classes_of_a_large_group_without_a_centre(spark, pivots, monkeypatch):
+    """Copies of a text that isn't there itself, far and near, so that cells are joined again, in several turns."""
+    monkeypatch.setattr(jaccard, "PIVOTS", pivots)
+    rng = np.random.default_rng(12)
+    words = [f"w{x}" for x in rng.integers(0, 10**6, 120)]
+    docs = []
+    for i in range(260):
+        copy = list(words)
+        for _ in range(1 + int(rng.integers(0, 9))):
+            copy[int(rng.integers(0, 40))] = f"e{rng.integers(6)}"
+        docs.append((i, " ".join(copy)))
+    got = classes_of(jaccard.classes(spark.createDataFrame(docs, "doc_id long, text string"), 3, 80, 100))
+    assert got == classes_by_hand(sets_of(docs, 3), 80, 100)
+
+
+def test_one_of_each_of_rows_that_share_an_identifier(spark):
+    """Rows are told apart by identifier and text: texts under one identifier, or none, are documents of their own."""
+    a, b, c = ("one two three four five six seven", "a b c d e f g h i j", "k l m n o p q r s t")
+    rows = [(1, a), (1, b), (1, b), (None, c), (None, a), (2, a), (3, None), (3, None), (4, "")]
+    kept = jaccard.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, r.text or "") for r in kept) == sorted([(0, c), (0, a), (1, b), (3, ""), (4, "")])
+
+
 @pytest.mark.parametrize("one_task", [0, 10**6])
 def test_components_of_chains_and_stars(spark, one_task):
     links = [(i, i + 1) for i in range(20, 60)] + [(100, i) for i in range(101, 140)] + [(-5, 7), (7, 7), (7, 200)]
@@ -225,19 +287,82 @@ def test_automata_generalise():
     assert all(0.5 < t < 1.2 for t in total)
 
 
+def found_by(model, text, threshold=secrets.THRESHOLD):
+    return secrets.Scorer(model).spans([text], threshold)[0]
+
+
 def test_model_spans_are_added_and_masked(spark, small):
-    """A credential of a known format without its usual key is found by the automata; words are left alone."""
+    """A credential of a known format without its usual key is found by the automata; words and plain numbers are left alone."""
     rng = np.random.default_rng(1)
     draw = lambda abc, n: "".join(rng.choice(list(abc), n))
     keys = [(-i, f"left AKIA{draw('ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789', 16)} right password={draw('0123456789abcdef', 18)}") for i in range(1, 80)]
     model = secrets.learn(spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text").unionByName(spark.createDataFrame(keys, "doc_id long, text string")))
     assert len(model["automata"]["access"]) >= 5  # the fixed head is a chain of states
     upper = "ASIE" + "".join(rng.choice(list("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"), 16))
-    found = secrets.all_spans(model, f"left {upper} right")
-    assert found == ([], [(5, 3, 25)])
-    assert secrets.masked(model, f"left {upper} right token=abcdefgh.") == "left [secret] right [secret]"
-    words = "counterrevolutionaries internationalisation antidisestablishmentarianism pneumonoultramicroscopic"
-    assert secrets.all_spans(model, words)[1] == [] and secrets.masked(model, words) == words
+    assert found_by(model, f"left {upper}. right") == ([], [(5, 3, 25)])
+    text = f"left {upper} right token=abcdefgh."
+    assert secrets.masked(text, found_by(model, text)[1]) == "left [secret] right [secret]"
+    plain = "counterrevolutionaries internationalisation 4952935900253052 555-7713 1999. the end"
+    assert found_by(model, plain) == ([], []) and secrets.masked(plain, []) == plain
+    # What stands beside a base span in one run is scored on its own.
+    text = "AKIA" + draw("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", 16) + "/9f3b" + draw("0123456789abcdef", 16)
+    base, every = found_by(model, text)
+    assert [k for _, k, _ in base] == [1] and (20, 3, len(text)) in every
+    # Runs longer than the steps of a batch are scored alike.
+    long_ = draw("0123456789abcdef", 23) + "-" + draw("0123456789abcdef", 23)
+    runs = secrets.Runs([long_ * 20])
+    want = max(secrets.likelihood(a, long_ * 20) for a in model["automata"].values())
+    index, first = runs.pairs()
+    assert abs(secrets.Scorer(model).ratios(runs)[0] - (want - model["pairs"].ravel()[index].sum())) < 1e-6
+
+
+def test_added_spans_equal_brute_force(spark, small):
+    """Every candidate of every text scored on its own, character by character."""
+    rng = np.random.default_rng(8)
+    draw = lambda n: "".join(rng.choice(list("0123456789abcdef"), n))
+    rows = [(100_000 + i, f"one {draw(8 + i % 15)}, two.three AKIA{'Q7' * 9}{draw(11)} token={draw(9)}/{draw(3)}") for i in range(60)]
+    docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text").unionByName(spark.createDataFrame(rows, "doc_id long, text string"))
+    model = secrets.learn(docs)
+
+    def by_hand(text):
+        base = [(s, k, e) for s, k, e, _ in secrets.base_spans(text)]
+        covered = {i for s, _, e in base for i in range(s, e)}
+        out = list(base)
+        for run in re.finditer(r"[A-Za-z0-9+/_=.-]+", text):
+            whole = run[0].strip(".")
+            at = run.start() + len(run[0]) - len(run[0].lstrip("."))
+            cut = "".join(" " if at + i in covered else c for i, c in enumerate(whole))
+            for part in re.finditer(r"[^ ]{6,}", cut):
+                marks = [0, *(secrets._CHARS[c] for c in part[0]), 0]
+                background = sum(model["pairs"][a, b] for a, b in zip(marks, marks[1:]))
+                if not re.search("[A-Za-z_]", part[0]):
+                    background = max(background, -len(part[0]) * np.log(16))
+                # Beside a cut the neighbour is the mark of an end, as at a run's own ends.
+                if max(secrets.likelihood(a, part[0]) for a in model["automata"].values()) - background >= secrets.THRESHOLD:
+                    out.append((at + part.start(), 3, at + part.end()))
+        return sorted(out)
+
+    want = {r.doc_id: secrets._listed(by_hand(r.text)) if r.text else "" for r in docs.collect()}
+    assert {r.doc_id: r.spans for r in secrets.scan(docs, model).collect()} == want
+    assert sum("model" in x for x in want.values()) >= 60
+
+
+def test_recall_of_credentials_without_keys(spark):
+    """Of values that weren't learned from, cut to 8 characters and more, at least nine in ten are found; of the words around them none."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    model = secrets.learn(docs)
+    rng = np.random.default_rng(3)
+    words = next(t for t in texts("/root/testdata/sf0.01/documents.parquet").values() if t and len(t) > 3000).split()[:300]
+    hit = 0
+    for n in range(8, 40):
+        for _ in range(10):
+            secret = "".join(rng.choice(list("0123456789abcdef"), n))
+            at = int(rng.integers(0, len(words)))
+            found = found_by(model, " ".join([*words[:at], secret, *words[at:]]))[1]
+            begin = len(" ".join(words[:at])) + (at > 0)
+            hit += any(s <= begin and e >= begin + n for s, _, e in found)
+            assert all(begin <= s and e <= begin + n for s, k, e in found if k == 3)
+    assert hit >= 0.9 * 320
 
 
 def test_scan_of_awkward_documents(spark):
