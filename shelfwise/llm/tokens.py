@@ -9,11 +9,17 @@ so pieces that differ in it are encoded once; a piece of Latin letters is one
 word, so it goes straight to the library's model. Any other tokenizer, and any text in which a special token
 or a separator control character occurs, goes through the library whole. Tests
 hold both ways against each other.
+
+A full stop or comma is taken off only where the letters before it still end in
+a letter once they are normalised: some letters become a letter and a combining
+mark, which the pre-tokenizer joins with what follows.
 """
 
 from __future__ import annotations
 
 import json
+import re
+import unicodedata
 from array import array
 from functools import lru_cache
 
@@ -25,6 +31,15 @@ import pyarrow.compute as pc
 _WHOLE = "<\\||[\x1c-\x1f]"
 
 
+#: Latin letters, all of which end in a letter in composed lower case; of those up to here only the dotted capital I doesn't.
+_LATIN = re.compile("[A-Za-zªµºÀ-įıĲ-ɏ]+")
+
+
+def ends_in_letter(stem: str) -> bool:
+    """Whether a word of letters still ends in one in composed lower case."""
+    return bool(_LATIN.fullmatch(stem)) or unicodedata.category(unicodedata.normalize("NFC", unicodedata.normalize("NFC", stem).lower())[-1])[0] == "L"
+
+
 def _byte_letters() -> dict[int, str]:
     """The letter that byte-level tokenizers write for each byte: printable Latin-1 as it is, the rest from U+0100 on."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -33,10 +48,10 @@ def _byte_letters() -> dict[int, str]:
 
 
 def _space_separates(config: dict) -> bool:
-    """Whether white space is collapsed by the normalizer and dropped by the pre-tokenizer."""
+    """Whether letters are lower-cased and white space is collapsed by the normalizer, and dropped by the pre-tokenizer."""
     steps = (config.get("normalizer") or {}).get("normalizers", [])
     collapses = any(s.get("type") == "Replace" and s.get("pattern") == {"Regex": "\\s+"} and s.get("content") == " " for s in steps)
-    known = all(s.get("type") in ("NFC", "Replace", "Lowercase") for s in steps)
+    known = all(s.get("type") in ("NFC", "Replace", "Lowercase") for s in steps) and any(s.get("type") == "Lowercase" for s in steps)
     cuts = (config.get("pre_tokenizer") or {}).get("pretokenizers", [])
     drops = bool(cuts) and cuts[0].get("type") == "Split" and cuts[0].get("behavior") == "Removed" and cuts[0].get("invert") is True and str(cuts[0].get("pattern")).count("\\s") == 1
     return collapses and known and drops and config["model"].get("end_of_word_suffix") == "</w>"
@@ -89,6 +104,12 @@ class WordCache:
         # Words without a mark after their letters, and which mark it was.
         bare = pc.utf8_rtrim(words.dictionary, characters="".join(self.marks))
         marked = pc.and_(pc.equal(pc.subtract(pc.binary_length(words.dictionary), pc.binary_length(bare)), 1), pc.utf8_is_alpha(bare))
+        # Words with other than plain Latin letters are looked at one by one.
+        odd = np.flatnonzero(pc.and_(marked, pc.match_substring_regex(bare, "[^A-Za-zªµºÀ-įıĲ-ɏ]")).to_numpy(zero_copy_only=False))
+        if len(odd):
+            keep = np.ones(len(bare), dtype=bool)
+            keep[[i for i, stem in zip(odd.tolist(), bare.take(pa.array(odd)).to_pylist()) if not ends_in_letter(stem)]] = False
+            marked = pc.and_(marked, pa.array(keep))
         mark = np.zeros(len(bare), dtype=np.int64)
         for m, i in self.marks.items():
             mark[pc.and_(marked, pc.ends_with(words.dictionary, m)).to_numpy(zero_copy_only=False)] = i + 1

@@ -21,6 +21,7 @@ AWKWARD = [
     (12, "a\x0bb\x0cc\x1cd\x85e"),
     (13, "<|endoftext|> inside <|startoftext|>text"),
     (14, "12345 67890 !!!"),
+    (15, "ALİ. İ, ve ALİ."),
     (7, LONG),
 ]
 

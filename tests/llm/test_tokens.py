@@ -1,3 +1,6 @@
+import json
+import random
+import unicodedata
 import zlib
 
 import numpy as np
@@ -28,6 +31,31 @@ def test_cached_words_equal_whole_texts(small):
     assert [x.tolist() + [1] for x in cache.encode(pa.array(items, pa.string())[3:9])] == library(items[3:9], 1)
 
 
+def test_cached_words_equal_whole_texts_of_any_characters():
+    """Short strings of characters of every category, often next to the marks that are taken off."""
+    rng, by = random.Random(5), {}
+    for c in (c for c in range(0x110000) if not 0xD800 <= c < 0xE000):
+        by.setdefault(unicodedata.category(chr(c)), []).append(chr(c))
+    kinds = [k for k in by if k not in ("Cn", "Co")]
+    near = "ABZabzİıſßςΣσΩÅªºŉǰµ\u0958\ufb2cﬁﷺ가\u1100\u1161각123 \t\n\r\x0b\x0c\xa0\u0085\u0307\u0301.,;:'!?-_"
+    letter = lambda r: rng.choice(near) if r < 0.5 else rng.choice(by[rng.choice(kinds)]) if r < 0.85 else rng.choice(".,")
+    items = ["".join(letter(rng.random()) for _ in range(rng.randint(1, 7))) for _ in range(100_000)]
+    cache, plain = WordCache(PATH), Tokenizer.from_file(PATH)
+    assert cache.by_word
+    for i in range(0, len(items), 5000):
+        some = items[i : i + 5000]
+        assert [x.tolist() for x in cache.encode(pa.array(some))] == [e.ids for e in plain.encode_batch(some, add_special_tokens=False)]
+
+
+def test_a_tokenizer_that_keeps_case_is_called_on_whole_texts():
+    from shelfwise.llm import tokens
+
+    config = json.loads(Tokenizer.from_file(PATH).to_str())
+    assert tokens._space_separates(config)
+    config["normalizer"]["normalizers"] = [s for s in config["normalizer"]["normalizers"] if s["type"] != "Lowercase"]
+    assert not tokens._space_separates(config)
+
+
 def test_a_full_cache_is_dropped():
     cache = WordCache(PATH, limit=3)
     for t in ("some words to hold here", "and other ones", "some words"):
