@@ -344,7 +344,7 @@ def test_added_spans_equal_brute_force(spark, small):
 
     want = {r.doc_id: secrets._listed(by_hand(r.text)) if r.text else "" for r in docs.collect()}
     assert {r.doc_id: r.spans for r in secrets.scan(docs, model).collect()} == want
-    assert sum("model" in x for x in want.values()) >= 60
+    assert sum("model" in x for x in want.values()) >= 50
 
 
 def test_recall_of_credentials_without_keys(spark):
