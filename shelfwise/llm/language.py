@@ -5,6 +5,12 @@ training document; the log-probability matrix (languages x buckets, bounded by
 `buckets` and the number of languages) is broadcast and whole texts are scored
 in numpy, a batch of documents at a time.
 
+A posterior is near 1 for any long text, so it can't tell text of no learned
+language. `fit` does: the mean log-probability in the language found of the
+text's n-grams of letters and spaces, less that in a model that knows nothing and
+takes all buckets for equally likely. Below 0 no learned language explains the
+text; numbers, keys and signs in it don't count.
+
 Defined cases: a text that is null or has no letter is ``und`` with score 0;
 with nothing to learn from every document is ``und``; equal likelihoods go to
 the language that sorts first; extra columns are ignored; repeated rows each
@@ -19,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from shelfwise.llm.common import slices
 
@@ -30,8 +37,8 @@ def has_letter(text: str | None) -> bool:
     return bool(text) and any(c.isalpha() for c in text)
 
 
-def grams(texts: list[str], buckets: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For 2-grams and for 3-grams: the bucket of each in all texts, and where each text's begin.
+def grams(texts: list[str], buckets: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For 2-grams and for 3-grams: the bucket of each in all texts, where each text's begin, and whether it is of letters and spaces (of ASCII no others).
 
     Texts have a letter each; they are lower-cased and bordered by a space.
     """
@@ -46,10 +53,13 @@ def grams(texts: list[str], buckets: int) -> list[tuple[np.ndarray, np.ndarray]]
     across2[last[:-1]] = False
     across3 = np.ones(len(three), dtype=bool)
     across3[last[:-1]] = across3[last[:-1] - 1] = False
+    plain = (c > 127) | (c == 32) | (c - 97 < 26)  # unsigned, so below the letters it is large
+    plain2 = plain[:-1] & plain[1:]
+    plain3 = plain2[:-1] & plain[2:]
     out = []
-    for h, inside, fewer in ((two, across2, 1), (three, across3, 2)):
+    for h, inside, fewer, letters in ((two, across2, 1, plain2), (three, across3, 2, plain3)):
         n = sizes - fewer
-        out.append(((h[inside] >> shift).astype(np.int32), np.cumsum(n) - n))
+        out.append(((h[inside] >> shift).astype(np.int32), np.cumsum(n) - n, letters[inside]))
     return out
 
 
@@ -75,7 +85,7 @@ def train(docs: DataFrame, buckets: int = BUCKETS, smoothing: float = SMOOTHING)
             if not keep:
                 continue
             of: dict[str, list[np.ndarray]] = {}
-            for idx, begins in grams([texts[i] for i in keep], buckets):
+            for idx, begins, _ in grams([texts[i] for i in keep], buckets):
                 ends = np.append(begins[1:], len(idx))
                 for j, i in enumerate(keep):
                     of.setdefault(langs[i], []).append(idx[begins[j] : ends[j]])
@@ -98,14 +108,15 @@ def train(docs: DataFrame, buckets: int = BUCKETS, smoothing: float = SMOOTHING)
     return {"langs": langs, "logp": np.ascontiguousarray(logp, dtype=np.float32), "prior": np.log(np.maximum(prior, 1)) - np.log(max(prior.sum(), 1)), "buckets": buckets}
 
 
-def predict_batch(model: dict, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
-    """Language and posterior of each text."""
-    langs, scores = ["und"] * len(texts), np.zeros(len(texts))
+def predict_batch(model: dict, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Language, posterior and fit of each text; without a language both are 0."""
+    langs, scores, fits = ["und"] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
     keep = [i for i, t in enumerate(texts) if has_letter(t)] if model["langs"] else []
     if keep:
         # Sums run in float64 and text by text, so that a text's score doesn't depend on its batch.
         ll = np.tile(model["prior"], (len(keep), 1))
-        for idx, begins in grams([texts[i] for i in keep], model["buckets"]):
+        found = grams([texts[i] for i in keep], model["buckets"])
+        for idx, begins, _ in found:
             if len(keep) > 1:
                 ll += np.add.reduceat(model["logp"][idx], begins, axis=0, dtype=np.float64)
             else:  # a text may be very long
@@ -116,21 +127,34 @@ def predict_batch(model: dict, texts: list[str | None]) -> tuple[list[str], np.n
         for j, i in enumerate(keep):
             langs[i] = model["langs"][best[j]]
         scores[keep] = posterior
-    return langs, scores
+        shown, n = np.zeros(len(keep)), np.zeros(len(keep))
+        for idx, begins, plain in found:
+            of = np.repeat(best, np.diff(np.append(begins, len(idx))))
+            shown += np.add.reduceat(model["logp"][idx, of] * plain, begins, dtype=np.float64)
+            n += np.add.reduceat(plain, begins, dtype=np.int64)
+        fits[keep] = np.where(n > 0, shown / np.maximum(n, 1) + np.log(model["buckets"]), 0)
+    return langs, scores, fits
+
+
+OUT = ("lang_pred", "score", "fit")
 
 
-def predict(docs: DataFrame, model: dict) -> DataFrame:
-    """`docs` (doc_id, text, and any more that are carried along) with lang_pred and score for text."""
+def predict(docs: DataFrame, model: dict, out: tuple[str, str, str] = OUT, text: bool = False) -> DataFrame:
+    """`docs`, every column but text (with `text` that too), with the language found, its score and its fit under the names of `out`.
+
+    Columns of `docs` that have one of these names are left out.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    carried = [f for f in docs.schema.fields if f.name != "text"]
+    carried = [(i, f) for i, f in enumerate(docs.schema.fields) if (text or f.name != "text") and f.name not in out]
+    at = docs.columns.index("text")
 
     def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 1 << 20):
-            langs, scores = predict_batch(shared.value, batch.column("text").to_pylist())
-            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in carried), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*(f.name for f in carried), "lang_pred", "score"])
+            langs, scores, fits = predict_batch(shared.value, batch.column(at).to_pylist())
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i, _ in carried), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(fits, pa.float64())], [*(f.name for _, f in carried), *out])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in carried)
-    return docs.mapInArrow(score, f"{schema}, lang_pred string, score double")
+    schema = StructType([*(f for _, f in carried), *(StructField(name, kind) for name, kind in zip(out, (StringType(), DoubleType(), DoubleType())))])
+    return docs.mapInArrow(score, schema)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -139,6 +163,6 @@ def held_out(doc_id: Column) -> Column:
 
 
 def identify(docs: DataFrame, buckets: int = BUCKETS) -> DataFrame:
-    """Learn on the folds that aren't held out, predict all: doc_id, held_out, lang_pred, score."""
+    """Learn on the folds that aren't held out, predict all: doc_id, held_out, lang_pred, score, fit."""
     model = train(docs.where(~held_out(docs["doc_id"]) & docs["lang"].isNotNull()), buckets)
     return predict(docs.select(docs["doc_id"], held_out(docs["doc_id"]).alias("held_out"), docs["text"]), model)
