@@ -5,12 +5,14 @@ two). The items of a partition are sketched by their k smallest hashes, with k
 one more than the shingles that an item of that partition may miss at the
 threshold; so a document that contains an item to that part has one of its k
 minima at least, however long the document is, and the search loses nothing.
-Documents look up all their shingles among the minima; what they find is
-verified by exact containment of the shingles themselves.
+Documents look up all their shingles among the minima of each partition whose
+items they are large enough to contain; what they find is verified by exact
+containment of the shingles themselves.
 
 The items' minima and shingles are broadcast while they are counted to be
-`BROADCAST_SHINGLES` at most; above that the same search runs as joins on the
-hash.
+`BROADCAST_SHINGLES` at most; above that the same search runs as joins: on the
+hash among the minima, and for the documents that found something on the
+shingles themselves. Both give the same.
 
 Defined cases: a null text or one without words contains nothing and, as an
 item, is found nowhere; texts of fewer than n words are one shingle; repeated
@@ -48,50 +50,73 @@ def minima(size: int, num: int, den: int) -> int:
 
 
 def _items(benchmark: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """item_id, size, text, hashes (ascending), minima (how many of them)."""
+    """item_id, text, hashes (ascending), size (of the set), minima (how many of the hashes are looked up)."""
 
     def find(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 1 << 20):
-            found = [np.unique(shingles(h, n)) for h in word_hashes(batch.column("text").to_pylist())]
-            k = [min(len(h), minima(len(h), num, den)) if len(h) else 0 for h in found]
-            yield pa.RecordBatch.from_arrays([batch.column("item_id"), batch.column("text"), pa.array([h.view(np.int64) for h in found], pa.list_(pa.int64())), pa.array(k, pa.int32())], ["item_id", "text", "hashes", "minima"])
+            texts = batch.column("text").to_pylist()
+            found = [np.unique(shingles(h, n)) for h in word_hashes(texts)]
+            sizes = [len(shingle_set(lower_words(t), n)) for t in texts]
+            k = [min(len(h), minima(size, num, den)) if size else 0 for h, size in zip(found, sizes)]
+            yield pa.RecordBatch.from_arrays([batch.column("item_id"), batch.column("text"), pa.array([h.view(np.int64) for h in found], pa.list_(pa.int64())), pa.array(sizes, pa.int32()), pa.array(k, pa.int32())], ["item_id", "text", "hashes", "size", "minima"])
 
     kind = benchmark.schema["item_id"].dataType.simpleString()
-    return benchmark.select("item_id", "text").mapInArrow(find, f"item_id {kind}, text string, hashes array<long>, minima int").where(F.size("hashes") > 0)
+    return benchmark.select("item_id", "text").mapInArrow(find, f"item_id {kind}, text string, hashes array<long>, size int, minima int").where("size > 0")
 
 
 class _Index:
-    """The items, as each worker holds them."""
+    """The items, as each worker holds them: for each partition by size its minima."""
 
-    def __init__(self, items: list[tuple], n: int):
+    def __init__(self, items: list[tuple], n: int, num: int, den: int):
         self.ids = [i for i, *_ in items]
-        self.sets = [frozenset(shingle_set(lower_words(text), n)) for _, text, _, _ in items]
-        low = [np.sort(np.array(h, dtype=np.int64).view(U64))[:k] for _, _, h, k in items]
-        keys = np.concatenate(low) if low else np.zeros(0, dtype=U64)
-        owner = np.repeat(np.arange(len(low)), [len(x) for x in low]) if low else np.zeros(0, dtype=np.int64)
-        order = np.argsort(keys, kind="stable")
-        self.keys, self.owner = keys[order], owner[order]
-        self.seen = np.zeros(1 << 20, dtype=bool)  # a first look by 20 bits
-        self.seen[(self.keys >> U64(44)).astype(np.int64)] = True
+        self.sets = [frozenset(shingle_set(lower_words(text), n)) for _, text, *_ in items]
+        self.parts = []
+        of = np.array([size.bit_length() for *_, size, _ in items], dtype=np.int64)
+        for size in np.unique(of).tolist():
+            here = np.flatnonzero(of == size)
+            low = [np.sort(np.array(items[i][2], dtype=np.int64).view(U64))[: items[i][4]] for i in here]
+            keys, owner = np.concatenate(low), np.repeat(here, [len(x) for x in low])
+            order = np.argsort(keys, kind="stable")
+            seen = np.zeros(1 << 20, dtype=bool)  # a first look by 20 bits
+            seen[(keys >> U64(44)).astype(np.int64)] = True
+            # The smallest item of the partition has 2 ** (size - 1) shingles.
+            self.parts.append((-(-(1 << (size - 1)) * num // den), seen, keys[order], owner[order]))
 
     def candidates(self, hashes: np.ndarray) -> list[int]:
-        h = hashes[self.seen[(hashes >> U64(44)).astype(np.int64)]]
-        if not len(h):
-            return []
-        lo, hi = np.searchsorted(self.keys, h, side="left"), np.searchsorted(self.keys, h, side="right")
-        return sorted({int(o) for a, b in zip(lo[lo < hi], hi[lo < hi]) for o in self.owner[a:b]})
+        out, first = set(), (hashes >> U64(44)).astype(np.int64)
+        for least, seen, keys, owner in self.parts:
+            if len(hashes) < least:  # even if all its shingles are distinct
+                continue
+            h = hashes[seen[first]]
+            if len(h):
+                lo, hi = np.searchsorted(keys, h, side="left"), np.searchsorted(keys, h, side="right")
+                out.update(int(o) for a, b in zip(lo[lo < hi], hi[lo < hi]) for o in owner[a:b])
+        return sorted(out)
 
 
 def search(docs: DataFrame, benchmark: DataFrame, n: int = WORDS, num: int = NUM, den: int = DEN, most: int = BROADCAST_SHINGLES) -> DataFrame:
     """Every document that contains an item: doc_id, item_id, n_shingles (of the item), n_common, containment."""
+    return _search(docs, benchmark, n, num, den, most).drop("text_hash")
+
+
+def _search(docs: DataFrame, benchmark: DataFrame, n: int, num: int, den: int, most: int) -> DataFrame:
+    """The same with text_hash, which tells documents of one identifier apart."""
+    docs = docs.select("doc_id", "text", F.xxhash64(docs["text"]).alias("text_hash"))
     items = settle(_items(benchmark, n, num, den), "items")
-    total = items.agg(F.coalesce(F.sum(F.size("hashes")), F.lit(0))).first()[0]
-    if total > most:
-        return _search_by_join(docs, items, n, num, den)
-    index = docs.sparkSession.sparkContext.broadcast([(r["item_id"], r["text"], r["hashes"], r["minima"]) for r in items.orderBy("item_id", "text").collect()])
+    total = items.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    out = _by_join(docs, items, n, num, den) if total > most else _by_index(docs, items, n, num, den)
+    return out.withColumn("containment", F.col("n_common") / F.col("n_shingles"))
+
+
+def _by_index(docs: DataFrame, items: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    index = docs.sparkSession.sparkContext.broadcast([(r["item_id"], r["text"], r["hashes"], r["size"], r["minima"]) for r in items.orderBy("item_id", "text").collect()])
+    item_kind = items.schema["item_id"].dataType
+    item_type = to_arrow_type(item_kind)
 
     def find(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = _Index(index.value, n)
+        held = _Index(index.value, n, num, den)
         for batch in slices(batches, "text", 1 << 20):
             of, item, size, common = [], [], [], []
             texts = batch.column("text").to_pylist()
@@ -102,44 +127,48 @@ def search(docs: DataFrame, benchmark: DataFrame, n: int = WORDS, num: int = NUM
                     both = len(held.sets[j] & own)
                     if both * den >= len(held.sets[j]) * num:
                         of.append(i), item.append(held.ids[j]), size.append(len(held.sets[j])), common.append(both)
-            ids = batch.column("doc_id").take(pa.array(of, pa.int64()))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(item, item_type), pa.array(size, pa.int64()), pa.array(common, pa.int64())], ["doc_id", "item_id", "n_shingles", "n_common"])
-
-    from pyspark.sql.pandas.types import to_arrow_type
+            at = pa.array(of, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(at), batch.column("text_hash").take(at), pa.array(item, item_type), pa.array(size, pa.int64()), pa.array(common, pa.int64())], ["doc_id", "text_hash", "item_id", "n_shingles", "n_common"])
 
-    item_kind = benchmark.schema["item_id"].dataType
-    item_type = to_arrow_type(item_kind)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    out = docs.select("doc_id", "text").mapInArrow(find, f"doc_id {kind}, item_id {item_kind.simpleString()}, n_shingles long, n_common long")
-    return out.withColumn("containment", F.col("n_common") / F.col("n_shingles"))
+    return docs.mapInArrow(find, f"doc_id {kind}, text_hash long, item_id {item_kind.simpleString()}, n_shingles long, n_common long")
 
 
-def _search_by_join(docs: DataFrame, items: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """The same for any number of items. Items are told apart by a number, documents by a fingerprint of their row."""
+def _spread(rows: DataFrame, name: str, n: int, shown: bool) -> DataFrame:
+    """(name, hash) of every distinct shingle of each row's text, with `shown` (name, shingle): the shingle itself."""
 
-    def spread(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 1 << 20):
-            of, out = [], []
-            for i, h in enumerate(word_hashes(batch.column("text").to_pylist())):
-                h = np.unique(shingles(h, n))
-                out.append(h.view(np.int64)), of.append(np.full(len(h), i))
-            yield pa.RecordBatch.from_arrays([batch.column("row").take(pa.array(np.concatenate(of))), pa.array(np.concatenate(out))], ["row", "hash"])
-
-    rows = settle(docs.select("doc_id", "text").withColumn("row", F.monotonically_increasing_id()), "contain-rows")
-    spread_rows = rows.mapInArrow(spread, "row long, hash long")
+    def find(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text", 1 << 19):
+            texts = batch.column("text").to_pylist()
+            found = [list(shingle_set(lower_words(t), n)) for t in texts] if shown else [np.unique(shingles(h, n)).view(np.int64) for h in word_hashes(texts)]
+            of = np.repeat(np.arange(len(found)), [len(x) for x in found])
+            values = pa.array([s for x in found for s in x], pa.binary()) if shown else pa.array(np.concatenate(found) if found else np.zeros(0, dtype=np.int64))
+            for at in range(0, len(of), 1 << 16):
+                yield pa.RecordBatch.from_arrays([batch.column(name).take(pa.array(of[at : at + (1 << 16)])), values.slice(at, 1 << 16)], [name, "shingle" if shown else "hash"])
+
+    return rows.select(name, "text").mapInArrow(find, f"{name} long, " + ("shingle binary" if shown else "hash long"))
+
+
+def _by_join(docs: DataFrame, items: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """For any number of items. Items and documents go by numbers."""
+    rows = settle(docs.withColumn("row", F.monotonically_increasing_id()), "contain-rows")
     items = settle(items.withColumn("item", F.monotonically_increasing_id()), "contain-items")
     low = items.select("item", F.explode(F.expr("slice(array_sort(hashes, (x, y) -> CASE WHEN (x < 0) = (y < 0) THEN CASE WHEN x < y THEN -1 WHEN x > y THEN 1 ELSE 0 END WHEN x < 0 THEN 1 ELSE -1 END), 1, minima)")).alias("hash"))
-    pairs = settle(spread_rows.join(low, "hash").select("row", "item").distinct(), "contain-pairs")
-    every = pairs.join(items.select("item", F.explode("hashes").alias("hash")), "item")
-    common = every.join(spread_rows, ["row", "hash"]).groupBy("row", "item").agg(F.count(F.lit(1)).alias("n_common"))
-    found = common.join(items.select("item", "item_id", F.size("hashes").cast("long").alias("n_shingles")), "item").where(F.col("n_common") * den >= F.col("n_shingles") * num)
-    out = found.join(rows.select("row", "doc_id"), "row").select("doc_id", "item_id", "n_shingles", "n_common")
-    return out.withColumn("containment", F.col("n_common") / F.col("n_shingles"))
+    pairs = settle(_spread(rows, "row", n, False).join(low, "hash").select("row", "item").distinct(), "contain-pairs")
+    # Verification, by the shingles of the documents and items that met.
+    met = rows.join(pairs.select("row").distinct(), "row", "left_semi")
+    own = pairs.join(_spread(items, "item", n, True), "item")
+    common = own.join(_spread(met, "row", n, True), ["row", "shingle"]).groupBy("row", "item").agg(F.count(F.lit(1)).alias("n_common"))
+    sizes = own.groupBy("row", "item").agg(F.count(F.lit(1)).alias("n_shingles"))
+    found = common.join(sizes, ["row", "item"]).where(F.col("n_common") * den >= F.col("n_shingles") * num)
+    found = found.join(items.select("item", "item_id"), "item")
+    return found.join(rows.select("row", "doc_id", "text_hash"), "row").select("doc_id", "text_hash", "item_id", "n_shingles", "n_common")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, n: int = WORDS, num: int = NUM, den: int = DEN) -> DataFrame:
     """`docs`, every column, without the documents that contain an item."""
     from shelfwise.llm.common import checked_broadcast
 
-    bad = settle(search(docs, benchmark, n, num, den).select(F.col("doc_id").alias("__bad")).distinct(), "contaminated")
-    return docs.join(checked_broadcast(bad), F.col("doc_id").eqNullSafe(F.col("__bad")), "left_anti")
+    found = _search(docs, benchmark, n, num, den, BROADCAST_SHINGLES)
+    bad = settle(found.select(F.col("doc_id").alias("__bad"), F.col("text_hash").alias("__hash")).distinct(), "contaminated")
+    return docs.join(checked_broadcast(bad), docs["doc_id"].eqNullSafe(F.col("__bad")) & (F.xxhash64(docs["text"]) == F.col("__hash")), "left_anti")

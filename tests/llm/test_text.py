@@ -232,6 +232,24 @@ def test_containment_equals_brute_force(spark, small, most):
     assert got == contained(texts(f"{small}/documents.parquet").items(), items.items()) and got
 
 
+@pytest.mark.parametrize("most", [500_000, 0])
+def test_containment_is_exact_where_hashes_collide(spark, small, most, monkeypatch):
+    """With hashes of 12 bits nearly every document meets every item; what is returned doesn't change."""
+    plain = decontaminate.shingles
+    monkeypatch.setattr(decontaminate, "shingles", lambda h, n: plain(h, n) >> np.uint64(52) << np.uint64(52))
+    docs, bench = spark.read.parquet(f"{small}/documents.parquet"), spark.read.parquet(f"{small}/benchmark.parquet")
+    want = contained(texts(f"{small}/documents.parquet").items(), [(r.item_id, r.text) for r in bench.collect()])
+    got = decontaminate.search(docs, bench, most=most).collect()
+    assert {(r.doc_id, r.item_id, r.n_shingles, r.n_common) for r in got} == set(want) and len(got) == len(want)
+
+
+def test_clean_tells_documents_of_one_identifier_apart(spark, small):
+    bench = spark.read.parquet(f"{small}/benchmark.parquet")
+    item = bench.orderBy("item_id").first().text
+    docs = spark.createDataFrame([(1, f"before {item} after"), (1, "something else"), (None, item), (None, "another one"), (2, None)], "doc_id long, text string")
+    assert sorted(r.text or "" for r in decontaminate.clean(docs, bench).collect()) == ["", "another one", "something else"]
+
+
 @pytest.mark.parametrize("most", [500_000, 0])
 def test_containment_of_awkward_rows(spark, most):
     items = [(1, None), (2, ""), (3, "one"), (4, "ONE"), (5, AWKWARD[0][1]), (6, "alpha beta gamma delta alpha beta"), (6, "alpha beta gamma delta alpha beta")]
@@ -391,14 +409,38 @@ def test_language_matches_a_plain_naive_bayes(spark, small):
     counts = {x: np.zeros(language.BUCKETS) for x in model["langs"]}
     rows = docs.collect()
     for r in rows:
-        for idx, _ in language.grams([r.text], language.BUCKETS):
+        for idx, *_ in language.grams([r.text], language.BUCKETS):
             counts[r.lang] += np.bincount(idx, minlength=language.BUCKETS)
     for k, x in enumerate(model["langs"]):
         want = np.log((counts[x] + 0.5) / (counts[x].sum() + 0.5 * language.BUCKETS))
         assert np.allclose(model["logp"][:, k], want, atol=1e-5)
     alone = [language.predict_batch(model, [r.text]) for r in rows[:50]]
     together = language.predict_batch(model, [r.text for r in rows[:50]])
-    assert [a[0][0] for a in alone] == together[0] and np.allclose([a[1][0] for a in alone], together[1])
+    assert [a[0][0] for a in alone] == together[0] and np.allclose([a[1][0] for a in alone], together[1]) and np.allclose([a[2][0] for a in alone], together[2])
+    # The fit by hand, over the n-grams of letters and spaces.
+    for r, lang, fit in list(zip(rows, together[0], together[2]))[:20]:
+        (two, *_), (three, *_) = language.grams([r.text], language.BUCKETS)
+        t = f" {r.text.lower()} "
+        of = [idx for n, found in ((2, two), (3, three)) for i, idx in enumerate(found) if all(c == " " or c > "\x7f" or "a" <= c <= "z" for c in t[i : i + n])]
+        assert abs(fit - (np.mean(model["logp"][of, model["langs"].index(lang)]) + np.log(language.BUCKETS))) < 1e-4
+
+
+def test_fit_tells_text_of_no_learned_language(spark):
+    """Of all documents of the corpus, held out or not, none falls below 0; text in another script or in none does."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rng = np.random.default_rng(2)
+    junk = ["".join(rng.choice(list("bcdfghjklmnpqrstvwxz"), n)) for n in (30, 100, 200)] + ["Съешь же ещё этих мягких французских булок да выпей чаю", "我能吞下玻璃而不伤身体我能吞下玻璃"]
+    model = language.train(docs.where(~language.held_out(docs["doc_id"])))
+    assert language.predict(docs, model).where("fit < 0").count() == 0
+    assert (language.predict_batch(model, junk)[2] < 0).all()
+
+
+def test_predictions_replace_columns_of_their_names(spark, small):
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet(f"{small}/documents.parquet").limit(20).withColumn("score", F.lit("x")).withColumn("lang_pred", F.lit(1)).withColumn("held_out", F.lit(2))
+    out = language.predict(docs, language.train(docs), text=True)
+    assert out.columns == ["doc_id", "text", "lang", "source", "n_chars", "held_out", "lang_pred", "score", "fit"] and out.where("score <= 1").count() == 20
 
 
 def test_language_of_awkward_documents(spark):
@@ -406,7 +448,7 @@ def test_language_of_awkward_documents(spark):
 
     docs = awkward(spark).withColumn("lang", F.when(F.col("doc_id") == 9, "fr").when(F.col("doc_id") != 0, "en"))
     got = {r.doc_id: (r.lang_pred, r.score) for r in language.identify(docs).collect()}
-    assert [got[i] for i in (1, 2, 3, 14)] == [("und", 0.0)] * 4 and got[4][0] in ("en", "fr") and len(got) == 16
+    assert [got[i] for i in (1, 2, 3, 14)] == [("und", 0.0)] * 4 and got[4][0] in ("en", "fr") and len(got) == 17
     nothing = language.identify(docs.withColumn("lang", F.lit(None).cast("string"))).collect()
     assert len(nothing) == len(ALL) and {r.lang_pred for r in nothing} == {"und"}
     assert language.identify(empty(spark)).count() == 0
