@@ -16,10 +16,14 @@ which the one before left more than one member:
    with the bytes that they cover to where their anchor is sorted, and are spread
    out there into their suffixes, told apart by all DEPTH bytes.
 
-Digits are 64-bit hashes (16 bytes for digits one and two together). The shuffle
+Strings are equal where 128 bits of hashes are: digits one and two together in the
+first passes, two hashes of all DEPTH bytes in the third (10^14 strings, 100 TB of
+text, hold a false equal with a probability of 10^-10). The shuffle
 of the first two passes carries a row for each run, one in about 32 bytes of
 text; copies within a task are settled before it, so a passage that most
-documents hold sends one row from each task, not one from each document. An
+documents hold sends one row from each task, not one from each document. A task
+takes its rows in order of digit, a lot of whole groups at a time, so what it
+holds doesn't grow with the corpus. An
 anchor that a task meets with more than HOT different surroundings, as a common
 line has, is sorted by digit two and then by all DEPTH bytes from the start, so
 that its runs don't meet in one task; everyone else who holds that anchor learns
@@ -48,6 +52,8 @@ DEPTH = 100
 GRAM = 36
 _BASE = U64(0x5851F42D4C957F2D)
 _BYTES = mixed(np.arange(1, 257, dtype=U64) * U64(0x9E3779B97F4A7C15))
+#: Base of the second hash of all DEPTH bytes.
+_BASE2 = U64(0xDA942042E4DD58B5)
 _PLACE = U64((1 << 24) - 1)
 #: Bytes hashed at once; their places must fit in 24 bits.
 PIECE = 1 << 19
@@ -55,11 +61,13 @@ PIECE = 1 << 19
 CHUNK = 16 << 20
 #: Different surroundings of one anchor in a chunk from which it is hot.
 HOT = 8
+#: Rows, and bytes, of a lot that a task resolves at once; a lot ends where a group does.
+LOT, LOT_BYTES = 1 << 18, 32 << 20
 
 
-def window_hashes(b: np.ndarray, sizes: tuple[int, ...]) -> list[np.ndarray]:
+def window_hashes(b: np.ndarray, sizes: tuple[int, ...], base: U64 = _BASE) -> list[np.ndarray]:
     """For each size, the hashes of all strings of so many bytes, by doubling."""
-    powers, level, n, base = {}, _BYTES[b], 1, int(_BASE)
+    powers, level, n, base = {}, _BYTES[b], 1, int(base)
     tall = max(sizes)
     while n <= tall:
         powers[n] = (level, U64(base))
@@ -139,12 +147,12 @@ def _pieces(texts: list[bytes], depth: int) -> Iterator[list[tuple[int, int, byt
         yield lot
 
 
-def _firsts(two: np.ndarray, key: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """Whether each row is the first, by (key, start), of those that agree in digit two."""
-    order = np.lexsort((start, key, two))
+def _firsts(one: np.ndarray, two: np.ndarray, key: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Whether each row is the first, by (key, start), of those that agree in two hashes."""
+    order = np.lexsort((start, key, one, two))
     first = np.empty(len(two), dtype=bool)
-    t = two[order]
-    first[order] = np.concatenate([[True], t[1:] != t[:-1]]) if len(t) else np.zeros(0, dtype=bool)
+    t, o = two[order], one[order]
+    first[order] = np.concatenate([[True], (t[1:] != t[:-1]) | (o[1:] != o[:-1])]) if len(t) else np.zeros(0, dtype=bool)
     return first
 
 
@@ -163,7 +171,7 @@ def _all_runs(docs: DataFrame, depth: int) -> DataFrame:
         def rows() -> pa.RecordBatch:
             key, one, two, place = (np.concatenate(x) for x in zip(*held))
             held.clear()
-            first = _firsts(two, key, place)
+            first = _firsts(one, two, key, place)
             kind = np.where(first, RUN, REMOVED).astype(np.int8)
             anchors, times = np.unique(one[first], return_counts=True)
             hot = anchors[times > HOT]
@@ -194,9 +202,27 @@ def _all_runs(docs: DataFrame, depth: int) -> DataFrame:
     return docs.mapInArrow(find, "key long, sort long, one long, two long, place long, kind byte")
 
 
-def _gathered(batches: Iterable[pa.RecordBatch], names: list[str]) -> list[np.ndarray] | None:
-    parts = [[b.column(c).to_numpy(zero_copy_only=False) for c in names] for b in batches if b.num_rows]
-    return [np.concatenate(x) for x in zip(*parts)] if parts else None
+def _lots(batches: Iterable[pa.RecordBatch], by: str) -> Iterator[pa.Table]:
+    """Rows in order of `by`, in lots of about LOT rows or LOT_BYTES that hold all rows of each value."""
+    held: list[pa.RecordBatch] = []
+    rows = size = 0
+    most, most_bytes = LOT, LOT_BYTES
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        rows, size = rows + batch.num_rows, size + batch.nbytes
+        if rows >= most or size >= most_bytes:
+            all_ = pa.Table.from_batches(held)
+            value = all_.column(by).to_numpy()
+            cut = int(np.searchsorted(value, value[-1]))
+            if cut:
+                yield all_.slice(0, cut)
+            held = all_.slice(cut).combine_chunks().to_batches()
+            rows, size = len(value) - cut, sum(b.nbytes for b in held)
+            most, most_bytes = max(LOT, 2 * rows), max(LOT_BYTES, 2 * size)  # a group larger than a lot is looked at again when it has doubled
+    if held:
+        yield pa.Table.from_batches(held)
 
 
 _RESOLVED = ["key", "place", "one", "state"]
@@ -208,11 +234,10 @@ def _resolved(found: DataFrame) -> DataFrame:
     """Passes one and two: removed runs, and runs to be spread out."""
 
     def resolve(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        all_ = _gathered(batches, ["key", "one", "two", "place", "kind"])
-        if all_ is None:
-            return
-        key, one, two, place, kind = all_
+        for lot in _lots(batches, "sort"):
+            yield from resolved(*(lot.column(c).to_numpy() for c in ("key", "one", "two", "place", "kind")))
 
+    def resolved(key: np.ndarray, one: np.ndarray, two: np.ndarray, place: np.ndarray, kind: np.ndarray) -> Iterator[pa.RecordBatch]:
         def out(at: np.ndarray, state: int) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(key[at]), pa.array(place[at]), pa.array(one[at]), pa.array(np.full(int(at.sum()), state, dtype=np.int8))], _RESOLVED)
 
@@ -220,7 +245,7 @@ def _resolved(found: DataFrame) -> DataFrame:
         marked = np.unique(one[kind == MARK])
         for own in (RUN, OF_HOT):  # runs of one digit two are together in each kind
             mine = np.flatnonzero(kind == own)
-            first = _firsts(two[mine], key[mine], place[mine])
+            first = _firsts(one[mine], two[mine], key[mine], place[mine])
             gone = np.zeros(len(key), dtype=bool)
             gone[mine[~first]] = True
             yield out(gone, GONE)
@@ -239,7 +264,7 @@ def _resolved(found: DataFrame) -> DataFrame:
             yield out(edge, EDGE)
 
     n = partitions(found.sparkSession)
-    return found.repartition(n, "sort").mapInArrow(resolve, "key long, place long, one long, state byte")
+    return found.repartition(n, "sort").sortWithinPartitions("sort").mapInArrow(resolve, "key long, place long, one long, state byte")
 
 
 def _listed(rows: DataFrame, *columns: str) -> DataFrame:
@@ -248,7 +273,7 @@ def _listed(rows: DataFrame, *columns: str) -> DataFrame:
     return settle(lists.select(F.col("key").alias("k"), *(F.col(f"rows.{c}").alias(f"{c}s") for c in columns)), "repeats-listed").hint("merge")
 
 
-_SPREAD = ["slot", "key", "place", "bytes", "gone"]
+_SPREAD = ["slot", "key", "place", "bytes", "check", "gone"]
 
 
 def _spread(docs: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
@@ -266,52 +291,51 @@ def _spread(docs: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
                     else:
                         hot.append((key, p, b[s : s + n + depth - 1]))
             if slots:
-                yield pa.RecordBatch.from_arrays([pa.array(slots, pa.int64()), pa.array(keys, pa.int64()), pa.array(places, pa.int64()), pa.array(covered, pa.binary()), pa.array([False] * len(slots))], _SPREAD)
+                yield pa.RecordBatch.from_arrays([pa.array(slots, pa.int64()), pa.array(keys, pa.int64()), pa.array(places, pa.int64()), pa.array(covered, pa.binary()), pa.nulls(len(slots), pa.int64()), pa.array([False] * len(slots))], _SPREAD)
             for i in range(0, len(hot), 4096):
-                key, start, deep = _suffixes([k for k, _, _ in hot[i : i + 4096]], [p for _, p, _ in hot[i : i + 4096]], [c for _, _, c in hot[i : i + 4096]], depth)
-                gone = ~_firsts(deep, key, start)
+                key, start, deep, check = _suffixes([k for k, _, _ in hot[i : i + 4096]], [p for _, p, _ in hot[i : i + 4096]], [c for _, _, c in hot[i : i + 4096]], depth)
+                gone = ~_firsts(check, deep, key, start)
                 slot = np.where(gone, mixed(key.view(U64) + start.view(U64)), deep).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(key), pa.array(start * 256 + 1), pa.nulls(len(key), pa.binary()), pa.array(gone)], _SPREAD)
+                yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(key), pa.array(start * 256 + 1), pa.nulls(len(key), pa.binary()), pa.array(check.view(np.int64)), pa.array(gone)], _SPREAD)
 
     both = docs.join(edges, F.col("key") == F.col("k")).select("key", "text", "places", "ones", "states")
-    return both.mapInArrow(find, "slot long, key long, place long, bytes binary, gone boolean")
+    return both.mapInArrow(find, "slot long, key long, place long, bytes binary, check long, gone boolean")
 
 
-def _suffixes(keys: list[int], places: list[int], covered: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of runs given with the bytes that they cover: key, start and the hash of all bytes to the depth of each suffix."""
+def _suffixes(keys: list[int], places: list[int], covered: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of runs given with the bytes that they cover: key, start and two hashes of all bytes to the depth of each suffix."""
     n = np.array([len(c) for c in covered], dtype=np.int64)
     begins = np.cumsum(n) - n
-    deep = window_hashes(np.frombuffer(b"".join(covered), dtype=np.uint8), (depth,))[0]
+    b = np.frombuffer(b"".join(covered), dtype=np.uint8)
+    deep, check = window_hashes(b, (depth,))[0], window_hashes(b, (depth,), _BASE2)[0]
     many = n - depth + 1
     at = np.repeat(begins - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
     offset = at - np.repeat(begins, many)
-    return np.repeat(np.array(keys, dtype=np.int64), many), np.repeat(np.array(places, dtype=np.int64) // 256, many) + offset, deep[at]
+    return np.repeat(np.array(keys, dtype=np.int64), many), np.repeat(np.array(places, dtype=np.int64) // 256, many) + offset, deep[at], check[at]
 
 
 def _settled(spread: DataFrame, depth: int) -> DataFrame:
     """Pass three: key and place of the runs of suffixes that have an earlier equal."""
 
     def resolve(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, starts, deeps, known = [], [], [], []
-        for batch in batches:
-            has = pc.is_valid(batch.column("bytes")).to_numpy(zero_copy_only=False)
-            gone = batch.column("gone").to_numpy(zero_copy_only=False)
-            key, place, slot = (batch.column(c).to_numpy() for c in ("key", "place", "slot"))
-            rows = np.flatnonzero(has)
-            texts = batch.column("bytes").take(pa.array(rows)).to_pylist()
-            for i in range(0, len(rows), 4096):
-                some = rows[i : i + 4096]
-                k, s, d = _suffixes(key[some], place[some], texts[i : i + 4096], depth)
-                keys.append(k), starts.append(s), deeps.append(d)
-            single = ~has & ~gone
-            keys.append(key[single]), starts.append(place[single] // 256), deeps.append(slot[single].view(U64))
-            known.append((key[gone], place[gone] // 256))
-        if not keys:
-            return
-        key, start, deep = np.concatenate(keys), np.concatenate(starts), np.concatenate(deeps)
-        later = ~_firsts(deep, key, start)
-        key = np.concatenate([key[later], *(k for k, _ in known)])
-        start = np.concatenate([start[later], *(s for _, s in known)])
+        for lot in _lots(batches, "slot"):
+            yield from resolved(lot.combine_chunks().to_batches()[0])
+
+    def resolved(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        has = pc.is_valid(batch.column("bytes")).to_numpy(zero_copy_only=False)
+        gone = batch.column("gone").to_numpy(zero_copy_only=False)
+        key, place, slot = (batch.column(c).to_numpy() for c in ("key", "place", "slot"))
+        single = ~has & ~gone
+        known = batch.column("check").filter(pa.array(single)).to_numpy(zero_copy_only=False).astype(np.int64)
+        parts = [(key[single], place[single] // 256, slot[single].view(U64), known.view(U64))]
+        rows = np.flatnonzero(has)
+        covered = batch.column("bytes").take(pa.array(rows))
+        for i in range(0, len(rows), 4096):
+            some = rows[i : i + 4096]
+            parts.append(_suffixes(key[some], place[some], covered.slice(i, 4096).to_pylist(), depth))
+        keys, starts, deep, check = (np.concatenate(x) for x in zip(*parts))
+        later = ~_firsts(check, deep, keys, starts)
+        key, start = np.concatenate([keys[later], key[gone]]), np.concatenate([starts[later], place[gone] // 256])
         order = np.lexsort((start, key))
         key, start = key[order], start[order]
         # Neighbouring suffixes as one run, of 128 at most.
@@ -323,7 +347,7 @@ def _settled(spread: DataFrame, depth: int) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array(key[first]), pa.array(start[first] * 256 + n)], ["key", "place"])
 
     n = partitions(spread.sparkSession)
-    return spread.repartition(n, "slot").mapInArrow(resolve, "key long, place long")
+    return spread.repartition(n, "slot").sortWithinPartitions("slot").mapInArrow(resolve, "key long, place long")
 
 
 def _keyed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:

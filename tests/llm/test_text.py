@@ -66,6 +66,41 @@ def test_tasks_settle_copies_alike(spark, small, monkeypatch):
     assert digest(repeats.deduplicate(docs.repartition(7))) == want
 
 
+def test_equality_does_not_rest_on_one_hash(spark, small, monkeypatch):
+    """With digits of 14 bits runs and suffixes collide by the thousand; their second hashes tell them apart."""
+    docs = spark.read.parquet(f"{small}/documents.parquet").limit(80)
+    want = removed_by_hand(sorted((r.doc_id, r.text) for r in docs.collect()))
+    own, exact = repeats.runs, repeats._suffixes
+
+    def suffixes(keys, places, covered, depth):
+        key, start, deep, check = exact(keys, places, covered, depth)
+        return key, start, deep >> np.uint64(56) << np.uint64(56), check
+
+    def runs(b, ends, depth=100, gram=36):
+        one, two, s, n = own(b, ends, depth, gram)
+        return one, two >> np.uint64(52) << np.uint64(52), s, n
+
+    monkeypatch.setattr(repeats, "_suffixes", suffixes)
+    monkeypatch.setattr(repeats, "runs", runs)
+    assert digest(repeats.deduplicate(docs)) == want
+    monkeypatch.setattr(repeats, "HOT", 1)
+    assert digest(repeats.deduplicate(docs)) == want
+
+
+@pytest.mark.parametrize("lot", [1, 50])
+def test_lots_hold_whole_groups(spark, small, lot, monkeypatch):
+    docs = spark.read.parquet(f"{small}/documents.parquet").limit(60)
+    want = digest(repeats.deduplicate(docs))
+    monkeypatch.setattr(repeats, "LOT", lot)
+    assert digest(repeats.deduplicate(docs)) == want
+    import pyarrow as pa
+
+    rows = np.sort(np.random.default_rng(1).integers(0, 40, 500))
+    batches = [pa.RecordBatch.from_arrays([pa.array(rows[i : i + 37])], ["x"]) for i in range(0, 500, 37)]
+    lots = [x.column("x").to_pylist() for x in repeats._lots(batches, "x")]
+    assert [v for x in lots for v in x] == rows.tolist() and all(a[-1] != b[0] for a, b in zip(lots, lots[1:]))
+
+
 # Jaccard join
 
 
