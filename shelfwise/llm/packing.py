@@ -10,7 +10,13 @@ near-best ones enter by small steps that cover nothing twice. The fractional
 solution is rounded down, what is left goes through the same again, and the rest
 is packed best-fit decreasing, into open space too. Which piece of a length takes which place
 of a configuration is decided by its rank, so pieces are only numbered within
-their length and never gathered.
+their length and never gathered: those of a length in parts of about PART pieces,
+which a hash of the piece tells apart.
+
+The plan is broadcast. It has one configuration at most for each length, round and
+pass, and best fit adds few, so its size is bounded by `limit` and not by the
+corpus: some 50,000 configurations of 63 different lengths at most (the sum of
+which is `limit`).
 
 Defined cases: a null or empty text is its end id alone; repeated rows are
 packed each on their own; an empty table gives no rows; extra columns are
@@ -28,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfwise.llm.common import settle, slices
+from shelfwise.llm.common import checked_broadcast, settle, slices
 from shelfwise.llm.tokens import encoder
 
 LIMIT = 2048
@@ -39,8 +45,8 @@ SLACK = 0.0003
 RATE = 0.1
 #: For each pass: the share of the scarcest length that a step uses, and the least step. What passes leave has every length in much the same part, which suits best fit.
 PASSES = ((0.5, 1e-3), (0.5, 1e-3))
-#: Parts into which the pieces of one length are numbered apart.
-SALTS = 64
+#: Pieces of one length that are numbered in one task.
+PART = 20_000
 
 
 def cut(docs: DataFrame, tokenizer: str, end_id: int, limit: int = LIMIT) -> DataFrame:
@@ -198,14 +204,18 @@ def places(plan: list[tuple[int, tuple[int, ...]]]) -> dict[int, np.ndarray]:
 
 def pack(pieces: DataFrame, limit: int = LIMIT) -> DataFrame:
     """`pieces` (with length) and the place of each: sequence_id, offset."""
-    rows = pieces.withColumn("__salt", F.pmod(F.xxhash64(*(f"`{c}`" for c in pieces.columns)), F.lit(SALTS)).cast("int"))
+    spark = pieces.sparkSession
+    histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # `limit` rows at most
+    shared = spark.sparkContext.broadcast(places(solve(histogram, limit)))
+    # How many parts a length has: of this a literal of `limit` entries at most is made.
+    many = {x: -(-n // PART) for x, n in histogram.items() if n > PART}
+    parts = F.coalesce(F.create_map(*(F.lit(v) for x in many.items() for v in x))[F.col("length")], F.lit(1)) if many else F.lit(1)
+    rows = pieces.withColumn("__salt", F.pmod(F.xxhash64(*(f"`{c}`" for c in pieces.columns)), parts))
     sums = settle(rows.groupBy("length", "__salt").agg(F.count(F.lit(1)).alias("n")), "pack-counts")
-    histogram = {r["length"]: r["n"] for r in sums.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # `limit` rows at most
-    shared = pieces.sparkSession.sparkContext.broadcast(places(solve(histogram, limit)))
     before = Window.partitionBy("length").orderBy("__salt").rowsBetween(Window.unboundedPreceding, -1)
     firsts = sums.select("length", "__salt", F.coalesce(F.sum("n").over(before), F.lit(0).cast("long")).alias("__first"))
     order = Window.partitionBy("length", "__salt").orderBy(*(f"`{c}`" for c in pieces.columns))
-    ranked = rows.withColumn("__rank", F.row_number().over(order)).join(F.broadcast(firsts), ["length", "__salt"])  # limit * SALTS rows at most
+    ranked = rows.withColumn("__rank", F.row_number().over(order)).join(checked_broadcast(firsts), ["length", "__salt"])
     ranked = ranked.withColumn("__rank", F.col("__rank") + F.col("__first") - 1)
     names = pieces.columns
 

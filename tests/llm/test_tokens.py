@@ -132,6 +132,13 @@ def test_packing_of_documents(spark, small):
     assert packed(rows, 2048) <= 1.01 * sum(w[3] for w in want) / 2048 + 2
 
 
+def test_packing_of_one_length_in_many_parts(spark, monkeypatch):
+    """Pieces of one length are numbered in as many parts as their number takes."""
+    monkeypatch.setattr(packing, "PART", 7)
+    rows = packing.pack(spark.range(500).selectExpr("id", "cast(if(id % 5 = 0, 40, 9) as long) as length"), 64).collect()
+    assert len({r.id for r in rows}) == 500 and packed(rows, 64) == 129  # two nines beside each forty, seven in each of the rest
+
+
 def test_packing_of_awkward_documents(spark):
     rows = packing.pack_documents(awkward(spark), PATH, limit=64).collect()
     assert len([r for r in rows if r.doc_id in (1, 2, 3)]) == 3 and all(r.length == 1 for r in rows if r.doc_id in (1, 2, 3))
