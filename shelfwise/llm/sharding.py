@@ -17,7 +17,8 @@ All on DataFrame functions.
 
 Defined cases: a null key hashes like the empty text; a null payload has 0
 bytes; an empty table has no shards; extra columns are carried through and count
-for telling rows of one key apart.
+for telling rows of one key apart, but for those with the name of a result, which
+are replaced by it.
 """
 
 from __future__ import annotations
@@ -86,22 +87,21 @@ def assign(df: DataFrame, key: Column, payload_bytes: Column, limit: int) -> Dat
     """`df` with shard (its prefix), shard_depth, shard_bytes and row_bytes.
 
     A row finds its shard by one equality join for each depth at which leaves
-    exist, all in one: the row lists its prefixes at those depths.
+    exist, all in one: the row lists its prefixes at those depths. Columns of
+    `df` that have one of the four names are replaced; key and payload may use them.
     """
-    clash = {"shard", "shard_depth", "shard_bytes", "row_bytes"} & set(df.columns)
-    if clash:
-        raise ValueError(f"columns {sorted(clash)} would be overwritten; rename them first")
+    kept = [c for c in df.columns if c.lower() not in ("shard", "shard_depth", "shard_bytes", "row_bytes")]
     rows = hash_bits(df, key).withColumn("__bytes", F.coalesce(payload_bytes.cast("long"), F.lit(0).cast("long")))
     leaves = settle(directory(rows.select("__bits", "__bytes"), limit), "shard-directory")
     depths = sorted(r["depth"] for r in leaves.select("depth").distinct().collect())  # 192 at most
     small = leaves.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    leaves = leaves.select(F.col("shard").alias("__shard"), F.col("depth").alias("shard_depth"), F.col("shard_bytes"))
+    leaves = leaves.select(F.col("shard").alias("__shard"), F.col("depth").alias("__depth"), F.col("shard_bytes").alias("__size"))
     # The leaf over a row is found by its longest prefix at which the directory has an entry: prefixes of leaves are disjoint, so one matches.
     at = F.array(*(F.substring("__bits", 1, d) for d in depths)) if depths else F.array().cast("array<string>")
     if small:
         leaves = F.broadcast(leaves)
     out = rows.withColumn("__try", F.explode(at)).join(leaves, F.col("__try") == F.col("__shard"))
-    return out.select(*(f"`{c}`" for c in df.columns), F.col("__shard").alias("shard"), "shard_depth", "shard_bytes", F.col("__bytes").alias("row_bytes"))
+    return out.select(*(f"`{c}`" for c in kept), F.col("__shard").alias("shard"), F.col("__depth").alias("shard_depth"), F.col("__size").alias("shard_bytes"), F.col("__bytes").alias("row_bytes"))
 
 
 def write(df: DataFrame, key: Column, payload_bytes: Column, limit: int, path: str) -> None:

@@ -51,8 +51,10 @@ def test_hot_keys_are_split_by_row_then_by_place(spark):
     assert sum(n for n, _ in sums.values()) == 402 and all(b <= 60 for _, b in sums.values())
     assert sharding.assign(empty(spark), F.col("doc_id"), F.octet_length("text"), 10).count() == 0
     assert sharding.assign(awkward(spark).drop("key"), F.col("doc_id"), F.octet_length("text"), 100).count() == 18
-    with pytest.raises(ValueError):
-        sharding.assign(df.withColumn("shard", F.lit(1)), F.col("k"), F.octet_length("text"), 60)
+    # Columns with the names of results are replaced, though the key or the payload be one of them.
+    clash = df.withColumn("shard", F.col("k")).withColumn("row_bytes", F.octet_length("text")).withColumn("shard_depth", F.lit("x"))
+    again = sharding.assign(clash, F.col("shard"), F.col("row_bytes"), 60)
+    assert again.columns == ["k", "v", "text", "shard", "shard_depth", "shard_bytes", "row_bytes"] and all(x <= 60 for x in (r.shard_bytes for r in again.collect()))
 
 
 def test_pipeline_stages(spark, small, tmp_path):
