@@ -25,6 +25,7 @@ ignored.
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
@@ -41,8 +42,8 @@ LIMIT = 2048
 ROUNDS = 12
 #: Price, in sequences, by which a configuration that enters may fall short of the best.
 SLACK = 0.0003
-#: How fast the weight of a length falls with its coverage.
-RATE = 0.1
+#: How fast the weight of a length falls with its coverage. The slow rate suits lengths that fill sequences whole; where they can't, prices must part from volume, so the fast one is tried too.
+RATES = (0.1, 5.0)
 #: For each pass: the share of the scarcest length that a step uses, and the least step. What passes leave has every length in much the same part, which suits best fit.
 PASSES = ((0.5, 1e-3), (0.5, 1e-3))
 #: Pieces of one length that are numbered in one task.
@@ -77,7 +78,7 @@ def knapsack(lengths: np.ndarray, prices: np.ndarray, limit: int) -> np.ndarray:
     return best
 
 
-def fractional(need: dict[int, int], limit: int, share: float, least: float, rounds: int = ROUNDS, slack: float = SLACK) -> dict[tuple[int, ...], float]:
+def fractional(need: dict[int, int], limit: int, share: float, least: float, rounds: int = ROUNDS, slack: float = SLACK, rate: float = RATES[0]) -> dict[tuple[int, ...], float]:
     """Configurations and how often to use them, such that no length is used more than it is needed.
 
     Weights start where the price of a length is its share of a sequence, the
@@ -97,7 +98,7 @@ def fractional(need: dict[int, int], limit: int, share: float, least: float, rou
             break
         x = lengths[alive]
         covered = 1 - left[alive] / n[alive]
-        prices = x / limit * np.exp(-RATE * (covered - covered.min()))
+        prices = x / limit * np.exp(-rate * (covered - covered.min()))
         best = knapsack(x, prices, limit)
         upto = np.searchsorted(x, np.arange(limit + 1), side="right")
         entered = False
@@ -169,7 +170,23 @@ def best_fit(need: Counter, limit: int, open_: list[list] | None = None) -> list
 
 
 def solve(histogram: dict[int, int], limit: int = LIMIT) -> list[tuple[int, tuple[int, ...]]]:
-    """(times, configuration) such that every length is used exactly as often as the histogram says."""
+    """(times, configuration) such that every length is used exactly as often as the histogram says.
+
+    Of the solutions at the two rates the one with fewer sequences; the second is
+    left out when the first needs no more than the volume does.
+    """
+    volume = -(-sum(x * n for x, n in histogram.items()) // limit)
+    best, fewest = [], math.inf
+    for rate in RATES:
+        plan = _solved(histogram, limit, rate)
+        if (times := sum(t for t, _ in plan)) < fewest:
+            best, fewest = plan, times
+        if fewest <= volume:
+            break
+    return best
+
+
+def _solved(histogram: dict[int, int], limit: int, rate: float) -> list[tuple[int, tuple[int, ...]]]:
     need = Counter({x: n for x, n in histogram.items() if n > 0})
     plan: Counter = Counter()
     if need.get(limit):
@@ -177,7 +194,7 @@ def solve(histogram: dict[int, int], limit: int = LIMIT) -> list[tuple[int, tupl
     for share, least in PASSES:
         if not need:
             break
-        for config, x in fractional(need, limit, share, least).items():
+        for config, x in fractional(need, limit, share, least, rate=rate).items():
             times = int(x + 1e-9)
             if times:
                 plan[config] += times
