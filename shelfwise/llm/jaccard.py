@@ -14,7 +14,9 @@ three steps, each on the regions that the one before leaves open:
    onto one pivot set. Empty projections tell nothing apart: a point drops them,
    and must meet others in as many fewer; one with S of them or more keeps them,
    and must meet others once. A point stays in play only while that many of its
-   projections meet another point. Regions that share points make a cell.
+   projections meet another point, and while other points in play have as many of
+   its shingles as one that is linked with it must. Regions that share points make
+   a cell.
 3. The most central point of a cell (whose regions hold most) is its pivot, and
    all points of the cell are measured against it; those within the distance are
    linked to it, and pairs among them are one component already. The cell is then
@@ -52,6 +54,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -144,39 +147,35 @@ def text_hash(docs: DataFrame) -> Column:
     return F.xxhash64(docs["text"])
 
 
-_REGIONS = ["deal", "region", "print", "tag"]
+_DEALT = ["deal", "region", "print", "tag"]
 
 
-def _regions(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """A row for each region of each document: region, print, tag (the interval, how many regions a linked set shares, whether the region is known to be shared), and `deal`, by which it is dealt.
+def _dealt(region: np.ndarray, point: np.ndarray, tag: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Rows of a chunk with `deal`, by which they are dealt.
 
-    In a chunk a set is taken once, and of a hot region, as a common passage makes
-    it, one row goes to where the region is gathered; the others, known to be
-    shared, go anywhere.
+    Of a hot region, as a common passage makes it, one row goes to where the region
+    is gathered; the others, known to be shared, go anywhere.
     """
+    deal = region.copy()
+    _, first, which, times = np.unique(region, return_index=True, return_inverse=True, return_counts=True)
+    hot = times[which] > HOT
+    away = hot & (first[which] != np.arange(len(region)))
+    deal[away] = mixed(region[away] ^ point[away].view(U64))
+    columns = [deal.view(np.int64), region.view(np.int64), point, tag + hot]
+    for i in range(0, len(region), 1 << 16):
+        yield pa.RecordBatch.from_arrays([pa.array(c[i : i + (1 << 16)]) for c in columns], _DEALT)
+
+
+def _regions(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """A row for each region of each document: region, print, tag (the interval, how many regions a linked set shares, whether the region is known to be shared), and `deal`. In a chunk a set is taken once."""
 
     def find(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict = {}
         seen: set[int] = set()
         held: list[tuple[np.ndarray, ...]] = []
         size = 0
-
-        def rows() -> Iterator[pa.RecordBatch]:
-            region, point, tag = (np.concatenate(x) for x in zip(*held))
-            held.clear(), seen.clear()
-            deal = region.copy()
-            _, first, which, times = np.unique(region, return_index=True, return_inverse=True, return_counts=True)
-            hot = times[which] > HOT
-            tag += hot
-            away = hot & (first[which] != np.arange(len(region)))
-            deal[away] = mixed(region[away] ^ point[away].view(U64))
-            columns = [deal.view(np.int64), region.view(np.int64), point, tag]
-            for i in range(0, len(region), 1 << 16):
-                yield pa.RecordBatch.from_arrays([pa.array(c[i : i + (1 << 16)]) for c in columns], _REGIONS)
-
         for batch in slices(batches, "text", 1 << 19):
-            texts = batch.column("text").to_pylist()
-            for s in word_sets(texts, n):
+            for s in word_sets(batch.column("text").to_pylist(), n):
                 p = print_of(s)
                 if len(s) and p not in seen:
                     seen.add(p)
@@ -184,12 +183,13 @@ def _regions(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
                     held.append((g, np.full(len(g), p, dtype=np.int64), level << 17 | need << 1))
             size += batch.column("text").nbytes
             if size >= CHUNK and held:
-                yield from rows()
-                size = 0
+                yield from _dealt(*(np.concatenate(x) for x in zip(*held)))
+                held, size = [], 0
+                seen.clear()
         if held:
-            yield from rows()
+            yield from _dealt(*(np.concatenate(x) for x in zip(*held)))
 
-    return docs.select("text").mapInArrow(find, ", ".join(f"{c} long" for c in _REGIONS))
+    return docs.select("text").mapInArrow(find, ", ".join(f"{c} long" for c in _DEALT))
 
 
 def _shared(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,7 +202,7 @@ def _shared(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
             continue
-        region, point, tag = (batch.column(c).to_numpy() for c in _REGIONS[1:])
+        region, point, tag = (batch.column(c).to_numpy() for c in _DEALT[1:])
         if last is not None:
             region, point, tag = (np.concatenate([[x], y]) for x, y in zip(last, (region, point, tag)))
         first = np.concatenate([[True], region[1:] != region[:-1]])
@@ -218,11 +218,33 @@ def _shared(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(region[out]), pa.array(point[out]), pa.array(tag[out] >> 17), pa.array(tag[out] >> 1 & 0xFFFF)], ["region", "print", "level", "need"])
 
 
-def _members(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """(region, print, level, need) of regions with two points at least."""
-    rows = _regions(docs, n, num, den).repartition(partitions(docs.sparkSession), "deal")
-    rows = rows.sortWithinPartitions("region", "print", F.col("tag").desc())
-    return rows.mapInArrow(_shared, "region long, print long, level long, need long").distinct()
+def _gathered(rows: DataFrame) -> DataFrame:
+    """(region, print, level, need) of dealt rows whose region has two points at least."""
+    rows = rows.repartition(partitions(rows.sparkSession), "deal").sortWithinPartitions("region", "print", F.col("tag").desc())
+    return rows.mapInArrow(_shared, "region long, print long, level long, need long")
+
+
+def _covered(sets: DataFrame, num: int, den: int) -> DataFrame:
+    """(print) of points that can be linked at all: as many of their shingles as a linked set shares must be in another point's set."""
+
+    def find(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            whole = batch.column("set")
+            ends = np.cumsum(pc.list_value_length(whole).to_numpy())
+            begin = 0
+            while begin < batch.num_rows:  # about CHUNK bytes of sets at once
+                base = int(ends[begin - 1]) if begin else 0
+                end = max(begin + 1, int(np.searchsorted(ends, base + CHUNK // 8, side="right")))
+                some = whole.slice(begin, end - begin)
+                e = some.flatten().to_numpy()
+                point = np.repeat(batch.column("print").to_numpy()[begin:end], pc.list_value_length(some).to_numpy())
+                yield from _dealt(e.view(U64), point, np.zeros(len(e), dtype=np.int64))
+                begin = end
+
+    elements = sets.mapInArrow(find, ", ".join(f"{c} long" for c in _DEALT))
+    times = _gathered(elements).groupBy("print").agg(F.count(F.lit(1)).alias("shared"))
+    sizes = sets.select("print", F.size("set").alias("size"))
+    return times.join(sizes, "print").where(F.col("shared") * den >= F.col("size") * num).select("print")
 
 
 def _meeting(members: DataFrame) -> DataFrame:
@@ -347,20 +369,25 @@ def join(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100) -> tuple[Da
     Points that have no link to another set aren't in the second.
     """
     points = settle(_points(docs, n), "jaccard-points")
-    members = settle(_members(docs, n, num, den), "jaccard-members")
+    members = settle(_gathered(_regions(docs, n, num, den)).distinct(), "jaccard-members")
     release(docs.sparkSession)
     members = _meeting(members)
-    cells = _cells(members)
-    forget(members)
-    # Of each point in a cell one document.
-    one = points.where("size > 0").groupBy("print").agg(F.min(F.struct("doc_id", "text_hash")).alias("first")).join(cells, "print", "left_semi").select(F.col("first.doc_id").alias("__doc"), F.col("first.text_hash").alias("__hash"))
+    # Of each point in play one document.
+    one = points.where("size > 0").groupBy("print").agg(F.min(F.struct("doc_id", "text_hash")).alias("first")).join(members.select("print").distinct(), "print", "left_semi").select(F.col("first.doc_id").alias("__doc"), F.col("first.text_hash").alias("__hash"))
     one = settle(one, "jaccard-one")
     these = docs.join(checked_broadcast(one), docs["doc_id"].eqNullSafe(F.col("__doc")) & (text_hash(docs) == F.col("__hash")), "left_semi")
     sets = settle(_sets(these, n).dropDuplicates(["print"]), "jaccard-sets")
+    forget(one)
+    covered = settle(_covered(sets, num, den), "jaccard-covered")
     release(docs.sparkSession)
+    before, members = members, settle(members.join(covered, "print", "left_semi"), "jaccard-members")
+    forget(before)
+    members = _meeting(members)
+    cells = _cells(members)
+    forget(members, covered)
 
     first = settle(_measured(cells.where("print <> pivot"), sets, num, den), "jaccard-first")
-    forget(sets, one)
+    forget(sets)
     open_ = settle(first.where("not linked").select("pivot").distinct(), "jaccard-open")
     rest = _rest(first.join(checked_broadcast(open_), "pivot", "left_semi"), num, den)
     links = first.where("linked").select(F.col("pivot").alias("a"), F.col("print").alias("b"))
