@@ -241,6 +241,19 @@ def _one_digit(x: Column) -> Column:
     return F.when(x == 0, F.lit(0.0)).otherwise(F.round(x.cast("double") / F.pow(F.lit(10.0), scale)) * F.pow(F.lit(10.0), scale))
 
 
+def _quotient(a: Column, b: Column) -> Column:
+    """Scale 16, half up, as on the driver.
+
+    Both operands are brought to whole numbers, of 22 and 15 digits at most, whose
+    quotient Spark keeps to exactly 16 places: whole operands as they are, others
+    times 10^6.
+    """
+    x, y = a.cast("decimal(28,6)"), b.cast("decimal(21,6)")
+    whole = (x == F.floor(x)) & (y == F.floor(y))
+    scaled = lambda v, digits: F.when(whole, v).otherwise(v * F.lit(1_000_000).cast("decimal(7,0)")).cast(f"decimal({digits},0)")
+    return scaled(x, 22) / scaled(y, 15)
+
+
 _NATIVE: dict[str, Callable[..., Column]] = {
     "abs": F.abs, "ceil": F.ceil, "floor": F.floor, "round": _one_digit, "sqrt": lambda x: F.sqrt(x.cast("double")), "log": lambda x: F.ln(x.cast("double")),
     "pow": lambda x, n: F.pow(x.cast("double"), n), "max": F.greatest, "min": F.least,
@@ -310,6 +323,5 @@ def _column(e: Expression, variables: Mapping) -> Any:
     return {
         "??": lambda: F.coalesce(a, b), "==": lambda: a.eqNullSafe(b), "!=": lambda: ~a.eqNullSafe(b), "&&": lambda: a & b, "||": lambda: a | b, "^": lambda: a != b,
         ">": lambda: a > b, ">=": lambda: a >= b, "<": lambda: a < b, "<=": lambda: a <= b, "+": lambda: a + b, "-": lambda: a - b, "*": lambda: a * b,
-        # Operands narrow enough for Spark to keep 16 places or more in the quotient.
-        "/": lambda: (a.cast("decimal(18,6)") / b.cast("decimal(18,6)")), "%": lambda: a % b,
+        "/": lambda: _quotient(a, b), "%": lambda: a % b,
     }[op]()

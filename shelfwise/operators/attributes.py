@@ -1,6 +1,8 @@
-"""Attribute and primary-key predicates as two-valued columns.
+"""Attribute and primary-key predicates as columns.
 
-Every leaf is false, never null, for a missing value; so `not` is a complement.
+Under `not` every leaf is false, never null, for a missing value, so that it is a
+complement. Elsewhere a leaf is left bare: a row is kept by a true value only, so
+null is as good as false there, and a bare comparison reaches the scan.
 Arrays match if any of their elements does. A literal that can't be taken in the
 attribute's type makes the predicate false.
 """
@@ -10,6 +12,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import date, datetime
 from decimal import Decimal, InvalidOperation
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column
@@ -18,8 +21,6 @@ from pyspark.sql import functions as F
 from shelfwise.catalog import Attribute
 from shelfwise.constraints import Constraint, QueryError, Range
 
-_FALSE = F.lit
-
 
 def converted(value: Any, type_: str) -> Any:
     """The literal in an attribute's type, or None if it has no such form."""
@@ -86,8 +87,8 @@ _TESTS: dict[str, Callable[[Column, Column], Column]] = {
 }
 
 
-def attribute_test(c: Constraint, attribute: Attribute, col: Column, moment: Callable[[Any], Any]) -> Column:
-    """The predicate of an attribute constraint on a column."""
+def attribute_test(c: Constraint, attribute: Attribute, col: Column, moment: Callable[[Any], Any], sure: bool = True) -> Column:
+    """The predicate of an attribute constraint on a column; `sure` makes it two-valued."""
     name, values = c.values[0], c.values[1:]
     if not attribute.filterable and c.name != "attributeIs":
         raise QueryError(f"attribute {name} is not filterable")
@@ -107,7 +108,7 @@ def attribute_test(c: Constraint, attribute: Attribute, col: Column, moment: Cal
         elif attribute.range:
             test = lambda x: within(x, lo, hi)
         else:
-            test = lambda x: (x >= F.lit(lo) if lo is not None else F.lit(True)) & (x <= F.lit(hi) if hi is not None else F.lit(True)) & x.isNotNull()
+            test = lambda x: _all([x >= F.lit(lo)] * (lo is not None) + [x <= F.lit(hi)] * (hi is not None))
     elif c.name == "attributeInSet":
         kept = [k for k in (converted(v, attribute.type) for v in values) if k is not None]
         if attribute.range:
@@ -124,7 +125,12 @@ def attribute_test(c: Constraint, attribute: Attribute, col: Column, moment: Cal
         raise QueryError(f"unknown attribute constraint {c.name}")
     if test is None:
         return F.lit(False)
-    return _sure(F.exists(col, lambda x: _sure(test(x)))) if attribute.array else _sure(test(col))
+    out = F.exists(col, lambda x: _sure(test(x))) if attribute.array else test(col)
+    return _sure(out) if sure else out
+
+
+def _all(columns: list[Column]) -> Column:
+    return reduce(lambda a, b: a & b, columns) if columns else F.lit(True)
 
 
 def _any(columns: list[Column]) -> Column:
@@ -139,5 +145,5 @@ def key_test(c: Constraint, pk: Column) -> Column:
     if c.name == "entityPrimaryKeyInSet":
         return pk.isin(*v) if v else F.lit(False)
     if c.name == "entityPrimaryKeyBetween":
-        return (pk >= v[0] if v[0] is not None else F.lit(True)) & (pk <= v[1] if v[1] is not None else F.lit(True))
+        return _all([pk >= v[0]] * (v[0] is not None) + [pk <= v[1]] * (v[1] is not None))
     return {"entityPrimaryKeyGreaterThan": pk > v[0], "entityPrimaryKeyGreaterThanEquals": pk >= v[0], "entityPrimaryKeyLessThan": pk < v[0], "entityPrimaryKeyLessThanEquals": pk <= v[0]}[c.name]

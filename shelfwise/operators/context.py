@@ -31,10 +31,13 @@ class Context:
     scopes: tuple[str, ...] = (LIVE,)
     now: datetime = field(default_factory=lambda: datetime.now(timezone.utc))
     prices: PriceTerms = PriceTerms()
+    #: How facets are combined (facets.Rules); of the query's own collection, so none on others.
+    rules: Any = None
 
     def on(self, collection: str) -> Context:
         """The same terms on another collection."""
-        return replace(self, collection=self.catalog[collection])
+        other = self.catalog[collection]
+        return replace(self, collection=other, rules=self.rules if other is self.collection else None)
 
     def moment(self, value: Any) -> Any:
         """`now` is one moment for the whole query."""

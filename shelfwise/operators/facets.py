@@ -7,6 +7,10 @@ can be set for a query, and for single groups.
 Impact is worked out for all facets at once: an entity's state under the current
 selection is how many units of it (a group, or all groups joined by "or") it fails;
 adding a facet can only help entities that fail nothing else than its own unit.
+What is said of the selection as a whole - its units, how many entities satisfy it -
+is a scalar subquery, so nothing runs before the result does.
+
+A selection that no facet answers to is satisfied by no entity.
 """
 
 from __future__ import annotations
@@ -106,23 +110,29 @@ def _states(ctx: Context, c: Constraint, rules: Rules) -> tuple[DataFrame, DataF
     return groups, hits.where(good).select("pk", "group_pk", "unit", "negated")
 
 
-def selected(ctx: Context, c: Constraint, rules: Rules) -> DataFrame:
-    """(key) of entities that satisfy a facetHaving."""
-    return unmet(ctx, c, rules, ctx.collection.frame.select("pk")).where("unmet = 0").select(F.col("pk").alias("key"))
+def selected(ctx: Context, c: Constraint, rules: Rules, entities: DataFrame | None = None) -> DataFrame:
+    """(key) of entities that satisfy a facetHaving, of these (pk) or of all in scope."""
+    entities = ctx.rows().select("pk") if entities is None else entities
+    return unmet(ctx, c, rules, entities).where("unmet = 0").select(F.col("pk").alias("key"))
+
+
+def _units(groups: DataFrame) -> Column:
+    """The units that must be satisfied; null if the selection has no facet at all."""
+    # As many as the groups that a user has selected.
+    units = groups.select("unit", "negated").distinct()
+    wanted = F.sort_array(F.collect_set(F.when(~F.col("negated"), F.col("unit"))))
+    return units.agg(F.when(F.count(F.lit(1)) > 0, wanted).alias("wanted")).scalar()
 
 
 def unmet(ctx: Context, c: Constraint, rules: Rules, entities: DataFrame) -> DataFrame:
-    """`entities` (pk) with how many units of the selection each fails, and one that it fails."""
+    """`entities` (pk) with how many units of the selection each fails (null if there is no facet to satisfy), and one that it fails."""
     groups, hits = _states(ctx, c, rules)
-    units = groups.select("unit", "negated").distinct()
-    # Units are as many as the groups that a user has selected.
-    listed = units.agg(F.sort_array(F.collect_set(F.when(~F.col("negated"), F.col("unit")))).alias("wanted"))
     held = hits.groupBy("pk").agg(F.collect_set(F.when(~F.col("negated"), F.col("unit"))).alias("has"), F.collect_set(F.when(F.col("negated"), F.col("unit"))).alias("bad"))
-    wanted = listed.first()["wanted"]
-    wanted_column: Column = F.array(*(F.lit(u) for u in wanted)).cast("array<bigint>")
-    out = entities.join(held, "pk", "left")
-    missing = F.concat(F.array_except(wanted_column, F.coalesce("has", F.array().cast("array<bigint>"))), F.coalesce("bad", F.array().cast("array<bigint>")))
-    return out.select(*entities.columns, F.size(missing).alias("unmet"), F.get(missing, 0).alias("failed"))
+    none = F.array().cast("array<bigint>")
+    out = entities.join(held, "pk", "left").withColumn("wanted", _units(groups))
+    missing = F.concat(F.array_except("wanted", F.coalesce("has", none)), F.coalesce("bad", none))
+    out = out.withColumn("missing", missing)
+    return out.select(*entities.columns, F.when(F.col("wanted").isNotNull(), F.size("missing")).alias("unmet"), F.get("missing", 0).alias("failed"))
 
 
 def summary(ctx: Context, name: str, mandatory: DataFrame, others: DataFrame, selection: Constraint | None, rules: Rules, impact: bool) -> DataFrame:
@@ -132,36 +142,44 @@ def summary(ctx: Context, name: str, mandatory: DataFrame, others: DataFrame, se
     others: (pk) by the whole filter but for the selection on this reference.
     """
     facets = facet_rows(ctx, name)
-    here = facets.join(mandatory.select("pk"), "pk", "left_semi")
-    counts = here.groupBy("group_pk", "ref_pk").agg(F.count_distinct("pk").alias("count"))
-    by_group = here.groupBy("group_pk").agg(F.count_distinct("pk").alias("group_count"))
-    out = counts.join(by_group, "group_pk")
+    # One pass over the facets of the entities that count, with their state under the selection.
+    state = mandatory.select("pk")
+    if impact:
+        now = unmet(ctx, selection, rules, others.select("pk")) if selection is not None else others.select("pk", F.lit(0).alias("unmet"), F.lit(None).cast("bigint").alias("failed"))
+        state = state.join(now, "pk", "left")
+    else:
+        state = state.withColumn("unmet", F.lit(None).cast("int")).withColumn("failed", F.lit(None).cast("bigint"))
+    groups = facets.select("group_pk").distinct()
+    rows = facets.join(state, "pk")
+    if impact:
+        related = rules.relation(ctx, name, IN_GROUP, groups).join(rules.relation(ctx, name, BETWEEN, groups).withColumnRenamed("relation", "between"), "group_pk")
+        related = related.withColumn("unit", F.when(F.col("between") == DISJUNCTION, F.lit(_ANY)).otherwise(F.col("group_pk")))
+        rows = rows.join(related, "group_pk")
+    else:
+        rows = rows.withColumn("unit", F.lit(None).cast("bigint"))
+    kept = ["group_pk", "ref_pk", *(["relation", "between", "unit"] if impact else [])]
+    sums = rows.groupBy(*kept).agg(F.count(F.lit(1)).alias("count"), F.count_if(F.col("unmet") == 0).alias("met"), F.count_if((F.col("unmet") == 1) & (F.col("failed") == F.col("unit"))).alias("gained"))
+    by_group = facets.join(mandatory.select("pk"), "pk", "left_semi").groupBy("group_pk").agg(F.count_distinct("pk").alias("group_count"))
+    out = sums.join(by_group, "group_pk")
     if selection is not None:
         mark = chosen(ctx, selection).select("group_pk", "ref_pk", F.lit(True).alias("requested"))
         out = out.join(mark, ["group_pk", "ref_pk"], "left").withColumn("requested", F.coalesce("requested", F.lit(False)))
     else:
         out = out.withColumn("requested", F.lit(False))
     if impact:
-        state = unmet(ctx, selection, rules, others.select("pk")) if selection is not None else others.select("pk", F.lit(0).alias("unmet"), F.lit(None).cast("bigint").alias("failed"))
-        groups = facets.select("group_pk").distinct()
-        related = rules.relation(ctx, name, IN_GROUP, groups).join(rules.relation(ctx, name, BETWEEN, groups).withColumnRenamed("relation", "between"), "group_pk")
-        related = related.withColumn("unit", F.when(F.col("between") == DISJUNCTION, F.lit(_ANY)).otherwise(F.col("group_pk")))
-        active = [r["unit"] for r in _states(ctx, selection, rules)[0].where("not negated").select("unit").distinct().collect()] if selection is not None else []
-        near = facets.join(state.where("unmet <= 1"), "pk").join(related, "group_pk")
-        sums = near.groupBy("group_pk", "ref_pk").agg(F.count_if(F.col("unmet") == 0).alias("met"), F.count_if((F.col("unmet") == 1) & (F.col("failed") == F.col("unit"))).alias("gained"))
-        out = out.join(sums, ["group_pk", "ref_pk"], "left").join(related, "group_pk").fillna(0, ["met", "gained"])
-        base = state.where("unmet = 0").count()
-        is_active = F.col("unit").isin(*active) if active else F.lit(False)
+        out = out.withColumn("base", state.agg(F.count_if(F.col("unmet") == 0)).scalar())
+        base = F.col("base")
+        active = _units(_states(ctx, selection, rules)[0]) if selection is not None else F.array().cast("array<bigint>")
+        out = out.withColumn("is_active", F.coalesce(F.array_contains(active, F.col("unit")), F.lit(False)))
         negated = (F.col("relation") == NEGATION) | (F.col("between") == NEGATION)
         exclusive = (F.col("relation") == EXCLUSIVITY) | (F.col("between") == EXCLUSIVITY)
         match = (
-            F.when(negated, F.lit(base) - F.col("met"))
+            F.when(negated, base - F.col("met"))
             .when(exclusive, F.col("met") + F.col("gained"))
-            .when(is_active & (F.col("relation") == DISJUNCTION), F.lit(base) + F.col("gained"))
-            .when(is_active & (F.col("between") == DISJUNCTION), F.lit(base) + F.col("gained"))
+            .when(F.col("is_active") & ((F.col("relation") == DISJUNCTION) | (F.col("between") == DISJUNCTION)), base + F.col("gained"))
             .otherwise(F.col("met"))
         )
-        out = out.withColumn("match_count", match.cast("long")).withColumn("difference", (F.col("match_count") - F.lit(base)).cast("long"))
+        out = out.withColumn("match_count", match.cast("long")).withColumn("difference", (F.col("match_count") - base).cast("long"))
         out = out.withColumn("has_sense", (F.col("match_count") > 0) & ((F.col("difference") != 0) | ~F.col("requested")))
     fields = ["group_pk", "ref_pk", "count", "group_count", "requested"] + ["match_count", "difference", "has_sense"] * impact
     return out.select(F.lit(name).alias("reference"), *fields).withColumnRenamed("ref_pk", "facet_pk")

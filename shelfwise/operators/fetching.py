@@ -1,4 +1,8 @@
-"""Entity bodies, put together after the slice is taken (late materialization)."""
+"""Entity bodies, put together after the slice is taken (late materialization).
+
+Of a page only its keys go into what is gathered from prices, references and
+trees: each is cut down to them by a semi-join before anything is aggregated.
+"""
 
 from __future__ import annotations
 
@@ -24,8 +28,9 @@ def _localized(ctx: Context, column: Column, is_localized: bool, locales: tuple[
     return column.getItem(ctx.locale) if ctx.locale else F.lit(None).cast("string")
 
 
-def fetched(ctx: Context, df: DataFrame, contents: list[Constraint], defaults: tuple[str, ...] = (), filter_by: Constraint | None = None) -> DataFrame:
-    """`df` (pk and maybe sort keys beginning with __) with a column for everything that is asked for."""
+def fetched(ctx: Context, df: DataFrame, contents: list[Constraint], defaults: tuple[str, ...] = (), page: bool = False) -> DataFrame:
+    """`df` (pk and maybe sort keys beginning with __) with a column for everything that is asked for; a `page` is a few rows."""
+    keys = df.select(F.col("pk").alias("__page")) if page else None
     kept = [c for c in df.columns if c == "pk" or c.startswith("__")]
     locales = _locales(ctx, contents)
     columns: list[Column] = []
@@ -42,13 +47,13 @@ def fetched(ctx: Context, df: DataFrame, contents: list[Constraint], defaults: t
                     raise QueryError(f"collection {ctx.collection.name} has no associated data {name}")
                 columns.append(F.col(name))
         elif c.name == "priceContent":
-            joins.append(price_lists(ctx, c))
+            joins.append(price_lists(ctx, c, keys))
         elif c.name == "accompanyingPriceContent":
-            joins.append(accompanying(ctx, c, defaults))
+            joins.append(accompanying(ctx, c, defaults, df if page else None))
         elif c.name in ("referenceContent", "referenceContentWithAttributes"):
-            joins += [reference_lists(ctx, name, c) for name in ([v for v in c.values if v not in ("ANY", "EXISTING")] or ctx.collection.references)]
+            joins += [reference_lists(ctx, name, c, keys) for name in ([v for v in c.values if v not in ("ANY", "EXISTING")] or ctx.collection.references)]
         elif c.name == "hierarchyContent":
-            joins.append(parent_chain(ctx, c))
+            joins.append(parent_chain(ctx, c, df))
         elif c.name != "dataInLocales":
             raise QueryError(f"{c.name} can't be part of entityFetch")
     seen, unique = set(), []
@@ -63,10 +68,15 @@ def fetched(ctx: Context, df: DataFrame, contents: list[Constraint], defaults: t
     return out
 
 
-def price_lists(ctx: Context, c: Constraint) -> DataFrame:
+def _of(rows: DataFrame, keys: DataFrame | None, on: str = "pk") -> DataFrame:
+    """Rows of the page's entities, or all."""
+    return rows if keys is None else rows.join(F.broadcast(keys), F.col(on) == F.col("__page"), "left_semi")
+
+
+def price_lists(ctx: Context, c: Constraint, keys: DataFrame | None = None) -> DataFrame:
     """(pk, prices): all prices, or those of the query's terms and the lists that are named besides."""
     mode, *more = [*c.values] or ["RESPECTING_FILTER"]
-    p = ctx.collection.prices
+    p = _of(ctx.collection.prices, keys)
     if mode == "NONE":
         p = p.where("false")
     elif mode == "RESPECTING_FILTER":
@@ -84,19 +94,21 @@ def price_lists(ctx: Context, c: Constraint) -> DataFrame:
     return p.groupBy("pk").agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("prices"))
 
 
-def accompanying(ctx: Context, c: Constraint, defaults: tuple[str, ...]) -> DataFrame:
+def accompanying(ctx: Context, c: Constraint, defaults: tuple[str, ...], page: DataFrame | None = None) -> DataFrame:
     """(pk, <name>): the price for sale under another order of price lists."""
     name, *lists = [*c.values] or ["default"]
     lists = tuple(lists) or defaults
     if not lists:
         raise QueryError("accompanyingPriceContent has no price lists, and there are no default ones")
-    return prices.for_sale(ctx, lists=lists).select("pk", F.col("amount").alias(f"price_{name}"))
+    return prices.for_sale(ctx, lists=lists, entities=page if page is None else F.broadcast(page.select("pk", "inner_record_handling"))).select("pk", F.col("amount").alias(f"price_{name}"))
 
 
-def reference_lists(ctx: Context, name: str, c: Constraint) -> DataFrame:
+def reference_lists(ctx: Context, name: str, c: Constraint, keys: DataFrame | None = None) -> DataFrame:
     """(pk, <reference>): an array of the references, filtered, ordered and cut to a page for each entity."""
     reference = ctx.collection.reference(name)
-    refs = filters.references(ctx, name, c.child("filterBy").children) if c.child("filterBy") else reference.frame
+    refs = _of(reference.frame, keys)
+    if c.child("filterBy"):
+        refs = filters.ReferenceRow(ctx, reference).apply(refs, c.child("filterBy").children)
     if "EXISTING" in c.values:  # only references to entities that there are
         refs = refs.join(ctx.on(reference.target).rows().select(F.col("pk").alias("__there")), F.col("ref_pk") == F.col("__there"), "left_semi")
     order: list[Column] = []
@@ -124,30 +136,33 @@ def reference_lists(ctx: Context, name: str, c: Constraint) -> DataFrame:
     for fetch, target, on, label in ((c.child("entityFetch"), reference.target, "ref_pk", "entity"), (c.child("entityGroupFetch"), reference.group, "group_pk", "group")):
         if fetch:
             inner = ctx.on(target)
-            body = fetched(inner, inner.collection.frame, list(fetch.children))
+            bodies = inner.collection.frame
+            if keys is not None:  # only of what the page refers to
+                bodies = bodies.join(F.broadcast(refs.select(F.col(on).alias("__page")).distinct()), F.col("pk") == F.col("__page"), "left_semi")
+            body = fetched(inner, bodies, list(fetch.children), page=keys is not None)
             refs = refs.join(body.select(F.col("pk").alias("__b"), F.struct("*").alias(label)), F.col(on) == F.col("__b"), "left").drop("__b")
             fields.append(label)
     return refs.groupBy("pk").agg(F.transform(F.array_sort(F.collect_list(F.struct(*fields))), lambda x: x.dropFields("__n")).alias(name))
 
 
-def parent_chain(ctx: Context, c: Constraint) -> DataFrame:
-    """(pk, parents): primary keys from the entity's parent up to the root, as far as stopAt allows, with bodies if asked for."""
-    tree = hierarchy.nodes(ctx)
-    up = hierarchy.closure(tree).where("distance > 0").withColumn("up_level", F.col("level") - F.col("distance"))
+def parent_chain(ctx: Context, c: Constraint, df: DataFrame) -> DataFrame:
+    """(pk, parents): primary keys from each entity's parent up to the root, as far as stopAt allows, with bodies if asked for."""
+    up = hierarchy.ascend(hierarchy.nodes(ctx), df.select(F.col("pk").alias("node")))
     stop = c.child("stopAt")
     if stop:
         s = stop.children[0]
         if s.name == "distance":
             up = up.where(F.col("distance") <= s.values[0])
         elif s.name == "level":
-            up = up.where(F.col("up_level") >= s.values[0])
+            up = up.where(F.col("level") - F.col("distance") >= s.values[0])
         else:
             hits = filters.entities(ctx, s.child("filterBy").children).select(F.col("pk").alias("ancestor"), F.lit(True).alias("hit"))
             nearest = up.join(hits, "ancestor").groupBy("node").agg(F.min("distance").alias("upto"))
             up = up.join(nearest, "node", "left").where("upto is null or distance <= upto")
     fields = ["distance", "ancestor"]
     if c.child("entityFetch"):
-        body = fetched(ctx, ctx.collection.frame, list(c.child("entityFetch").children))
+        bodies = ctx.collection.frame.join(up.select(F.col("ancestor").alias("__page")).distinct(), F.col("pk") == F.col("__page"), "left_semi")
+        body = fetched(ctx, bodies, list(c.child("entityFetch").children))
         up = up.join(body.select(F.col("pk").alias("ancestor"), F.struct("*").alias("entity")), "ancestor", "left")
         fields.append("entity")
     parents = F.array_sort(F.collect_list(F.struct(*fields)))

@@ -4,6 +4,10 @@ A constraint about the row itself is a two-valued column. One that looks into
 references, trees or prices is a table of the keys that satisfy it; at the top
 of the conjunction it becomes a left semi-join, under `not` a left anti-join, and
 elsewhere (in `or`) a marker column from a left join on distinct keys.
+
+The price constraints of a conjunction are one: that there is a price for sale
+within the bounds. Without bounds any price that the terms allow will do, and
+nothing is aggregated.
 """
 
 from __future__ import annotations
@@ -20,7 +24,8 @@ from shelfwise.operators.context import Context, localized
 
 _ATTRIBUTES = frozenset(n for n in ("attributeEquals attributeGreaterThan attributeGreaterThanEquals attributeLessThan attributeLessThanEquals attributeBetween attributeInSet attributeContains attributeStartsWith attributeEndsWith attributeIs attributeInRange").split())
 _KEYS = frozenset("entityPrimaryKeyInSet entityPrimaryKeyGreaterThan entityPrimaryKeyGreaterThanEquals entityPrimaryKeyLessThan entityPrimaryKeyLessThanEquals entityPrimaryKeyBetween".split())
-_PRICES = frozenset("priceInCurrency priceInPriceLists priceValidIn priceBetween".split())
+PRICE_TERMS = frozenset("priceInCurrency priceInPriceLists priceValidIn".split())
+_PRICES = PRICE_TERMS | {"priceBetween"}
 _TREES = frozenset("hierarchyWithin hierarchyWithinSelf hierarchyWithinRoot hierarchyWithinRootSelf".split())
 _SPECS = frozenset("directRelation having anyHaving excluding excludingRoot".split())
 _ALL_OF = frozenset("filterBy filterGroupBy and userFilter entityHaving groupHaving".split())
@@ -39,8 +44,8 @@ class _Row:
 
     pk = "pk"
 
-    def column(self, c: Constraint) -> Column | None:
-        """The constraint as a column of the row, or None if it looks beyond it."""
+    def column(self, c: Constraint, sure: bool = False) -> Column | None:
+        """The constraint as a column of the row (two-valued if it must be `sure`), or None if it looks beyond it."""
         raise NotImplementedError
 
     def keys(self, c: Constraint) -> tuple[DataFrame, str]:
@@ -67,12 +72,12 @@ class _Row:
                 df = df.where(p)
         return df.select(*columns)
 
-    def plain(self, c: Constraint) -> Column | None:
+    def plain(self, c: Constraint, sure: bool = False) -> Column | None:
         """A whole boolean tree as one column, if all of it is about the row."""
         if c.name in ("and", "or", "not", "userFilter", "inScope"):
-            parts = [self.plain(x) for x in c.children]
+            parts = [self.plain(x, sure or c.name == "not") for x in c.children]
             return None if any(p is None for p in parts) else self.combined(c, parts)
-        return self.column(c)
+        return self.column(c, sure)
 
     def combined(self, c: Constraint, parts: list[Column]) -> Column:
         if c.name == "not":
@@ -82,15 +87,15 @@ class _Row:
         every = reduce(lambda a, b: a & b, parts) if parts else F.lit(True)
         return (F.col("scope") != F.lit(c.values[0])) | every if c.name == "inScope" else every
 
-    def marked(self, df: DataFrame, c: Constraint) -> tuple[DataFrame, Column]:
+    def marked(self, df: DataFrame, c: Constraint, sure: bool = False) -> tuple[DataFrame, Column]:
         """`df` with marker columns, and the constraint as a column over them."""
-        p = self.plain(c)
+        p = self.plain(c, sure)
         if p is not None:
             return df, p
         if c.name in ("and", "or", "not", "userFilter", "inScope"):
             parts = []
             for x in c.children:
-                df, p = self.marked(df, x)
+                df, p = self.marked(df, x, sure or c.name == "not")
                 parts.append(p)
             return df, self.combined(c, parts)
         keys, on = self.keys(c)
@@ -103,11 +108,29 @@ class EntityRow(_Row):
     def __init__(self, ctx: Context):
         self.ctx = ctx
 
-    def column(self, c: Constraint) -> Column | None:
+    def apply(self, df: DataFrame, cs, amount: bool = False) -> DataFrame:
+        """As of any row; with `amount` also `__amount`, the price for sale, if the constraints are about prices."""
+        cs = flat(cs)
+        about = [c for c in cs if c.name in _PRICES]
+        own = [c for c in cs if c.name not in _PRICES and self.plain(c) is not None]
+        beyond = [c for c in cs if c.name not in _PRICES and c not in own]
+        df = super().apply(df, own)
+        if about:
+            # Only the prices of entities that the row's own constraints leave are aggregated.
+            between = next((c for c in about if c.name == "priceBetween"), None)
+            if amount:
+                sale = prices.sold(self.ctx, between, df).select(F.col("pk").alias("__key"), F.col("amount").alias("__amount"))
+                df = df.join(sale, F.col("pk") == F.col("__key")).drop("__key")
+            else:
+                keys = prices.test(self.ctx, between or about[0], df).withColumnRenamed("pk", "__key")
+                df = df.join(keys, F.col("pk") == F.col("__key"), "left_semi")
+        return super().apply(df, beyond)
+
+    def column(self, c: Constraint, sure: bool = False) -> Column | None:
         ctx = self.ctx
         if c.name in _ATTRIBUTES:
             name = c.values[0]
-            return attributes.attribute_test(c, ctx.collection.attribute(name), ctx.column(name), ctx.moment)
+            return attributes.attribute_test(c, ctx.collection.attribute(name), ctx.column(name), ctx.moment, sure)
         if c.name in _KEYS:
             return attributes.key_test(c, F.col("pk"))
         if c.name == "entityLocaleEquals":
@@ -125,7 +148,7 @@ class EntityRow(_Row):
         if c.name == "facetHaving":
             from shelfwise.operators import facets
 
-            return facets.selected(ctx, c, facets.Rules.of(None)), "pk"
+            return facets.selected(ctx, c, ctx.rules or facets.Rules()), "pk"
         if c.name == "histogramHaving":
             return self.keys(rewritten_histogram(ctx, c))
         if c.name in _TREES:
@@ -139,13 +162,13 @@ class ReferenceRow(_Row):
     def __init__(self, ctx: Context, reference: Reference):
         self.ctx, self.reference = ctx, reference
 
-    def column(self, c: Constraint) -> Column | None:
+    def column(self, c: Constraint, sure: bool = False) -> Column | None:
         if c.name in _ATTRIBUTES:
             name = c.values[0]
             if name not in self.reference.attributes:
                 raise QueryError(f"the reference has no attribute {name}")
             attribute = self.reference.attributes[name]
-            return attributes.attribute_test(c, attribute, localized(attribute, name, self.ctx.locale), self.ctx.moment)
+            return attributes.attribute_test(c, attribute, localized(attribute, name, self.ctx.locale), self.ctx.moment, sure)
         if c.name in _KEYS:
             return attributes.key_test(c, F.col("ref_pk"))
         return None
@@ -160,9 +183,19 @@ class ReferenceRow(_Row):
         raise QueryError(f"{c.name} can't be used inside referenceHaving")
 
 
-def entities(ctx: Context, cs) -> DataFrame:
+def entities(ctx: Context, cs, amount: bool = False) -> DataFrame:
     """The entities of the context's collection that satisfy all of the constraints, every column."""
-    return EntityRow(ctx).apply(ctx.rows(), cs)
+    return EntityRow(ctx).apply(ctx.rows(), cs, amount)
+
+
+def entities_by_marks(ctx: Context, cs) -> DataFrame:
+    """The same by another plan: a marker column for whatever looks beyond the row, and one predicate over them."""
+    df, row = ctx.rows(), EntityRow(ctx)
+    columns = df.columns
+    for c in flat(cs):
+        df, p = row.marked(df, c, True)
+        df = df.where(p).select(*columns)
+    return df
 
 
 def references(ctx: Context, name: str, cs) -> DataFrame:
@@ -177,8 +210,15 @@ def referencing(ctx: Context, name: str, cs) -> DataFrame:
 
 
 def rewritten_histogram(ctx: Context, c: Constraint) -> Constraint:
-    """histogramHaving(reference, attribute, from, to, groupHaving?) as the references that it stands for."""
-    name, attribute, *bounds = c.values
+    """histogramHaving(reference, attribute?, from, to, groupHaving?) as the references that it stands for; the attribute may be left out where the reference has one number only."""
+    name, *bounds = c.values
+    if bounds and isinstance(bounds[0], str):
+        attribute = bounds.pop(0)
+    else:
+        numbers = [k for k, a in ctx.collection.reference(name).attributes.items() if a.type in ("int", "decimal") and not a.range]
+        if len(numbers) != 1:
+            raise QueryError(f"reference {name} has {len(numbers)} numbers; histogramHaving must name one")
+        attribute = numbers[0]
     low, high = [*bounds, None, None][:2]
     inner = [] if low is None and high is None else [build("attributeBetween", attribute, low, high)]
     reference = ctx.collection.reference(name)

@@ -1,9 +1,10 @@
 """Trees: nodes reached from the top, closures, and hierarchy predicates.
 
-A tree is expanded level by level from its start nodes; each step is one join on
-the parent, so the cost is that of the nodes reached, and a path of the primary
-keys from the start travels with each node. Nodes whose parent is missing (or
-lies on a cycle) are never reached.
+A tree is expanded level by level from its start nodes, however deep; each step is
+one join on the parent, whose result is checkpointed, so the cost is that of the
+nodes reached, and a path of the primary keys from the start travels with each
+node. Nodes whose parent is missing (or lies on a cycle) are never reached. What
+lies above a few nodes is found the other way round, from them to the roots.
 """
 
 from __future__ import annotations
@@ -15,9 +16,7 @@ from pyspark.sql import functions as F
 
 from shelfwise.constraints import Constraint, QueryError
 from shelfwise.operators.context import Context
-
-#: Levels after which a tree is taken to be damaged.
-DEEPEST = 1000
+from shelfwise.scratch import checkpointed
 
 
 def nodes(ctx: Context) -> DataFrame:
@@ -49,9 +48,8 @@ def expand(tree: DataFrame, start: DataFrame, allowed: DataFrame | None = None,
         from_ = now if stop is None else now.join(stop.select(F.col("node")), "node", "left_anti")
         up = from_.select("root", F.col("node").alias("parent"), "path")
         now = edges.join(up, "parent").where(~F.array_contains("path", F.col("node"))).select("root", "node", F.lit(level + 1).alias("distance"), F.concat("path", F.array("node")).alias("path"))
+        now = checkpointed(now)
         level += 1
-        if level > DEEPEST:
-            raise QueryError("the tree is deeper than any tree should be")
         if now.isEmpty():
             break
         found = found.unionByName(now)
@@ -68,6 +66,27 @@ def closure(tree: DataFrame) -> DataFrame:
     return paths.select(F.posexplode("path").alias("i", "ancestor"), "node", "path").select("ancestor", "node", (F.size("path") - 1 - F.col("i")).alias("distance"), F.size("path").alias("level"), "path")
 
 
+def ascend(tree: DataFrame, start: DataFrame) -> DataFrame:
+    """(node, ancestor, distance, level): what lies above each start node (node) that a root can be reached from, the node's own level with it."""
+    edges = tree.select(F.col("node").alias("__n"), F.col("parent").alias("__p"))
+    first = start.select("node").distinct().join(edges, F.col("node") == F.col("__n"))
+    now = checkpointed(first.select("node", F.col("__p").alias("ancestor"), F.array("node").alias("path")))
+    found, distance = None, 0
+    tops = now.where("ancestor is null").select("node", F.lit(1).alias("level"))
+    now = now.where("ancestor is not null")
+    while not now.isEmpty():
+        distance += 1
+        here = now.select("node", "ancestor", F.lit(distance).alias("distance"))
+        found = here if found is None else found.unionByName(here)
+        up = now.join(edges, F.col("ancestor") == F.col("__n")).select("node", F.col("__p").alias("ancestor"), F.concat("path", F.array(F.col("ancestor"))).alias("path"))
+        up = checkpointed(up.where("ancestor is null or not array_contains(path, ancestor)"))
+        tops = tops.unionByName(up.where("ancestor is null").select("node", F.lit(distance + 1).alias("level")))
+        now = up.where("ancestor is not null")
+    if found is None:
+        found = start.select("node", F.lit(0).alias("ancestor"), F.lit(0).alias("distance")).where("false")
+    return found.join(tops, "node")
+
+
 def node_set(ctx: Context, spec: list[Constraint], start: DataFrame | None, matching: Callable[[Context, tuple[Constraint, ...]], DataFrame]) -> DataFrame:
     """(node, distance) in the subtrees of `start` (the roots if None) as the specification allows.
 
@@ -89,7 +108,11 @@ def node_set(ctx: Context, spec: list[Constraint], start: DataFrame | None, matc
     out = expand(tree, roots(tree) if start is None else start, allowed).groupBy("node").agg(F.min("distance").alias("distance"))
     if "anyHaving" in by:
         hits = matching(ctx, by["anyHaving"].children).select(F.col("pk").alias("node"))
-        keep = closure(tree).join(hits, "node", "left_semi").select(F.col("ancestor").alias("node")).distinct()
+        # Upwards from the matches, so that nothing else of the tree is opened.
+        hits = hits.join(tree.select("node"), "node", "left_semi")
+        above = ascend(tree, hits)
+        reached = above.select("node").unionByName(hits.join(tree.where("parent is null"), "node", "left_semi"))
+        keep = above.select(F.col("ancestor").alias("node")).unionByName(reached).distinct()
         out = out.join(keep, "node", "left_semi")
     if "excludingRoot" in by and start is not None:
         out = out.where("distance > 0")

@@ -66,7 +66,7 @@ def histogram(values: DataFrame, n: int, behaviour: str = "STANDARD", keys: tupl
 
 def _fewer(v: DataFrame, ends: DataFrame, n: int, keys: tuple[str, ...]) -> DataFrame:
     """`ends` with the largest number of buckets, n at most, of which a fifth at most, or one, is empty."""
-    tries = v.join(ends, list(keys)).withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(n))))
+    tries = v.select(*keys, "value").distinct().join(ends, list(keys)).withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(n))))
     place = F.least(F.floor((F.col("value") - F.col("least")) * F.col("n") / F.when(F.col("greatest") > F.col("least"), F.col("greatest") - F.col("least")).otherwise(1)), F.col("n") - 1)
     full = tries.groupBy(*keys, "n").agg(F.count_distinct(place).alias("full"))
     fits = full.where((F.col("n") - F.col("full") <= F.greatest(F.lit(1), F.floor(F.col("n") / 5))) & ((F.col("n") < 3) | (F.col("full") > 1)))

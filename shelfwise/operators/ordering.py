@@ -92,7 +92,9 @@ class Orderer:
             position = _set_position(F.col("pk"), v if c.name == "entityPrimaryKeyExact" else self._filter_values("entityPrimaryKeyInSet"))
             return [(position, False, False)], position.isNotNull()
         if c.name == "priceNatural":
-            # The price that the query's own amount filter leaves.
+            # The price that the query's own amount filter leaves; the filter may have brought it along.
+            if "__amount" in self.df.columns:
+                return [(F.col("__amount"), _directed(c, 0), False)], F.col("__amount").isNotNull()
             bounds = next((x.values[:2] for x in (self.filter_by.walk() if self.filter_by else ()) if x.name == "priceBetween"), (None, None))
             amount = self._joined(prices.for_sale(ctx, *bounds), "amount")
             return [(amount, _directed(c, 0), False)], amount.isNotNull()

@@ -26,8 +26,8 @@ def _prices(ctx: Context) -> DataFrame:
     return ctx.collection.prices
 
 
-def _picked(ctx: Context, lists: tuple[str, ...] | None) -> DataFrame:
-    """(pk, inner, handling, amount, price): per inner record the price of the first list that has one."""
+def candidates(ctx: Context, lists: tuple[str, ...] | None) -> DataFrame:
+    """Indexed prices that the terms allow, of these lists (None: of any)."""
     t = ctx.prices
     p = _prices(ctx).where("indexed")
     if t.currency is not None:
@@ -37,31 +37,40 @@ def _picked(ctx: Context, lists: tuple[str, ...] | None) -> DataFrame:
         p = p.where((F.col("valid_from").isNull() | (F.col("valid_from") <= at)) & (F.col("valid_to").isNull() | (F.col("valid_to") >= at)))
     if lists is not None:
         p = p.where(F.col("price_list").isin(*lists)) if lists else p.where("false")
-        rank: Column = F.array_position(F.array(*(F.lit(x) for x in lists)), F.col("price_list")) if lists else F.lit(0)
-    else:
-        rank = F.lit(0)
-    handling = ctx.rows().select("pk", "inner_record_handling")
-    p = p.join(handling, "pk").withColumn("inner", F.when(F.col("inner_record_handling") == NONE, F.lit(None)).otherwise(F.coalesce("inner_record_id", F.lit(0))))
+    return p
+
+
+def _rank(lists: tuple[str, ...] | None) -> Column:
+    return F.array_position(F.array(*(F.lit(x) for x in lists)), F.col("price_list")) if lists else F.lit(0)
+
+
+def _handled(ctx: Context, p: DataFrame, entities: DataFrame | None) -> DataFrame:
+    """Prices of these entities (None: of all in scope) with how their inner records are handled, and the inner record."""
+    handling = (ctx.rows() if entities is None else entities).select("pk", "inner_record_handling")
+    return p.join(handling, "pk").withColumn("inner", F.when(F.col("inner_record_handling") == NONE, F.lit(None)).otherwise(F.coalesce("inner_record_id", F.lit(0))))
+
+
+def _picked(ctx: Context, lists: tuple[str, ...] | None, entities: DataFrame | None = None) -> DataFrame:
+    """(pk, inner, handling, amount, price): per inner record the price of the first list that has one."""
+    p = _handled(ctx, candidates(ctx, lists), entities)
     price = F.struct("price_id", "price_list", "currency", "price_without_tax", "price_with_tax")
     # Of several prices of one list the one with the lowest identifier.
-    first = p.groupBy("pk", "inner_record_handling", "inner").agg(F.min_by(price, F.struct(rank, "price_id")).alias("price"))
-    return first.withColumn("amount", F.col(f"price.{t.amount}"))
+    first = p.groupBy("pk", "inner_record_handling", "inner").agg(F.min_by(price, F.struct(_rank(lists), "price_id")).alias("price"))
+    return first.withColumn("amount", F.col(f"price.{ctx.prices.amount}"))
 
 
 def _between(amount: Column, low: Any, high: Any) -> Column:
     return (amount >= F.lit(low) if low is not None else F.lit(True)) & (amount <= F.lit(high) if high is not None else F.lit(True))
 
 
-def for_sale(ctx: Context, low: Any = None, high: Any = None, lists: tuple[str, ...] | None = None, inner: DataFrame | None = None) -> DataFrame:
+def for_sale(ctx: Context, low: Any = None, high: Any = None, lists: tuple[str, ...] | None = None, entities: DataFrame | None = None) -> DataFrame:
     """(pk, amount, price, inner): the price for sale of every entity that has one within the bounds.
 
-    lists: other price lists than the query's; inner: (pk, inner) to which inner
-    records are restricted. `price` is the price itself, for SUM that of the
-    first inner record; `inner` the inner record that a LOWEST_PRICE comes from.
+    lists: other price lists than the query's; entities: those to look at, if not
+    all in scope. `price` is the price itself, for SUM that of the first inner
+    record; `inner` the inner record that a LOWEST_PRICE comes from.
     """
-    p = _picked(ctx, ctx.prices.lists if lists is None else lists)
-    if inner is not None:
-        p = p.join(inner.withColumnRenamed("inner", "__inner"), (p["pk"] == inner["pk"]) & F.col("inner").eqNullSafe(F.col("__inner")), "left_semi")
+    p = _picked(ctx, ctx.prices.lists if lists is None else lists, entities)
     if low is not None or high is not None:
         p = p.where((F.col("inner_record_handling") != LOWEST) | _between(F.col("amount"), low, high))
     cheapest = F.min_by(F.struct("amount", "price", "inner"), F.struct("amount", "inner"))
@@ -73,25 +82,40 @@ def for_sale(ctx: Context, low: Any = None, high: Any = None, lists: tuple[str,
     return out.select("pk", "amount", "price", "inner", "inner_record_handling")
 
 
-def test(ctx: Context, c: Constraint) -> DataFrame:
-    """(pk) of entities that satisfy a price constraint; all but the amount filter mean that there is a price for sale."""
+def sold(ctx: Context, between: Constraint | None, entities: DataFrame | None = None) -> DataFrame:
+    """The price for sale, within the bounds of a priceBetween if there is one."""
+    if between is None:
+        return for_sale(ctx, entities=entities)
+    if ctx.prices.lists is None or ctx.prices.currency is None:
+        raise QueryError("priceBetween needs priceInCurrency and priceInPriceLists")
+    return for_sale(ctx, *between.values[:2], entities=entities)
+
+
+def test(ctx: Context, c: Constraint, entities: DataFrame | None = None) -> DataFrame:
+    """(pk) of entities that satisfy a price constraint; all but the amount filter mean that there is a price for sale, so any candidate."""
     if c.name == "priceBetween":
-        if ctx.prices.lists is None or ctx.prices.currency is None:
-            raise QueryError("priceBetween needs priceInCurrency and priceInPriceLists")
-        return for_sale(ctx, *c.values[:2]).select("pk")
-    return for_sale(ctx).select("pk")
+        return sold(ctx, c, entities).select("pk")
+    return candidates(ctx, ctx.prices.lists).select("pk").distinct()
 
 
 def discount(ctx: Context, lists: tuple[str, ...]) -> DataFrame:
     """(pk, discount): the price under the other lists less the selling price, 0 at least.
 
     The inner records are those that the selling price was made of; entities
-    without a price under the other lists have no row.
+    without a price under the other lists have no row. Both prices are picked in
+    one pass over the prices of all lists.
     """
-    sale = for_sale(ctx)
-    used = sale.where(F.col("inner_record_handling") != SUM).select("pk", "inner")
-    sums = sale.where(F.col("inner_record_handling") == SUM).select("pk")
-    sold = _picked(ctx, ctx.prices.lists)
-    used = used.unionByName(sold.join(sums, "pk", "left_semi").select("pk", "inner"))
-    other = for_sale(ctx, lists=lists, inner=used).select("pk", F.col("amount").alias("reference"))
-    return sale.join(other, "pk").select("pk", F.greatest(F.col("reference") - F.col("amount"), F.lit(0)).alias("discount"))
+    own = ctx.prices.lists
+    p = _handled(ctx, candidates(ctx, None if own is None else tuple(dict.fromkeys((*own, *lists)))), None)
+    amount = F.col(ctx.prices.amount)
+
+    def first(of: tuple[str, ...] | None) -> Column:
+        place = F.struct(_rank(of), "price_id")
+        return F.min_by(amount, place if of is None else F.when(F.col("price_list").isin(*of), place))
+
+    p = p.groupBy("pk", "inner_record_handling", "inner").agg(first(own).alias("amount"), first(lists).alias("reference")).where("amount is not null")
+    least = F.min_by(F.struct("amount", "reference"), F.struct("amount", "inner"))
+    out = p.groupBy("pk", "inner_record_handling").agg(least.alias("least"), F.sum("amount").alias("total"), F.sum("reference").alias("references"))
+    is_sum = F.col("inner_record_handling") == SUM
+    less = F.when(is_sum, F.col("references") - F.col("total")).otherwise(F.col("least.reference") - F.col("least.amount"))
+    return out.select("pk", F.greatest(less, F.lit(0)).alias("discount"), less.isNotNull().alias("__has")).where("__has").drop("__has")

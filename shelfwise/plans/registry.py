@@ -24,7 +24,7 @@ NOW = datetime(2000, 6, 1, tzinfo=timezone.utc)
 
 PRELUDE = """
 WITH RECURSIVE product AS (
-  SELECT p_partkey::INTEGER AS pk, CASE WHEN p_size % 10 = 0 THEN 'ARCHIVED' ELSE 'LIVE' END AS scope,
+  SELECT p_partkey::BIGINT AS pk, CASE WHEN p_size % 10 = 0 THEN 'ARCHIVED' ELSE 'LIVE' END AS scope,
     p_partkey % 2 = 0 AS has_cs, CASE p_size % 3 WHEN 0 THEN 'NONE' WHEN 1 THEN 'LOWEST_PRICE' ELSE 'SUM' END AS handling,
     'P-' || p_partkey AS code, p_name, p_brand AS brand, p_type AS type, p_size::INTEGER AS size, p_retailprice::DECIMAL(12,2) AS list_price,
     string_split(p_name, ' ') AS tags, CASE WHEN p_size % 7 <> 0 THEN p_size % 2 = 0 END AS available,
@@ -32,12 +32,12 @@ WITH RECURSIVE product AS (
   FROM part
 ), live AS (SELECT * FROM product WHERE scope = 'LIVE'),
 price AS (
-  SELECT l_partkey::INTEGER AS pk, l_orderkey * 8 + l_linenumber AS price_id, l_returnflag AS price_list, l_linestatus AS currency, l_suppkey::INTEGER AS inner_id,
+  SELECT l_partkey::BIGINT AS pk, l_orderkey * 8 + l_linenumber AS price_id, l_returnflag AS price_list, l_linestatus AS currency, l_suppkey::BIGINT AS inner_id,
     l_extendedprice::DECIMAL(12,2) AS net, round(l_extendedprice::DECIMAL(12,2) * (1 + l_tax::DECIMAL(4,2)), 2)::DECIMAL(12,2) AS gross,
     l_shipdate AS valid_from, l_shipdate + INTERVAL 365 DAY AS valid_to, l_quantity >= 5 AS indexed
   FROM lineitem
 ), supply AS (
-  SELECT l_partkey::INTEGER AS pk, (l_suppkey + 1001)::INTEGER AS ref_pk, (s_nationkey + 101)::INTEGER AS group_pk,
+  SELECT l_partkey::BIGINT AS pk, (l_suppkey + 1001)::INTEGER AS ref_pk, (s_nationkey + 101)::INTEGER AS group_pk,
     sum(l_quantity::DECIMAL(12,2))::DECIMAL(14,2) AS quantity, count(*)::INTEGER AS lines
   FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2, 3
 ), geo AS (
@@ -50,7 +50,7 @@ price AS (
 ), closure AS (
   SELECT node, unnest(path) AS ancestor, len(path) - generate_subscripts(path, 1) AS distance, len(path) AS level FROM paths
 ), brand AS (SELECT DISTINCT regexp_extract(p_brand, '(\\d+)$', 1)::INTEGER AS pk, p_brand AS name FROM part),
-brand_ref AS (SELECT p_partkey::INTEGER AS pk, regexp_extract(p_brand, '(\\d+)$', 1)::INTEGER AS ref_pk FROM part)
+brand_ref AS (SELECT p_partkey::BIGINT AS pk, regexp_extract(p_brand, '(\\d+)$', 1)::INTEGER AS ref_pk FROM part)
 """
 
 
@@ -123,7 +123,7 @@ CASES: dict[str, Case] = {
     "logic_not_keeps_missing": _match("not(attributeEquals('available', true))", "coalesce(available, FALSE) = FALSE"),
     "logic_user_filter": _match("attributeEquals('type', 'SMALL'), userFilter(attributeBetween('size', 3, 17))", "type = 'SMALL' AND size BETWEEN 3 AND 17"),
     "scope_both_with_in_scope": _match("scope(LIVE, ARCHIVED), inScope(LIVE, attributeLessThan('size', 10)), inScope(ARCHIVED, attributeEquals('size', 50))", "(scope <> 'LIVE' OR size < 10) AND (scope <> 'ARCHIVED' OR size = 50)", "product"),
-    "scope_archived_orders": Case("query(collection('order'), filterBy(scope(ARCHIVED), attributeGreaterThan('total', 400000)))", "SELECT o_orderkey::INTEGER AS pk FROM orders WHERE o_orderstatus = 'F' AND o_totalprice::DECIMAL(14,2) > 400000"),
+    "scope_archived_orders": Case("query(collection('order'), filterBy(scope(ARCHIVED), attributeGreaterThan('total', 400000)))", "SELECT o_orderkey::BIGINT AS pk FROM orders WHERE o_orderstatus = 'F' AND o_totalprice::DECIMAL(14,2) > 400000"),
     # Attribute predicates
     "attribute_equals_converts": _match("attributeEquals('size', '7')", "size = 7"),
     "attribute_equals_not_convertible": _match("or(attributeEquals('size', 'x'), attributeEquals('size', 8))", "size = 8"),

@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """A checkpoint in spark.checkpoint.dir; only where the session names none, in a temporary folder of this machine."""
+    """A checkpoint in spark.checkpoint.dir; only where a session of one process names none, in a temporary folder of its machine."""
     sc = df.sparkSession.sparkContext
     if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and sc._jsc.sc().getCheckpointDir().isEmpty():
+        if not sc._jsc.sc().isLocal():
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="shelfwise-"))
     return df.checkpoint()

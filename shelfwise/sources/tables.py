@@ -3,7 +3,8 @@
 product: parts, with references to suppliers (grouped by nation) and to brands,
 and prices from order lines; geo: regions, nations and suppliers as one tree;
 brand; order: orders, those that are finished being archived, with a reference
-to customers; customer. Numbers are decimals, so that sums don't depend on order.
+to customers; customer. Numbers are decimals, so that sums don't depend on order;
+keys stay as the tables have them, so that comparisons with them reach the scan.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ def products(part: DataFrame) -> DataFrame:
     high = F.when(size % 4 != 0, size + 10)
     even = F.col("p_partkey") % 2 == 0
     return part.select(
-        F.col("p_partkey").cast("int").alias("pk"),
+        F.col("p_partkey").alias("pk"),
         F.when(size % 10 == 0, "ARCHIVED").otherwise("LIVE").alias("scope"),
         F.when(even, F.array(F.lit("en"), F.lit("cs"))).otherwise(F.array(F.lit("en"))).alias("locales"),
         F.when(size % 3 == 0, "NONE").when(size % 3 == 1, "LOWEST_PRICE").otherwise("SUM").alias("inner_record_handling"),
@@ -47,11 +48,11 @@ def products(part: DataFrame) -> DataFrame:
 def prices(lineitem: DataFrame) -> DataFrame:
     net = F.col("l_extendedprice").cast("decimal(12,2)")
     return lineitem.select(
-        F.col("l_partkey").cast("int").alias("pk"),
+        F.col("l_partkey").alias("pk"),
         (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("price_id"),
         F.col("l_returnflag").alias("price_list"),
         F.col("l_linestatus").alias("currency"),
-        F.col("l_suppkey").cast("int").alias("inner_record_id"),
+        F.col("l_suppkey").alias("inner_record_id"),
         net.alias("price_without_tax"),
         (net * (1 + F.col("l_tax").cast("decimal(4,2)"))).cast("decimal(12,2)").alias("price_with_tax"),
         F.col("l_shipdate").alias("valid_from"),
@@ -64,7 +65,7 @@ def supply(lineitem: DataFrame, supplier: DataFrame) -> DataFrame:
     """One edge for each part and supplier, grouped by the supplier's nation."""
     edges = lineitem.groupBy("l_partkey", "l_suppkey").agg(F.sum(F.col("l_quantity").cast("decimal(12,2)")).cast("decimal(14,2)").alias("quantity"), F.count(F.lit(1)).cast("int").alias("lines"))
     return edges.join(supplier.select("s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey")).select(
-        F.col("l_partkey").cast("int").alias("pk"), (F.col("l_suppkey") + SUPPLIER).cast("int").alias("ref_pk"), (F.col("s_nationkey") + NATION).cast("int").alias("group_pk"), "quantity", "lines"
+        F.col("l_partkey").alias("pk"), (F.col("l_suppkey") + SUPPLIER).cast("int").alias("ref_pk"), (F.col("s_nationkey") + NATION).cast("int").alias("group_pk"), "quantity", "lines"
     )
 
 
@@ -83,13 +84,13 @@ def _brand_key(column: str) -> F.col:
 
 def catalog(spark: SparkSession, sf_dir: str) -> Catalog:
     part, lineitem, supplier, nation, region, orders, customer = (_read(spark, sf_dir, t) for t in ("part", "lineitem", "supplier", "nation", "region", "orders", "customer"))
-    brand_edges = part.select(F.col("p_partkey").cast("int").alias("pk"), _brand_key("p_brand").alias("ref_pk"), F.lit(None).cast("int").alias("group_pk"))
+    brand_edges = part.select(F.col("p_partkey").alias("pk"), _brand_key("p_brand").alias("ref_pk"), F.lit(None).cast("int").alias("group_pk"))
     brands = part.select("p_brand").distinct().select(_brand_key("p_brand").alias("pk"), F.lit("LIVE").alias("scope"), F.col("p_brand").alias("name"), (_brand_key("p_brand") % 5).alias("priority"))
     order_rows = orders.select(
-        F.col("o_orderkey").cast("int").alias("pk"), F.when(F.col("o_orderstatus") == "F", "ARCHIVED").otherwise("LIVE").alias("scope"), F.col("o_orderstatus").alias("status"),
+        F.col("o_orderkey").alias("pk"), F.when(F.col("o_orderstatus") == "F", "ARCHIVED").otherwise("LIVE").alias("scope"), F.col("o_orderstatus").alias("status"),
         F.col("o_totalprice").cast("decimal(14,2)").alias("total"), F.col("o_orderdate").cast("date").alias("day"), F.col("o_orderpriority").alias("priority"),
     )
-    customers = customer.select(F.col("c_custkey").cast("int").alias("pk"), F.lit("LIVE").alias("scope"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment"), F.col("c_acctbal").cast("decimal(12,2)").alias("balance"))
+    customers = customer.select(F.col("c_custkey").alias("pk"), F.lit("LIVE").alias("scope"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment"), F.col("c_acctbal").cast("decimal(12,2)").alias("balance"))
     product = Collection(
         "product", products(part),
         {
@@ -106,6 +107,6 @@ def catalog(spark: SparkSession, sf_dir: str) -> Catalog:
     brand = Collection("brand", brands, {"name": Attribute(), "priority": Attribute("int")})
     order = Collection(
         "order", order_rows, {"status": Attribute(), "total": Attribute("decimal"), "day": Attribute("date"), "priority": Attribute()},
-        {"customer": Reference(orders.select(F.col("o_orderkey").cast("int").alias("pk"), F.col("o_custkey").cast("int").alias("ref_pk"), F.lit(None).cast("int").alias("group_pk")), "customer")},
+        {"customer": Reference(orders.select(F.col("o_orderkey").alias("pk"), F.col("o_custkey").alias("ref_pk"), F.lit(None).cast("int").alias("group_pk")), "customer")},
     )
     return Catalog({c.name: c for c in (product, tree, brand, order, Collection("customer", customers, {"name": Attribute(), "segment": Attribute(), "balance": Attribute("decimal")}))})
