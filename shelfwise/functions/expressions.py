@@ -24,6 +24,8 @@ _TOKEN = re.compile(r"""\s*(?:(?P<number>\d+(?:\.\d+)?)|(?P<string>'(?:[^'\\]|\\
 #: Binary operators by level, loosest first.
 _LEVELS = (("??", "*?", "?*?"), ("||",), ("^",), ("&&",), ("==", "!="), (">", ">=", "<", "<="), ("+", "-"), ("*", "/", "%"))
 DECIMAL64 = Context(prec=16, rounding=ROUND_HALF_UP)
+#: More digits than operands and results have.
+_WIDE = Context(prec=60)
 
 
 class Expression(tuple):
@@ -129,13 +131,13 @@ def _number(x: Any) -> Decimal:
 
 def _plain(x: Decimal) -> Decimal:
     """Without trailing zeros."""
-    y = x.normalize()
-    return y.quantize(Decimal(1)) if y.as_tuple().exponent > 0 else y
+    y = _WIDE.normalize(x)
+    return y.quantize(Decimal(1), context=_WIDE) if y.as_tuple().exponent > 0 else y
 
 
 def _divided(a: Decimal, b: Decimal) -> Decimal:
     """Scale 16, half up, trailing zeros dropped."""
-    return _plain(Context(prec=60).divide(a, b).quantize(Decimal(1).scaleb(-16), rounding=ROUND_HALF_UP, context=Context(prec=60)))
+    return _plain(_WIDE.divide(a, b).quantize(Decimal(1).scaleb(-16), rounding=ROUND_HALF_UP, context=_WIDE))
 
 
 def _like(left: Any, right: Any) -> Any:

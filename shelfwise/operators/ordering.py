@@ -106,7 +106,7 @@ class Orderer:
         if c.name == "random":
             # One permutation for a seed, so that pages are disjoint; without a seed, one for each query.
             seed = v[0] if v else int(ctx.now.timestamp() * 1e6)
-            return [(F.xxhash64(F.col("pk"), F.lit(seed)), False, False)], F.lit(True)
+            return [(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("pk"))), False, False)], F.lit(True)
         if c.name == "referenceProperty":
             key = self._joined(reference_keys(ctx, c), "key")
             down = any(_directed(x, 1) for x in c.children if x.name == "attributeNatural" and not c.child("traverseByEntityProperty"))

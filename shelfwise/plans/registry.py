@@ -150,16 +150,23 @@ CASES: dict[str, Case] = {
     "price_between": Case(f"query(collection('product'), filterBy({_PRICES}, priceBetween(30000, 60000)))", _sale(between=("30000", "60000")) + " SELECT pk FROM sale"),
     # References
     "reference_having": _match("referenceHaving('suppliers', attributeGreaterThan('quantity', 60), attributeBetween('lines', 2, 3))", "pk IN (SELECT pk FROM supply WHERE quantity > 60 AND lines BETWEEN 2 AND 3)"),
-    "reference_any": _match("not(referenceHaving('suppliers'))", "pk NOT IN (SELECT pk FROM supply)"),
+    "reference_any": Case("query(collection('geo'), filterBy(not(referenceHaving('products')), attributeEquals('kind', 'nation')))", "SELECT pk FROM geo WHERE kind = 'nation' AND pk NOT IN (SELECT ref_pk FROM supply)"),
+    "reference_reflected": Case("query(collection('geo'), filterBy(referenceHaving('products', attributeGreaterThan('quantity', 140), entityHaving(attributeLessThan('size', 30)))))", "SELECT pk FROM geo WHERE pk IN (SELECT ref_pk FROM supply JOIN live USING (pk) WHERE quantity > 140 AND size < 30)"),
+    "reference_none_of_an_attribute": _match("not(referenceHaving('suppliers', attributeGreaterThan('quantity', 100)))", "pk NOT IN (SELECT pk FROM supply WHERE quantity > 100)"),
     "reference_entity_having": _match("referenceHaving('suppliers', entityHaving(attributeLessThan('balance', 0)), attributeGreaterThan('quantity', 30))", "pk IN (SELECT s.pk FROM supply s JOIN geo g ON s.ref_pk = g.pk WHERE g.balance < 0 AND quantity > 30)"),
     "reference_group_having": _match("or(referenceHaving('suppliers', groupHaving(attributeEquals('name', 'NATION_3'))), attributeEquals('size', 1))", "size = 1 OR pk IN (SELECT s.pk FROM supply s JOIN geo g ON s.group_pk = g.pk WHERE g.name = 'NATION_3')"),
     "reference_nested_or": _match("referenceHaving('suppliers', or(entityHaving(attributeGreaterThan('balance', 9000)), attributeGreaterThan('lines', 3)))", "pk IN (SELECT s.pk FROM supply s JOIN geo g ON s.ref_pk = g.pk WHERE g.balance > 9000 OR lines > 3)"),
     "facet_having": _match("facetHaving('brand', entityPrimaryKeyInSet(3, 7))", "brand IN ('Brand#3', 'Brand#7')"),
-    "facet_having_between_groups": _match("facetHaving('suppliers', entityPrimaryKeyInSet(1001, 1002, 1003, 1004, 1005, 1006, 1007, 1008))", "pk IN (SELECT pk FROM supply WHERE ref_pk BETWEEN 1001 AND 1008 GROUP BY pk HAVING count(DISTINCT group_pk) = (SELECT count(DISTINCT group_pk) FROM supply WHERE ref_pk BETWEEN 1001 AND 1008))"),
+    "facet_having_between_groups": _match(
+        "facetHaving('suppliers', groupHaving(attributeInSet('name', 'NATION_8', 'NATION_12')), attributeLessThan('quantity', 30))",
+        """pk IN (SELECT s.pk FROM supply s JOIN (SELECT DISTINCT ref_pk FROM supply WHERE group_pk IN (109, 113) AND quantity < 30) p USING (ref_pk) GROUP BY s.pk
+          HAVING count(DISTINCT group_pk) = (SELECT count(DISTINCT group_pk) FROM supply WHERE group_pk IN (109, 113) AND quantity < 30))""",
+    ),
+    "facet_having_nothing": _match("or(facetHaving('suppliers', entityPrimaryKeyInSet(1)), attributeEquals('size', 5))", "size = 5"),
     "histogram_having": _match("userFilter(histogramHaving('suppliers', 'quantity', 40, 45))", "pk IN (SELECT pk FROM supply WHERE quantity BETWEEN 40 AND 45)"),
     # Hierarchies
     "hierarchy_within": _match("hierarchyWithin('suppliers', attributeEquals('name', 'ASIA'))", f"pk IN (SELECT pk FROM supply WHERE ref_pk IN ({_TREE_BELOW_ASIA}))"),
-    "hierarchy_within_direct": _match("hierarchyWithin('suppliers', attributeEquals('name', 'ASIA'), directRelation())", "pk IN (SELECT pk FROM supply WHERE ref_pk IN (SELECT pk FROM geo WHERE name = 'ASIA'))"),
+    "hierarchy_within_direct": _match("hierarchyWithin('suppliers', attributeInSet('name', 'ASIA', 'Supplier#000000003'), directRelation())", "pk IN (SELECT pk FROM supply WHERE ref_pk IN (SELECT pk FROM geo WHERE name IN ('ASIA', 'Supplier#000000003')))"),
     "hierarchy_within_root": _match("hierarchyWithinRoot('suppliers', excluding(attributeEquals('name', 'EUROPE')))", "pk IN (SELECT pk FROM supply WHERE ref_pk NOT IN (SELECT node FROM closure JOIN geo ON geo.pk = ancestor WHERE geo.name = 'EUROPE'))"),
     "hierarchy_self": Case("query(collection('geo'), filterBy(hierarchyWithinSelf(attributeEquals('name', 'ASIA'), excludingRoot())))", f"SELECT node AS pk FROM closure JOIN geo ON geo.pk = ancestor WHERE geo.name = 'ASIA' AND distance > 0"),
     "hierarchy_self_direct": Case("query(collection('geo'), filterBy(hierarchyWithinSelf(attributeEquals('name', 'ASIA'), directRelation())))", "SELECT pk FROM geo WHERE parent_pk = (SELECT pk FROM geo WHERE name = 'ASIA')"),
@@ -204,6 +211,13 @@ CASES: dict[str, Case] = {
         "referenceProperty('suppliers', traverseByEntityProperty(DEPTH_FIRST, entityPrimaryKeyNatural()), attributeNatural('quantity'))", "path NULLS LAST, quantity, pk",
         extra=", met AS (SELECT s.pk, path, quantity, row_number() OVER (PARTITION BY s.pk ORDER BY path, quantity) AS k FROM supply s JOIN paths ON node = s.ref_pk)", joins="LEFT JOIN (SELECT pk, path, quantity FROM met WHERE k = 1) USING (pk)",
     ),
+    "order_breadth_first": _ordered(
+        "referenceProperty('suppliers', traverseByEntityProperty(BREADTH_FIRST, attributeNatural('name', DESC)), attributeNatural('quantity'))", "met NULLS LAST, quantity, pk",
+        extra=""", sib AS (SELECT pk, parent_pk, row_number() OVER (PARTITION BY parent_pk ORDER BY name DESC, pk) AS place FROM geo),
+        ranks AS (SELECT node, list(place ORDER BY c.level - c.distance) AS met FROM closure c JOIN sib ON sib.pk = ancestor GROUP BY node),
+        first AS (SELECT s.pk, met, quantity, row_number() OVER (PARTITION BY s.pk ORDER BY len(met), met, quantity) AS k FROM supply s JOIN ranks ON node = s.ref_pk)""",
+        joins="LEFT JOIN (SELECT pk, met, quantity FROM first WHERE k = 1) USING (pk)",
+    ),
     "order_segments": Case(
         "query(collection('product'), orderBy(segments(segment(entityHaving(attributeEquals('type', 'PROMO')), orderBy(attributeNatural('list_price', DESC)), limit(3)), segment(orderBy(attributeNatural('size')), limit(4)))), require(strip(0, 12)))",
         """, one AS (SELECT pk, 1 AS s, row_number() OVER (ORDER BY list_price DESC, pk) AS k FROM live WHERE type = 'PROMO' QUALIFY k <= 3),
@@ -217,7 +231,10 @@ CASES: dict[str, Case] = {
         "SELECT n AS position, pk FROM (SELECT pk, row_number() OVER (ORDER BY CASE WHEN scope = 'ARCHIVED' THEN list_price END DESC NULLS LAST, pk) AS n FROM product) WHERE n > 5 AND n <= 25",
         _page(),
     ),
-    "order_random_seeded": Case("query(collection('product'), orderBy(randomWithSeed(42)), require(page(2, 20)))", None, _page()),
+    "order_random_seeded": Case(
+        "query(collection('product'), orderBy(randomWithSeed(42)), require(page(2, 20)))",
+        "SELECT n AS position, pk FROM (SELECT pk, row_number() OVER (ORDER BY md5('42:' || pk), pk) AS n FROM live) WHERE n > 20 AND n <= 40", _page(),
+    ),
     "page_beyond_the_end": _ordered("attributeNatural('brand')", "brand, pk", page="page(100000, 15)", window="n <= 15"),
     "page_spacing": _ordered("attributeNatural('brand')", "brand, pk", page="page(3, 10, spacing(gap(2, '$pageNumber % 2 == 1'), gap(1, '$pageNumber == 2')))", window="n > 17 AND n <= 25"),
     "strip": _ordered("attributeNatural('brand', DESC)", "brand DESC, pk", page="strip(7, 9)", window="n > 7 AND n <= 16"),
@@ -245,6 +262,59 @@ CASES: dict[str, Case] = {
         """SELECT row_number() OVER (ORDER BY pk) AS position, pk, name, p.path[2]::INTEGER AS parent, p.path[1]::INTEGER AS top FROM geo JOIN paths p ON p.node = pk WHERE kind = 'supplier' ORDER BY 1 LIMIT 50""",
         lambda q: q.run().page.select(F.col("__position").cast("long").alias("position"), "pk", "name", F.col("parents")[0].alias("parent"), F.col("parents")[1].alias("top")),
     ),
+    "fetch_parents_as_far": Case(
+        "query(collection('geo'), filterBy(attributeEquals('kind', 'supplier')), require(page(1, 50), entityFetch(hierarchyContent(stopAt(distance(1)), entityFetch(attributeContent('name'))))))",
+        "SELECT row_number() OVER (ORDER BY g.pk) AS position, g.pk, p.name AS parent, 1 AS n FROM geo g JOIN geo p ON p.pk = g.parent_pk WHERE g.kind = 'supplier' ORDER BY 1 LIMIT 50",
+        lambda q: q.run().page.select(F.col("__position").cast("long").alias("position"), "pk", F.col("parents")[0]["name"].alias("parent"), F.size("parents").cast("int").alias("n")),
+    ),
+    "fetch_parents_to_a_level": Case(
+        "query(collection('geo'), filterBy(attributeInSet('kind', 'supplier', 'nation')), orderBy(entityPrimaryKeyNatural(DESC)), require(page(1, 40), entityFetch(hierarchyContent(stopAt(level(2))))))",
+        "SELECT row_number() OVER (ORDER BY pk DESC) AS position, pk, CASE WHEN kind = 'supplier' THEN parent_pk END AS parent FROM geo WHERE kind IN ('supplier', 'nation') ORDER BY 1 LIMIT 40",
+        lambda q: q.run().page.select(F.col("__position").cast("long").alias("position"), "pk", F.get("parents", 0).alias("parent")),
+    ),
+    "fetch_references_by_entity": Case(
+        "query(collection('product'), filterBy(attributeEquals('size', 4)), require(page(1, 20), entityFetch(referenceContent('suppliers', orderBy(entityProperty(attributeNatural('balance', DESC))), strip(0, 2), entityFetch(attributeContent('name')), entityGroupFetch(attributeContent('name'))))))",
+        """, top AS (SELECT pk, row_number() OVER (ORDER BY pk) AS position FROM live WHERE size = 4 QUALIFY position <= 20),
+        r AS (SELECT s.pk, ref_pk, g.name, n.name AS group_name, row_number() OVER (PARTITION BY s.pk ORDER BY g.balance DESC, ref_pk) AS n FROM supply s JOIN geo g ON g.pk = ref_pk JOIN geo n ON n.pk = group_pk)
+        SELECT position, pk, ref_pk, name, group_name FROM top JOIN r USING (pk) WHERE r.n <= 2""",
+        lambda q: q.run().page.select(F.col("__position").cast("long").alias("position"), "pk", F.explode("suppliers").alias("r")).select("position", "pk", "r.ref_pk", "r.entity.name", F.col("r.group.name").alias("group_name")),
+    ),
+    "fetch_references_by_group": Case(
+        "query(collection('product'), filterBy(attributeEquals('size', 4)), require(page(1, 20), entityFetch(referenceContent('suppliers', orderBy(entityGroupProperty(attributeNatural('name', DESC))), page(1, 3)))))",
+        """, top AS (SELECT pk, row_number() OVER (ORDER BY pk) AS position FROM live WHERE size = 4 QUALIFY position <= 20),
+        r AS (SELECT s.pk, ref_pk, row_number() OVER (PARTITION BY s.pk ORDER BY n.name DESC, n.pk IS NULL, ref_pk) AS n FROM supply s JOIN geo n ON n.pk = group_pk)
+        SELECT position, pk, ref_pk FROM top JOIN r USING (pk) WHERE r.n <= 3""",
+        lambda q: q.run().page.select(F.col("__position").cast("long").alias("position"), "pk", F.explode("suppliers.ref_pk").alias("ref_pk")),
+    ),
+    "fetch_all": Case(
+        "query(collection('product'), filterBy(attributeEquals('size', 6)), require(page(1, 10), entityFetch(attributeContent('code', 'name'), associatedDataContentAll(), priceContentAll(), referenceContentAllWithAttributes(), dataInLocalesAll())))",
+        """SELECT row_number() OVER (ORDER BY pk) AS position, pk, code, p_name AS name, '{"brand":"' || brand || '"}' AS note, (SELECT count(*) FROM price p WHERE p.pk = live.pk) AS n_prices,
+        (SELECT count(*) FROM supply s WHERE s.pk = live.pk) AS n_suppliers, (SELECT sum(quantity) FROM supply s WHERE s.pk = live.pk)::DOUBLE AS quantity FROM live WHERE size = 6 ORDER BY 1 LIMIT 10""",
+        lambda q: q.run().page.select(F.col("__position").cast("long").alias("position"), "pk", "code", F.col("name")["en"].alias("name"), "note", F.size("prices").cast("long").alias("n_prices"), F.size("suppliers").cast("long").alias("n_suppliers"), F.aggregate("suppliers", F.lit(0.0), lambda a, x: a + x["quantity"].cast("double")).alias("quantity")),
+    ),
+    "fetch_locale": Case(
+        "query(collection('product'), filterBy(entityLocaleEquals('cs'), attributeEquals('size', 3)), require(page(1, 10), entityFetch(attributeContent('name'), dataInLocales('en'))))",
+        "SELECT row_number() OVER (ORDER BY pk) AS position, pk, p_name AS name, 1 AS locales FROM live WHERE has_cs AND size = 3 ORDER BY 1 LIMIT 10",
+        lambda q: q.run().page.select(F.col("__position").cast("long").alias("position"), "pk", F.col("name")["en"].alias("name"), F.size("name").alias("locales")),
+    ),
+    "fetch_default_price": Case(
+        f"query(collection('product'), filterBy({_PRICES}, attributeEquals('size', 6)), require(page(1, 10), entityFetch(accompanyingPriceContentDefault()), defaultAccompanyingPriceLists('N')))",
+        _sale() + _sale("['N']", name="ref") + """, top AS (SELECT pk, row_number() OVER (ORDER BY pk) AS position FROM sale JOIN live USING (pk) WHERE size = 6 QUALIFY position <= 10)
+        SELECT position, pk, ref.amount AS price_default FROM top LEFT JOIN ref USING (pk)""",
+        _page("price_default"),
+    ),
+    "fetch_of_a_scope": Case(
+        "query(collection('product'), filterBy(scope(LIVE, ARCHIVED), attributeBetween('size', 29, 31)), require(page(1, 30), entityFetch(attributeContent('code')), inScope(ARCHIVED, entityFetch(attributeContent('brand')))))",
+        "SELECT row_number() OVER (ORDER BY pk) AS position, pk, code, CASE WHEN scope = 'ARCHIVED' THEN brand END AS brand FROM product WHERE size BETWEEN 29 AND 31 ORDER BY 1 LIMIT 30",
+        _page("code", "brand"),
+    ),
+    "collection_in_the_head": Case("query(head(collection('product'), label('from', 'test')), filterBy(attributeEquals('size', 5)))", "SELECT pk FROM live WHERE size = 5"),
+    "collection_by_unique_attribute": Case("query(filterBy(attributeInSet('code', 'P-7', 'P-12', 'none')))", "SELECT pk FROM live WHERE code IN ('P-7', 'P-12')"),
+    "debug_verified": Case(
+        f"query(collection('product'), filterBy({_PRICES}, or(referenceHaving('suppliers', attributeGreaterThan('quantity', 90)), attributeLessThan('size', 9)), not(attributeEquals('available', true))), require(page(1, 25), debug(VERIFY_ALTERNATIVE_INDEX_RESULTS)))",
+        _sale() + " SELECT n AS position, pk FROM (SELECT pk, row_number() OVER (ORDER BY pk) AS n FROM live WHERE pk IN (SELECT pk FROM sale) AND (size < 9 OR pk IN (SELECT pk FROM supply WHERE quantity > 90)) AND coalesce(available, FALSE) = FALSE) WHERE n <= 25",
+        _page(),
+    ),
     # Extra results
     "histogram_attribute": Case(
         "query(collection('product'), filterBy(attributeEquals('type', 'PROMO'), userFilter(attributeBetween('size', 5, 9))), require(attributeHistogram(20, 'size')))",
@@ -262,8 +332,65 @@ CASES: dict[str, Case] = {
         SELECT g.group_pk, bucket, threshold::DECIMAL(20,4) AS threshold, count(DISTINCT pk) AS occurrences FROM grid g LEFT JOIN v ON v.group_pk = g.group_pk AND value >= threshold AND (upto IS NULL OR value < upto) GROUP BY 1, 2, 3""",
         _extra("referenceHistogram:suppliers:quantity", "group_pk", "bucket", *_BUCKETS[1:3]),
     ),
-    "histogram_optimized": Case("query(collection('product'), require(attributeHistogram(20, OPTIMIZED, 'size')))", None, _extra("attributeHistogram:size", *_BUCKETS)),
-    "histogram_equalized": Case("query(collection('product'), require(attributeHistogram(10, EQUALIZED, 'list_price')))", None, _extra("attributeHistogram:list_price", *_BUCKETS)),
+    "histogram_optimized": Case(
+        "query(collection('product'), filterBy(attributeLessThan('list_price', 915)), require(attributeHistogram(20, OPTIMIZED, 'list_price')))",
+        """, v AS (SELECT pk, list_price::DECIMAL(20,4) AS value FROM live WHERE list_price < 915),
+        ends AS (SELECT min(value) AS lo, max(value) AS hi, count(DISTINCT pk) AS total FROM v WHERE value IS NOT NULL),
+        tries AS (SELECT n, count(DISTINCT least(floor((value - lo)::DOUBLE * n / (hi - lo)::DOUBLE + 1e-9), n - 1)) AS filled FROM (SELECT DISTINCT value FROM v), ends, range(1, 21) t(n) WHERE lo < hi GROUP BY n),
+        best AS (SELECT coalesce(max(n), 1) AS n FROM tries WHERE n - filled <= greatest(1, n // 5) AND (n < 3 OR filled > 1)),
+        grid AS (SELECT i::INTEGER AS bucket, (lo::DOUBLE + (hi - lo)::DOUBLE * i / n)::DECIMAL(20,6) AS threshold, total FROM ends, best, range(20) t(i) WHERE i < n),
+        placed AS (SELECT pk, (SELECT max(bucket) FROM grid WHERE threshold <= value) AS bucket FROM v)
+        SELECT bucket, threshold::DECIMAL(20,4) AS threshold, count(DISTINCT pk) AS occurrences, round(100.0 * count(DISTINCT pk) / any_value(total), 2)::DOUBLE AS relative_frequency FROM grid LEFT JOIN placed USING (bucket) GROUP BY bucket, threshold""",
+        _extra("attributeHistogram:list_price", *_BUCKETS),
+    ),
+    "histogram_equalized": Case(
+        "query(collection('product'), require(attributeHistogram(10, EQUALIZED, 'list_price')))",
+        """, v AS (SELECT list_price AS value, count(*) AS k FROM live GROUP BY 1),
+        runs AS (SELECT value, k, sum(k) OVER (ORDER BY value) AS after, lead(value) OVER (ORDER BY value) AS next, sum(k) OVER () AS total FROM v),
+        cuts AS (SELECT i, CASE WHEN i = 0 THEN value ELSE round(value + (coalesce(next - value, 0))::DOUBLE * (total * i / 10.0 - (after - k)) / k, 2) END::DECIMAL(20,6) AS threshold
+          FROM runs, range(10) t(i) WHERE total * i / 10.0 >= after - k AND total * i / 10.0 < after),
+        grid AS (SELECT row_number() OVER (ORDER BY threshold)::INTEGER - 1 AS bucket, threshold FROM (SELECT DISTINCT threshold FROM cuts))
+        SELECT bucket::INTEGER AS bucket, threshold::DECIMAL(20,4) AS threshold, (SELECT count(*) FROM live WHERE list_price >= g.threshold AND list_price < coalesce((SELECT min(threshold) FROM grid h WHERE h.bucket > g.bucket), 1e9)) AS occurrences FROM grid g""",
+        _extra("attributeHistogram:list_price", *_BUCKETS[:3]),
+    ),
+    "histograms_of_all_references": Case(
+        "query(collection('product'), filterBy(attributeLessThan('size', 20)), require(referenceSummaryWithHistograms(COUNTS, histogramStatistics(4, 'lines'))))",
+        """, v AS (SELECT DISTINCT group_pk, pk, lines AS value FROM supply WHERE pk IN (SELECT pk FROM live WHERE size < 20)),
+        ends AS (SELECT group_pk, min(value)::DOUBLE AS lo, max(value)::DOUBLE AS hi FROM v GROUP BY 1),
+        grid AS (SELECT group_pk, i::INTEGER AS bucket, (lo + (hi - lo) * i / 4)::DECIMAL(20,6) AS threshold, lead(threshold) OVER (PARTITION BY group_pk ORDER BY i) AS upto FROM ends, range(4) t(i) WHERE lo < hi OR i = 0)
+        SELECT g.group_pk, bucket, threshold::DECIMAL(20,4) AS threshold, count(DISTINCT pk) AS occurrences FROM grid g LEFT JOIN v ON v.group_pk = g.group_pk AND value >= threshold AND (upto IS NULL OR value < upto) GROUP BY 1, 2, 3""",
+        _extra("referenceHistogram:suppliers:lines", "group_pk", "bucket", *_BUCKETS[1:3]),
+    ),
+    "histogram_of_a_scope": Case(
+        "query(collection('product'), filterBy(scope(LIVE, ARCHIVED)), require(inScope(ARCHIVED, attributeHistogram(5, 'list_price'))))",
+        ", v AS (SELECT pk, list_price::DECIMAL(20,4) AS value FROM product WHERE scope = 'ARCHIVED')" + _standard("v", 5), _extra("attributeHistogram:list_price", *_BUCKETS),
+    ),
+    "facet_summary_in_order": Case(
+        "query(collection('product'), filterBy(attributeLessThan('size', 30)), require(facetSummaryOfReference('suppliers', COUNTS, filterBy(attributeLessThan('balance', 8000)), filterGroupBy(attributeInSet('name', 'NATION_3', 'NATION_8', 'NATION_12')), orderBy(attributeNatural('balance', DESC)), orderGroupBy(attributeNatural('name', DESC)), entityGroupFetch(attributeContent('name')))))",
+        """, f AS (SELECT s.group_pk, s.ref_pk, count(DISTINCT s.pk) AS count FROM supply s JOIN live USING (pk) WHERE size < 30 GROUP BY 1, 2)
+        SELECT f.group_pk::BIGINT AS group_pk, ref_pk AS facet_pk, count, n.name AS group_name, row_number() OVER (PARTITION BY f.group_pk ORDER BY g.balance DESC, ref_pk) AS place, dense_rank() OVER (ORDER BY n.name DESC) AS group_place
+        FROM f JOIN geo g ON g.pk = ref_pk JOIN geo n ON n.pk = f.group_pk WHERE g.balance < 8000 AND n.name IN ('NATION_3', 'NATION_8', 'NATION_12')""",
+        _extra("referenceSummary:suppliers", "group_pk", "facet_pk", "`count`", "`group`.name AS group_name", "facet_pk_position AS place", "group_pk_position AS group_place"),
+    ),
+    "facet_exclusive": Case(
+        "query(collection('product'), filterBy(attributeLessThan('size', 30), userFilter(facetHaving('brand', entityPrimaryKeyInSet(3)))), require(referenceSummaryOfReference('brand', IMPACT), facetGroupsExclusivity('brand')))",
+        """SELECT ref_pk AS facet_pk, count(*) AS match_count, count(*) - (SELECT count(*) FROM live WHERE size < 30 AND brand = 'Brand#3') AS difference FROM brand_ref JOIN live USING (pk) WHERE size < 30 GROUP BY 1""",
+        _extra("referenceSummary:brand", "facet_pk", "match_count", "difference"),
+    ),
+    "facet_calculation_rules": Case(
+        "query(collection('product'), filterBy(userFilter(facetHaving('suppliers', groupHaving(attributeInSet('name', 'NATION_8', 'NATION_12'))))), require(facetCalculationRules(CONJUNCTION, DISJUNCTION)))",
+        """, sel AS (SELECT DISTINCT group_pk, ref_pk FROM supply WHERE group_pk IN (109, 113)), sizes AS (SELECT group_pk, count(*) AS n FROM sel GROUP BY 1),
+        met AS (SELECT pk, group_pk, count(DISTINCT ref_pk) AS k FROM supply WHERE group_pk IN (109, 113) GROUP BY 1, 2)
+        SELECT DISTINCT live.pk FROM live JOIN met ON met.pk = live.pk JOIN sizes USING (group_pk) WHERE k = n""",
+    ),
+    "facet_rules_inside_or": Case(
+        "query(collection('product'), filterBy(or(facetHaving('brand', entityPrimaryKeyInSet(3, 4)), attributeEquals('size', 1))), require(facetGroupsNegation('brand')))",
+        "SELECT pk FROM live WHERE brand NOT IN ('Brand#3', 'Brand#4') OR size = 1",
+    ),
+    "facet_rules_inside_not": Case(
+        "query(collection('product'), filterBy(not(facetHaving('brand', entityPrimaryKeyInSet(3, 4)))), require(facetGroupsNegation('brand')))",
+        "SELECT pk FROM live WHERE brand IN ('Brand#3', 'Brand#4')",
+    ),
     "facet_counts": Case(
         "query(collection('product'), filterBy(attributeLessThan('size', 30), userFilter(facetHaving('brand', entityPrimaryKeyInSet(3)))), require(referenceSummary(COUNTS)))",
         """, base AS (SELECT pk FROM live WHERE size < 30), f AS (
@@ -297,7 +424,16 @@ CASES: dict[str, Case] = {
         "query(collection('product'), filterBy(userFilter(facetHaving('suppliers', entityPrimaryKeyInSet(1001, 1002, 1003)))), require(facetGroupsDisjunction('suppliers', WITH_DIFFERENT_GROUPS)))",
         "SELECT pk FROM live WHERE pk IN (SELECT pk FROM supply WHERE ref_pk IN (1001, 1002, 1003))",
     ),
-    "facet_children": _match("facetHaving('suppliers', entityPrimaryKeyInSet(101), includingChildren())", "TRUE"),
+    "facet_children": _match("facetHaving('suppliers', entityPrimaryKeyInSet(109), includingChildren())", "pk IN (SELECT pk FROM supply WHERE ref_pk IN (SELECT node FROM closure WHERE ancestor = 109))"),
+    "facet_children_having": Case(
+        "query(collection('product'), filterBy(facetHaving('suppliers', entityPrimaryKeyInSet(4), includingChildrenHaving(attributeLessThan('balance', 4000)))), require(facetGroupsDisjunction('suppliers', WITH_DIFFERENT_GROUPS)))",
+        "SELECT pk FROM live WHERE pk IN (SELECT pk FROM supply WHERE ref_pk IN (SELECT node FROM closure JOIN geo ON geo.pk = node WHERE ancestor = 4 AND distance > 0 AND balance < 4000))",
+    ),
+    "facet_children_except": Case(
+        "query(collection('product'), filterBy(facetHaving('suppliers', entityPrimaryKeyInSet(4), includingChildrenExcept(attributeLessThan('balance', 4000)))), require(facetGroupsConjunction('suppliers')))",
+        """, sel AS (SELECT DISTINCT group_pk, ref_pk FROM supply JOIN closure ON node = ref_pk JOIN geo ON geo.pk = node WHERE ancestor = 4 AND balance >= 4000)
+        SELECT live.pk FROM live WHERE (SELECT count(DISTINCT (s.group_pk, s.ref_pk)) FROM supply s JOIN sel USING (group_pk, ref_pk) WHERE s.pk = live.pk) = (SELECT count(*) FROM sel) AND EXISTS (SELECT 1 FROM sel)""",
+    ),
     "hierarchy_stats_from_root": Case(
         "query(collection('product'), filterBy(attributeLessThan('size', 10), hierarchyWithin('suppliers', attributeEquals('name', 'ASIA'))), require(hierarchyOfReference('suppliers', fromRoot('menu', stopAt(level(2)), statistics(CHILDREN_COUNT, QUERIED_ENTITY_COUNT)))))",
         """, own AS (SELECT DISTINCT pk, ref_pk AS node FROM supply JOIN live USING (pk) WHERE size < 10),
@@ -306,6 +442,27 @@ CASES: dict[str, Case] = {
         SELECT node, level::INTEGER AS level, coalesce(children_count, 0) AS children_count, queried_entity_count FROM (SELECT DISTINCT node, level FROM closure) JOIN q USING (node) LEFT JOIN ch USING (node) WHERE level <= 2""",
         _extra("hierarchy:suppliers:menu", "node", "level", "children_count", "queried_entity_count"),
     ),
+    "hierarchy_stats_complete": Case(
+        "query(collection('product'), filterBy(attributeLessThan('size', 10), hierarchyWithin('suppliers', attributeEquals('name', 'NATION_8')), userFilter(attributeInSet('type', 'PROMO', 'SMALL'))), require(hierarchyOfReference('suppliers', fromRoot('menu', stopAt(level(2)), statistics(COMPLETE_FILTER, QUERIED_ENTITY_COUNT)))))",
+        """, own AS (SELECT DISTINCT pk, ref_pk AS node FROM supply JOIN live USING (pk) WHERE size < 10 AND type IN ('PROMO', 'SMALL') AND pk IN (SELECT pk FROM supply WHERE ref_pk IN (SELECT node FROM closure WHERE ancestor = 109))),
+        q AS (SELECT ancestor AS node, count(DISTINCT pk) AS queried_entity_count FROM closure JOIN own USING (node) GROUP BY 1)
+        SELECT DISTINCT node, queried_entity_count FROM q JOIN closure USING (node) WHERE level <= 2""",
+        _extra("hierarchy:suppliers:menu", "node", "queried_entity_count"),
+    ),
+    "hierarchy_stats_without_itself": Case(
+        "query(collection('product'), filterBy(attributeLessThan('size', 10), userFilter(hierarchyWithin('suppliers', attributeEquals('name', 'NATION_8')), attributeInSet('type', 'PROMO', 'SMALL'))), require(hierarchyOfReference('suppliers', fromRoot('menu', stopAt(level(2)), statistics(COMPLETE_FILTER_EXCLUDING_SELF_IN_USER_FILTER, QUERIED_ENTITY_COUNT)))))",
+        """, own AS (SELECT DISTINCT pk, ref_pk AS node FROM supply JOIN live USING (pk) WHERE size < 10 AND type IN ('PROMO', 'SMALL')),
+        q AS (SELECT ancestor AS node, count(DISTINCT pk) AS queried_entity_count FROM closure JOIN own USING (node) GROUP BY 1)
+        SELECT DISTINCT node, queried_entity_count FROM q JOIN closure USING (node) WHERE level <= 2""",
+        _extra("hierarchy:suppliers:menu", "node", "queried_entity_count"),
+    ),
+    "hierarchy_stats_in_order": Case(
+        "query(collection('product'), require(hierarchyOfReference('suppliers', orderBy(attributeNatural('name', DESC)), fromRoot('menu', stopAt(level(2))))))",
+        """, q AS (SELECT DISTINCT ancestor AS node FROM closure JOIN supply ON ref_pk = node JOIN live USING (pk)),
+        places AS (SELECT pk AS node, row_number() OVER (PARTITION BY parent_pk ORDER BY name DESC, pk) AS place FROM geo)
+        SELECT DISTINCT node, place FROM q JOIN places USING (node) JOIN closure USING (node) WHERE level <= 2""",
+        _extra("hierarchy:suppliers:menu", "node", "place"),
+    ),
     "hierarchy_stats_children": Case(
         "query(collection('product'), filterBy(hierarchyWithin('suppliers', attributeEquals('name', 'ASIA'))), require(hierarchyOfReference('suppliers', children('below', stopAt(distance(1))))))",
         f""", own AS (SELECT DISTINCT pk, ref_pk AS node FROM supply JOIN live USING (pk)), q AS (SELECT ancestor AS node, count(DISTINCT pk) AS queried_entity_count FROM closure JOIN own USING (node) GROUP BY 1)
@@ -388,6 +545,19 @@ def _expressions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("pk", *(column(text, row).alias(k) for k, text in parts.items()))
 
 
+def _expressions_more(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from shelfwise.functions.expressions import column
+
+    df = catalog(spark, sf_dir)["product"].frame
+    row = {"entity": {"attributes": {k: F.col(k) for k in ("size", "list_price", "tags", "validity", "name")}}, "on": F.col("available")}
+    size, price, tags, valid = (f"$entity.attributes['{k}']" for k in ("size", "list_price", "tags", "validity"))
+    parts = {
+        "a": f"{size} != 7 || {size} <= 3", "b": f"ceil({price} / 7) - floor({price} / 7)", "c": f"{size} / 7", "d": f"{price} / {size}", "e": f"{tags}.any(item == 'red') && {tags}.none(item == 'ring')", "f": f"{tags}.all(item != 'blue')",
+        "g": f"{valid}.from ?? -1", "h": f"{valid}?.to ?? -1", "i": f"sqrt({size}) + log({size}) + pow({size}, 3)", "j": "$entity.attributes['name'].entries.size()", "k": f"{tags}.*[item == 'red'].size()", "l": f"({tags} *? 'none')[0]", "m": f"+{size} - -2",
+    }
+    return df.select("pk", *(column(text, row).alias(k) for k, text in parts.items())).withColumn("i", F.round("i", 6))
+
+
 OTHERS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "hierarchy_closure": (_closure, PRELUDE + "SELECT ancestor, node, distance::INTEGER AS distance, level::INTEGER AS level FROM closure"),
     "predecessor_chain": (_chain, "SELECT p_partkey::INTEGER AS pk, row_number() OVER (ORDER BY p_partkey) - 1 AS position FROM part WHERE p_brand = 'Brand#3'"),
@@ -406,6 +576,11 @@ OTHERS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] =
         PRELUDE + """SELECT pk, size % 7 + 6 AS a, size >= 10 AND size <> 12 AS b, coalesce(available, FALSE) AS c, greatest(size, 25) - least(size, 25) AS d, len(tags)::INTEGER AS e, (size > 40) <> (size < 45) AS f,
         CASE WHEN size < 10 THEN size::DOUBLE ELSE round(size / 10.0) * 10 END::DOUBLE AS g FROM product""",
     ),
+    "expressions_more": (
+        _expressions_more,
+        PRELUDE + """SELECT pk, size <> 7 OR size <= 3 AS a, (ceil(list_price / 7) - floor(list_price / 7))::BIGINT AS b, size / 7 AS c, list_price::DOUBLE / size AS d, list_contains(tags, 'red') AND NOT list_contains(tags, 'ring') AS e, NOT list_contains(tags, 'blue') AS f,
+        coalesce(lo, -1) AS g, coalesce(hi, -1) AS h, round(sqrt(size) + ln(size) + pow(size, 3), 6) AS i, (CASE WHEN has_cs THEN 2 ELSE 1 END)::INTEGER AS j, len(tags)::INTEGER AS k, tags[1] AS l, size + 2 AS m FROM product""",
+    ),
 }
 
 

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfwise.catalog import Attribute, Catalog, Collection, Reference
+from shelfwise.catalog import Attribute, Catalog, Collection, Reference, reflected
 
 #: Keys of the tree: regions from 1, nations from 101, suppliers from 1001.
 REGION, NATION, SUPPLIER = 1, 101, 1001
@@ -103,7 +103,8 @@ def catalog(spark: SparkSession, sf_dir: str) -> Catalog:
         },
         prices(lineitem), compounds={"brand_size": (("brand", "ASC", "LAST"), ("size", "DESC", "LAST"))}, associated=("note",),
     )
-    tree = Collection("geo", geo(region, nation, supplier), {"name": Attribute(), "kind": Attribute(), "balance": Attribute("decimal")}, hierarchical=True)
+    back = {"products": reflected(product.references["suppliers"], "product")}
+    tree = Collection("geo", geo(region, nation, supplier), {"name": Attribute(), "kind": Attribute(), "balance": Attribute("decimal")}, back, hierarchical=True)
     brand = Collection("brand", brands, {"name": Attribute(), "priority": Attribute("int")})
     order = Collection(
         "order", order_rows, {"status": Attribute(), "total": Attribute("decimal"), "day": Attribute("date"), "priority": Attribute()},

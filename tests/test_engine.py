@@ -191,7 +191,51 @@ def test_errors(shop, text):
         run(shop, text).page.collect()
 
 
-def test_collection_by_unique_attribute_and_labels(shop):
+def test_collection_by_unique_attribute_and_labels(shop, spark):
     q = Query(shop, "query(head(label('a', 'b')), filterBy(attributeEquals('code', 'z')), require(queryTelemetry(PLAN)))", now=NOW)
     out = q.run()
-    assert q.ctx.collection.name == "item" and [r.pk for r in out.page.collect()] == [3] and "Physical Plan" in out.telemetry["page"] and out.total == 1
+    assert q.ctx.collection.name == "item" and [r.pk for r in out.page.collect()] == [3] and "Physical Plan" in out.telemetry["page"] and out.total == 1 and "timings" not in out.telemetry
+    status = spark.sparkContext._jsc.sc().statusStore()
+    tagged = lambda: sum("a=b" in str(status.job(i).jobTags().toString()) for i in range(status.jobsList(None).size()))
+    before = tagged()
+    assert before > 0  # the count
+    out.page.collect()
+    assert tagged() == before
+    assert [r.pk for r in out.collect()] == [3] and tagged() > before
+    timings = Query(shop, "query(collection('item'), require(queryTelemetry(TIMINGS)))", now=NOW).run().telemetry
+    assert list(timings) == ["timings"]
+
+
+def test_debug(shop):
+    q = "query(collection('item'), filterBy(%s), require(debug(%s)))"
+    some = "or(referenceHaving('node', attributeEquals('priority', 3)), not(attributeEquals('size', 7)), attributeIsNull('code'))"
+    assert Query(shop, q % (some, "VERIFY_ALTERNATIVE_INDEX_RESULTS, PREFER_PREFETCHING"), now=NOW).run().total == 3
+    with pytest.raises(QueryError):
+        run(shop, q % (some, "FASTER"))
+
+
+def test_histogram_having_without_a_name(shop):
+    assert keys(shop, "query(collection('item'), filterBy(histogramHaving('node', 2, 3)))") == [1, 2] == keys(shop, "query(collection('item'), filterBy(histogramHaving('node', 'priority', 2, 3)))")
+
+
+def test_a_summary_of_one_reference_overrides_that_of_all(shop):
+    text = "query(collection('item'), filterBy(attributeIsNotNull('code')), require(referenceSummary(COUNTS%s)%s))"
+    plain = Query(shop, text % ("", ""), now=NOW).run().extras
+    assert set(plain) == {"referenceSummary"} and "match_count" not in plain["referenceSummary"].columns
+    own = Query(shop, text % ("", ", referenceSummaryOfReference('node', IMPACT, filterBy(attributeEquals('name', 'b')))"), now=NOW).run().extras
+    assert [(r.facet_pk, r.match_count) for r in own["referenceSummary"].collect()] == [(3, 1)]
+    drawn = Query(shop, text.replace("referenceSummary(", "referenceSummaryWithHistograms(") % (", histogramStatistics(3, 'priority')", ""), now=NOW).run().extras
+    assert set(drawn) == {"referenceSummary", "referenceHistogram:node:priority"}
+    with pytest.raises(QueryError):
+        Query(shop, text.replace("referenceSummary(", "referenceSummaryWithHistograms(") % (", histogramStatistics(3, 'nothing')", ""), now=NOW).run()
+
+
+def test_deep_trees_have_no_limit(spark):
+    """Each level is checkpointed, so the plan of one doesn't hold those above it."""
+    from shelfwise.operators import hierarchy
+
+    tree = spark.createDataFrame([(i, i - 1 if i else None) for i in range(30)] + [(100, 101), (101, 100)], "node int, parent int")
+    found = hierarchy.expand(tree, hierarchy.roots(tree)).collect()
+    assert sorted((r.node, r.distance) for r in found) == [(i, i) for i in range(30)]
+    up = hierarchy.ascend(tree, spark.createDataFrame([(29,), (3,), (0,), (100,)], "node int")).collect()
+    assert sorted((r.node, r.ancestor, r.distance, r.level) for r in up) == sorted([(29, 29 - d, d, 30) for d in range(1, 30)] + [(3, 3 - d, d, 4) for d in range(1, 4)])

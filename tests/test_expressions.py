@@ -45,3 +45,13 @@ def test_columns_agree_with_the_driver(spark):
 )
 def test_slices(text, total, want):
     assert window(parse(text), total) == Slice(*want)
+
+
+def test_both_forms_divide_alike(spark):
+    """Sixteen places, half up, of large and of fractional operands."""
+    cases = [("1", "3"), ("2", "3"), ("123456789012345", "7"), ("-5", "8"), ("1234567.25", "0.125"), ("0.000001", "3"), ("10", "-6")]
+    row = {"x": F.col("x"), "y": F.col("y")}
+    for a, b in cases:
+        df = spark.createDataFrame([(Decimal(a), Decimal(b))], "x decimal(21,6), y decimal(21,6)")
+        assert df.select(column("$x / $y", row)).first()[0] == evaluate("$x / $y", {"x": Decimal(a), "y": Decimal(b)})
+    assert spark.range(7, 8).select(column("$x / 7", {"x": F.col("id")})).first()[0] == 1
