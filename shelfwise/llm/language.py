@@ -129,9 +129,13 @@ def predict_batch(model: dict, texts: list[str | None]) -> tuple[list[str], np.n
         scores[keep] = posterior
         shown, n = np.zeros(len(keep)), np.zeros(len(keep))
         for idx, begins, plain in found:
-            of = np.repeat(best, np.diff(np.append(begins, len(idx))))
-            shown += np.add.reduceat(model["logp"][idx, of] * plain, begins, dtype=np.float64)
-            n += np.add.reduceat(plain, begins, dtype=np.int64)
+            # As one gather of the plain ones; sums are differences of a running one.
+            at = np.flatnonzero(plain)
+            ends = np.searchsorted(at, np.append(begins, len(idx)))
+            of = np.repeat(best.astype(np.int32), np.diff(ends))
+            total = np.concatenate([[0.0], np.cumsum(model["logp"][idx[at], of], dtype=np.float64)])
+            shown += total[ends[1:]] - total[ends[:-1]]
+            n += np.diff(ends)
         fits[keep] = np.where(n > 0, shown / np.maximum(n, 1) + np.log(model["buckets"]), 0)
     return langs, scores, fits
 

@@ -177,7 +177,7 @@ def likelihood(automaton: list[dict], word: str) -> float:
 #: Characters of candidates by number from 1, and 0 for where a run begins or ends; their classes by number.
 _CHARS = {c: i for i, c in enumerate(CLASSES, 1)}
 _KINDS = {k: i for i, k in enumerate(SIZES)}
-_CHAR, _CLASS = np.zeros(129, dtype=np.int64), np.zeros(129, dtype=np.int64)
+_CHAR, _CLASS = np.zeros(129, dtype=np.uint8), np.zeros(129, dtype=np.uint8)
 for _c, _i in _CHARS.items():
     _CHAR[ord(_c)], _CLASS[ord(_c)] = _i, _KINDS[CLASSES[_c]]
 _N = len(_CHARS) + 1
@@ -190,7 +190,7 @@ class Runs:
         sizes = np.fromiter((len(t or "") + 1 for t in texts), dtype=np.int64, count=len(texts))
         points = np.frombuffer("\n".join([*((t or "") for t in texts), ""]).encode("utf-32-le", "surrogatepass"), dtype="<u4")
         self.first = np.cumsum(sizes) - sizes  # of each text
-        self.points = np.minimum(points, 128).astype(np.int64)
+        self.points = np.minimum(points, 128).astype(np.uint8)
         self.chars = _CHAR[self.points]
         inside = np.concatenate([[False], self.chars > 0, [False]])
         edges = np.flatnonzero(inside[1:] != inside[:-1])
@@ -229,7 +229,7 @@ class Runs:
         at = np.repeat(self.begin - first, n + 1) + np.arange(int((n + 1).sum()))
         before, after = self.chars[at - 1], self.chars[np.minimum(at, len(self.chars) - 1)]
         before[first], after[first + n] = 0, 0
-        return before * _N + after, first
+        return before.astype(np.int32) * _N + after, first
 
 
 def learn(docs: DataFrame, examples: int = EXAMPLES) -> dict:
@@ -237,7 +237,7 @@ def learn(docs: DataFrame, examples: int = EXAMPLES) -> dict:
 
     def look(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(_N * _N, dtype=np.int64)
-        for batch in slices(batches, "text", 2 << 20):
+        for batch in slices(batches, "text", 1 << 20):
             seen = set()
             texts = batch.column("text").to_pylist()
             for text in texts:
@@ -331,7 +331,7 @@ def scan(docs: DataFrame, model: dict, threshold: float = THRESHOLD) -> DataFram
 
     def find(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
-        for batch in slices(batches, "text", 2 << 20):
+        for batch in slices(batches, "text", 1 << 20):
             counts, shas, spans = np.zeros((batch.num_rows, 3), dtype=np.int64), [], []
             for i, (base, every) in enumerate(scorer.spans(batch.column("text").to_pylist(), threshold)):
                 for _, k, _ in base:
@@ -362,7 +362,7 @@ def mask_documents(docs: DataFrame, model: dict, threshold: float = THRESHOLD) -
 
     def replace(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
-        for batch in slices(batches, "text", 2 << 20):
+        for batch in slices(batches, "text", 1 << 20):
             texts = batch.column("text").to_pylist()
             texts = [masked(t, every) if every else t for t, (_, every) in zip(texts, scorer.spans(texts, threshold))]
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == "text" else batch.column(i) for i, c in enumerate(names)], names)
