@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from shelfwise.operators import chains, filters, hierarchy
 from shelfwise.plans.compiler import Query
-from shelfwise.sources import changes
+from shelfwise.sources import changes, mutations
 from shelfwise.sources.tables import catalog
 
 FLAGSHIP = "product_page"
@@ -532,6 +532,18 @@ def _changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return changes.from_events(spark.read.parquet(f"{sf_dir}/events.parquet"))
 
 
+def _mutated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers after the events: errors remove one, signups make one, purchases and views set and clear the segment, clicks set the balance."""
+    e = _changes(spark, sf_dir)
+    kind = F.col("container_name")
+    as_ = lambda **x: F.coalesce(*(F.when(kind == k, v) for k, v in x.items()))
+    rows = e.select(
+        "version", "index", "ts", "area", F.lit("customer").alias("entity_type"), "pk", F.when(kind.isin("error", "view"), "REMOVE").otherwise("UPSERT").alias("operation"),
+        F.when(kind.isin("error", "signup"), "ENTITY").otherwise("ATTRIBUTE").alias("container_type"), as_(purchase="segment", view="segment", click="balance").alias("container_name"), "body",
+    )
+    return mutations.applied(catalog(spark, sf_dir)["customer"], rows).frame.select("pk", "segment", "balance")
+
+
 def _expressions(spark: SparkSession, sf_dir: str) -> DataFrame:
     from shelfwise.functions.expressions import column
 
@@ -571,6 +583,18 @@ OTHERS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] =
         "SELECT pk, body FROM (SELECT user_id::INTEGER AS pk, event_type, value::DECIMAL(12,2)::VARCHAR AS body, row_number() OVER (PARTITION BY user_id ORDER BY date_trunc('minute', ts) DESC, event_id DESC) AS n FROM events) WHERE n = 1 AND event_type <> 'error'",
     ),
     "changes_by_transaction": (lambda s, d: changes.transactions(_changes(s, d)).select("version", "changes", "entities"), "SELECT epoch(date_trunc('minute', ts))::BIGINT AS version, count(*) AS changes, count(DISTINCT user_id) AS entities FROM events GROUP BY 1"),
+    "mutations_applied": (
+        _mutated,
+        """WITH e AS (SELECT user_id::BIGINT AS pk, epoch(date_trunc('minute', ts))::BIGINT AS v, event_id::BIGINT AS i, event_type AS t, value::DECIMAL(12,2) AS value FROM events),
+        gone AS (SELECT pk, v AS gv, i AS gi FROM e WHERE t = 'error' QUALIFY row_number() OVER (PARTITION BY pk ORDER BY v DESC, i DESC) = 1),
+        since AS (SELECT e.* FROM e LEFT JOIN gone USING (pk) WHERE gv IS NULL OR v > gv OR (v = gv AND i > gi)),
+        seg AS (SELECT pk, CASE WHEN t = 'purchase' THEN value::VARCHAR END AS segment FROM since WHERE t IN ('purchase', 'view') QUALIFY row_number() OVER (PARTITION BY pk ORDER BY v DESC, i DESC) = 1),
+        bal AS (SELECT pk, value AS balance FROM since WHERE t = 'click' QUALIFY row_number() OVER (PARTITION BY pk ORDER BY v DESC, i DESC) = 1),
+        base AS (SELECT c_custkey AS pk, c_mktsegment AS segment, c_acctbal::DECIMAL(12,2) AS balance FROM customer)
+        SELECT pk, CASE WHEN seg.pk IS NOT NULL THEN seg.segment WHEN gone.pk IS NULL THEN base.segment END AS segment, CASE WHEN bal.pk IS NOT NULL THEN bal.balance WHEN gone.pk IS NULL THEN base.balance END AS balance
+        FROM (SELECT pk FROM base UNION SELECT pk FROM since) LEFT JOIN base USING (pk) LEFT JOIN seg USING (pk) LEFT JOIN bal USING (pk) LEFT JOIN gone USING (pk)
+        WHERE gone.pk IS NULL OR pk IN (SELECT pk FROM since)""",
+    ),
     "expressions": (
         _expressions,
         PRELUDE + """SELECT pk, size % 7 + 6 AS a, size >= 10 AND size <> 12 AS b, coalesce(available, FALSE) AS c, greatest(size, 25) - least(size, 25) AS d, len(tags)::INTEGER AS e, (size > 40) <> (size < 45) AS f,
