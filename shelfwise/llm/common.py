@@ -184,9 +184,12 @@ def release(spark: SparkSession) -> None:
     """Let Spark's cleaner remove the shuffle files of plans that are done.
 
     It does so when the driver's JVM collects what referred to them, which may be
-    long after; a job of several large shuffles asks for it between them.
+    long after; a job of several large shuffles asks for it between them, and gives
+    the cleaner, which works beside it, a moment before the next writes.
     """
     import gc
+    import time
 
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+    time.sleep(1)

@@ -10,7 +10,8 @@ three steps, each on the regions that the one before leaves open:
 2. An interval bounds by K the shingles in which a pair may differ. The shingle
    universe is cut into K + S pivot sets; a pair differs in K of its projections
    onto them at most, so S are equal, where S is more than a set of that size is
-   likely to have empty ones. A region holds the points with the same projection
+   likely to have empty ones. (A set that can only differ in fewer than K from any
+   that it meets takes as many fewer, the first ones: S of those are equal still.) A region holds the points with the same projection
    onto one pivot set. Empty projections tell nothing apart: a point drops them,
    and must meet others in as many fewer; one with S of them or more keeps them,
    and must meet others once. A point stays in play only while that many of its
@@ -84,8 +85,8 @@ def print_of(s: np.ndarray) -> int:
     return int(np.array([xxhash.xxh3_64_intdigest(s.tobytes())], dtype=U64).view(np.int64)[0]) if len(s) else 0
 
 
-def intervals(size: int, num: int, den: int) -> list[tuple[int, int]]:
-    """The interval of a size and the one below, each as (its first size, K), for similarity num / den."""
+def intervals(size: int, num: int, den: int) -> list[tuple[int, int, int]]:
+    """The interval of a size and the one below, each as (its first size, K, the most that a set of this very size can differ in from one that it meets there), for similarity num / den."""
     low, before, found = 1, None, []
     while True:
         high = low * den // num
@@ -93,7 +94,9 @@ def intervals(size: int, num: int, den: int) -> list[tuple[int, int]]:
             found = [x for x in (before, (low, high)) if x]
             break
         before, low = (low, high), high + 1
-    return [(a, (b + b * den // num) * (den - num) // (den + num)) for a, b in found]
+    differ = lambda x, y: (x + y) * (den - num) // (den + num)
+    # In its own interval it meets larger sets too, in the one below those up to its end.
+    return [(a, differ(b, b * den // num), differ(size, size * den // num if a <= size <= b else b)) for a, b in found]
 
 
 def spare(low: int, k: int) -> int:
@@ -108,16 +111,17 @@ def projections(s: np.ndarray, num: int, den: int, cache: dict) -> tuple[np.ndar
     if size not in cache:
         if len(cache) > 100_000:
             cache.clear()
-        cache[size] = [(low, k + spare(low, k), spare(low, k)) for low, k in intervals(size, num, den) if k]  # k = 0: only equal sets are as near
+        # K = 0: only equal sets are as near. Of the K + S parts a set needs as many more than S as it can differ in, the first ones.
+        cache[size] = [(low, k + spare(low, k), own + spare(low, k), spare(low, k)) for low, k, own in intervals(size, num, den) if k]
     total = np.concatenate([np.zeros(1, dtype=U64), np.cumsum(mixed(s), dtype=U64)])
     out, levels, needs = [], [], []
-    for low, parts, need in cache[size]:
+    for low, parts, first, need in cache[size]:
         # Pivot sets are ranges of the hash, so a sorted set falls into runs.
-        bounds = np.searchsorted((s >> U64(32)) * U64(parts) >> U64(32), np.arange(parts + 1, dtype=U64))
+        bounds = np.searchsorted((s >> U64(32)) * U64(parts) >> U64(32), np.arange(first + 1, dtype=U64))
         sums = total[bounds[1:]] - total[bounds[:-1]]
-        names = np.arange(parts, dtype=U64) + (U64(low) << U64(24))
+        names = np.arange(first, dtype=U64) + (U64(low) << U64(24))
         keep = bounds[1:] > bounds[:-1]
-        none = parts - int(np.count_nonzero(keep))
+        none = first - int(np.count_nonzero(keep))
         if none >= need:
             keep[:], none = True, need - 1
         out.append(mixed(sums[keep] ^ mixed(names[keep])))
@@ -147,27 +151,23 @@ def text_hash(docs: DataFrame) -> Column:
     return F.xxhash64(docs["text"])
 
 
-_DEALT = ["deal", "region", "print", "tag"]
+_DEALT = ["region", "print", "tag"]
+#: Lowest bits of a tag: the region is known to be shared; the row needn't go where its region is gathered.
+KNOWN, AWAY = 1, 2
 
 
 def _dealt(region: np.ndarray, point: np.ndarray, tag: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Rows of a chunk with `deal`, by which they are dealt.
-
-    Of a hot region, as a common passage makes it, one row goes to where the region
-    is gathered; the others, known to be shared, go anywhere.
-    """
-    deal = region.copy()
+    """Rows of a chunk: of a hot region, as a common passage makes it, one row goes to where the region is gathered; the others, known to be shared, go anywhere."""
     _, first, which, times = np.unique(region, return_index=True, return_inverse=True, return_counts=True)
     hot = times[which] > HOT
-    away = hot & (first[which] != np.arange(len(region)))
-    deal[away] = mixed(region[away] ^ point[away].view(U64))
-    columns = [deal.view(np.int64), region.view(np.int64), point, tag + hot]
+    tag = tag + hot * KNOWN
+    tag[hot & (first[which] != np.arange(len(region)))] += AWAY
     for i in range(0, len(region), 1 << 16):
-        yield pa.RecordBatch.from_arrays([pa.array(c[i : i + (1 << 16)]) for c in columns], _DEALT)
+        yield pa.RecordBatch.from_arrays([pa.array(c[i : i + (1 << 16)]) for c in (region.view(np.int64), point, tag)], _DEALT)
 
 
 def _regions(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """A row for each region of each document: region, print, tag (the interval, how many regions a linked set shares, whether the region is known to be shared), and `deal`. In a chunk a set is taken once."""
+    """A row for each region of each document: region, print, tag (the interval, how many regions a linked set shares, and how the row is dealt). In a chunk a set is taken once."""
 
     def find(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict = {}
@@ -180,7 +180,7 @@ def _regions(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
                 if len(s) and p not in seen:
                     seen.add(p)
                     g, level, need = projections(s, num, den, cache)
-                    held.append((g, np.full(len(g), p, dtype=np.int64), level << 17 | need << 1))
+                    held.append((g, np.full(len(g), p, dtype=np.int64), level << 18 | need << 2))
             size += batch.column("text").nbytes
             if size >= CHUNK and held:
                 yield from _dealt(*(np.concatenate(x) for x in zip(*held)))
@@ -202,25 +202,26 @@ def _shared(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
             continue
-        region, point, tag = (batch.column(c).to_numpy() for c in _DEALT[1:])
+        region, point, tag = (batch.column(c).to_numpy() for c in _DEALT)
         if last is not None:
             region, point, tag = (np.concatenate([[x], y]) for x, y in zip(last, (region, point, tag)))
         first = np.concatenate([[True], region[1:] != region[:-1]])
         fresh = first | np.concatenate([[True], point[1:] != point[:-1]])
         region, point, tag, first = region[fresh], point[fresh], tag[fresh], first[fresh]
         group = np.cumsum(first) - 1
-        ok = (np.bincount(group) > 1) | (np.bincount(group, weights=tag & 1) > 0)
+        ok = (np.bincount(group) > 1) | (np.bincount(group, weights=tag & KNOWN) > 0)
         out = ok[group]
-        last = (int(region[-1]), int(point[-1]), int(tag[-1]) | int(ok[-1]))
+        last = (int(region[-1]), int(point[-1]), int(tag[-1]) | KNOWN * int(ok[-1]))
         if given:
             out[0] = False
         given = bool(ok[-1])
-        yield pa.RecordBatch.from_arrays([pa.array(region[out]), pa.array(point[out]), pa.array(tag[out] >> 17), pa.array(tag[out] >> 1 & 0xFFFF)], ["region", "print", "level", "need"])
+        yield pa.RecordBatch.from_arrays([pa.array(region[out]), pa.array(point[out]), pa.array(tag[out] >> 18), pa.array(tag[out] >> 2 & 0xFFFF)], ["region", "print", "level", "need"])
 
 
 def _gathered(rows: DataFrame) -> DataFrame:
     """(region, print, level, need) of dealt rows whose region has two points at least."""
-    rows = rows.repartition(partitions(rows.sparkSession), "deal").sortWithinPartitions("region", "print", F.col("tag").desc())
+    to = F.when(F.col("tag").bitwiseAND(AWAY) > 0, F.xxhash64("region", "print")).otherwise(F.col("region"))
+    rows = rows.repartition(partitions(rows.sparkSession), to).sortWithinPartitions("region", "print", F.col("tag").desc())
     return rows.mapInArrow(_shared, "region long, print long, level long, need long")
 
 
@@ -249,13 +250,12 @@ def _covered(sets: DataFrame, num: int, den: int) -> DataFrame:
 
 def _meeting(members: DataFrame) -> DataFrame:
     """`members` without points of which too few projections meet another point, and regions with one point then."""
-    for _ in range(2):
-        here = members.groupBy("print", "level").agg(F.count("region").alias("equal"), F.max("need").alias("need")).where("equal >= need").select("print", "level")
-        left = members.join(here, ["print", "level"], "left_semi")
-        full = left.groupBy("region").agg(F.min("print").alias("pivot"), F.max("print").alias("other")).where("pivot < other").select("region")
-        before, members = members, settle(left.join(full, "region", "left_semi"), "jaccard-meeting")
-        forget(before)
-    return members
+    here = members.groupBy("print", "level").agg(F.count("region").alias("equal"), F.max("need").alias("need")).where("equal >= need").select("print", "level")
+    left = members.join(here, ["print", "level"], "left_semi")
+    full = left.groupBy("region").agg(F.min("print").alias("pivot"), F.max("print").alias("other")).where("pivot < other").select("region")
+    out = settle(left.join(full, "region", "left_semi"), "jaccard-meeting")
+    forget(members)
+    return out
 
 
 def _cells(members: DataFrame) -> DataFrame:
