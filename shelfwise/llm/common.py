@@ -181,15 +181,19 @@ def checked_broadcast(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner remove the shuffle files of plans that are done.
+    """Let go of what plans that are done have left: shuffle files, and the heaps that grew by them.
 
-    It does so when the driver's JVM collects what referred to them, which may be
-    long after; a job of several large shuffles asks for it between them, and gives
-    the cleaner, which works beside it, a moment before the next writes.
+    Spark's cleaner removes the files when the driver's JVM collects what referred
+    to them, which may be long after; a job of several large shuffles asks for it
+    between them, and gives the cleaner, which works beside it, a moment before the
+    next writes. Executors' heaps are collected as well, so that the Python workers
+    beside them find that memory free again.
     """
     import gc
     import time
 
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+    cores = spark.sparkContext.defaultParallelism
+    spark.range(0, cores, 1, cores).selectExpr("java_method('java.lang.System', 'gc')").collect()
     time.sleep(1)

@@ -59,7 +59,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfwise.llm.common import U64, checked_broadcast, forget, mixed, partitions, release, settle, shingles, slices, word_hashes
+from shelfwise.llm.common import U64, checked_broadcast, forget, mixed, partitions, release, settle, shingles, slices, trim, word_hashes
 from shelfwise.llm.components import components
 
 #: Least number of projections that linked sets share.
@@ -216,6 +216,7 @@ def _shared(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             out[0] = False
         given = bool(ok[-1])
         yield pa.RecordBatch.from_arrays([pa.array(region[out]), pa.array(point[out]), pa.array(tag[out] >> 18), pa.array(tag[out] >> 2 & 0xFFFF)], ["region", "print", "level", "need"])
+    trim()
 
 
 def _gathered(rows: DataFrame) -> DataFrame:
@@ -241,6 +242,7 @@ def _covered(sets: DataFrame, num: int, den: int) -> DataFrame:
                 point = np.repeat(batch.column("print").to_numpy()[begin:end], pc.list_value_length(some).to_numpy())
                 yield from _dealt(e.view(U64), point, np.zeros(len(e), dtype=np.int64))
                 begin = end
+        trim()
 
     elements = sets.mapInArrow(find, ", ".join(f"{c} long" for c in _DEALT))
     times = _gathered(elements).groupBy("print").agg(F.count(F.lit(1)).alias("shared"))
@@ -391,7 +393,9 @@ def join(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100) -> tuple[Da
     open_ = settle(first.where("not linked").select("pivot").distinct(), "jaccard-open")
     rest = _rest(first.join(checked_broadcast(open_), "pivot", "left_semi"), num, den)
     links = first.where("linked").select(F.col("pivot").alias("a"), F.col("print").alias("b"))
-    return points, components(links.unionByName(rest))
+    roots = components(links.unionByName(rest))
+    release(docs.sparkSession)
+    return points, roots
 
 
 def _named(points: DataFrame, roots: DataFrame, least: Column) -> DataFrame:

@@ -46,7 +46,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfwise.llm.common import U64, mixed, partitions, release, settle, slices
+from shelfwise.llm.common import U64, mixed, partitions, release, settle, slices, trim
 
 DEPTH = 100
 GRAM = 36
@@ -223,6 +223,7 @@ def _lots(batches: Iterable[pa.RecordBatch], by: str) -> Iterator[pa.Table]:
             most, most_bytes = max(LOT, 2 * rows), max(LOT_BYTES, 2 * size)  # a group larger than a lot is looked at again when it has doubled
     if held:
         yield pa.Table.from_batches(held)
+    trim()
 
 
 _RESOLVED = ["key", "place", "one", "state"]
