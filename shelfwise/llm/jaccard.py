@@ -16,8 +16,8 @@ three steps, each on the regions that the one before leaves open:
    and must meet others in as many fewer; one with S of them or more keeps them,
    and must meet others once. A point stays in play only while that many of its
    projections meet another point, and while other points in play have as many of
-   its shingles as one that is linked with it must. Regions that share points make
-   a cell.
+   its shingles as one that is linked with it must. Regions of one interval that
+   share points make a cell.
 3. The most central point of a cell (whose regions hold most) is its pivot, and
    all points of the cell are measured against it; those within the distance are
    linked to it, and pairs among them are one component already. The cell is then
@@ -261,14 +261,19 @@ def _meeting(members: DataFrame) -> DataFrame:
 
 
 def _cells(members: DataFrame) -> DataFrame:
-    """(print, pivot): the cell of each point, named by its most central point."""
-    regions = members.groupBy("region").agg(F.min("print").alias("a"), F.count(F.lit(1)).alias("times"))
-    steps = settle(members.select("region", F.col("print").alias("b")).join(regions, "region").select("a", "b", "times"), "jaccard-steps")
-    degrees = steps.groupBy(F.col("b").alias("node")).agg(F.sum("times").alias("degree"))
+    """(print, pivot): the cells of each point, named by their most central point.
+
+    A cell lies within one interval of sizes, where its pairs meet, so that cells
+    don't grow together by points that are in two intervals.
+    """
+    nodes = members.select("region", "print", F.xxhash64("print", "level").alias("b"))
+    regions = nodes.groupBy("region").agg(F.min("b").alias("a"), F.count(F.lit(1)).alias("times"))
+    steps = settle(nodes.join(regions, "region").select("a", "b", "print", "times"), "jaccard-steps")
+    degrees = steps.groupBy(F.col("b").alias("node"), "print").agg(F.sum("times").alias("degree"))
     cells = settle(components(steps.select("a", "b")).join(degrees, "node"), "jaccard-degrees")
     # Of equally central points the smallest print.
-    pivots = cells.groupBy("root").agg(F.max_by("node", F.struct("degree", -F.col("node"))).alias("pivot"))
-    out = settle(cells.join(pivots, "root").select(F.col("node").alias("print"), "pivot"), "jaccard-cells")
+    pivots = cells.groupBy("root").agg(F.max_by("print", F.struct("degree", F.bitwise_not("print"))).alias("pivot"))
+    out = settle(cells.join(pivots, "root").select("print", "pivot").distinct(), "jaccard-cells")
     forget(steps, cells)
     return out
 
@@ -292,8 +297,8 @@ def _measured(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
     return both.withColumn("linked", (F.col("n_pivot") + F.col("n") - apart) * den >= (F.col("n_pivot") + F.col("n") + apart) * num)
 
 
-def _rest(measured: DataFrame, num: int, den: int) -> DataFrame:
-    """Links (a, b) between points of a pivot's cell that the pivot doesn't show.
+def _rest(measured: DataFrame, roots: DataFrame, num: int, den: int) -> DataFrame:
+    """Links (a, b) between points of a pivot's cell that the pivot doesn't show; roots: (node, root) of those that pivots show.
 
     With n a point's size, d that of its difference from the pivot, and
     u = (num + den) d - (den - num) n, two points whose differences share o
@@ -306,8 +311,8 @@ def _rest(measured: DataFrame, num: int, den: int) -> DataFrame:
     # The least u of a point that this one can be linked with: by the triangle inequality and the sizes, and if this one is near, because the other isn't.
     most = F.floor(F.col("n") * den / num)
     least = F.greatest(u - 2 * g * most, w - g * most, F.when(F.col("linked"), F.col("n_pivot") * g + 1))
-    root = F.when(F.col("linked"), F.col("pivot")).otherwise(F.col("print"))
-    c = settle(c.select("pivot", "print", "difference", u.alias("u"), least.alias("least"), (~F.col("linked")).alias("far"), root.alias("root")), "jaccard-differences")
+    c = c.join(roots, F.col("print") == F.col("node"), "left").withColumn("root", F.coalesce("root", "print"))
+    c = settle(c.select("pivot", "print", "difference", u.alias("u"), least.alias("least"), (~F.col("linked")).alias("far"), "root"), "jaccard-differences")
 
     def up(x: Column) -> Column:
         """How many shared elements it takes."""
@@ -391,8 +396,8 @@ def join(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100) -> tuple[Da
     first = settle(_measured(cells.where("print <> pivot"), sets, num, den), "jaccard-first")
     forget(sets)
     open_ = settle(first.where("not linked").select("pivot").distinct(), "jaccard-open")
-    rest = _rest(first.join(checked_broadcast(open_), "pivot", "left_semi"), num, den)
     links = first.where("linked").select(F.col("pivot").alias("a"), F.col("print").alias("b"))
+    rest = _rest(first.join(checked_broadcast(open_), "pivot", "left_semi"), components(links), num, den)
     roots = components(links.unionByName(rest))
     release(docs.sparkSession)
     return points, roots
