@@ -66,6 +66,13 @@ def closure(tree: DataFrame) -> DataFrame:
     return paths.select(F.posexplode("path").alias("i", "ancestor"), "node", "path").select("ancestor", "node", (F.size("path") - 1 - F.col("i")).alias("distance"), F.size("path").alias("level"), "path")
 
 
+def below(tree: DataFrame, start: DataFrame) -> DataFrame:
+    """The closure of the subtrees of some nodes (node) alone: ancestor, node, distance, level."""
+    tops = ascend(tree, start).select(F.col("node").alias("root"), F.col("level").alias("top")).unionByName(start.join(roots(tree), "node", "left_semi").select(F.col("node").alias("root"), F.lit(1).alias("top"))).distinct()
+    paths = expand(tree, start).join(tops, "root").select("node", "path", (F.col("top") + F.size("path") - 1).alias("level"))
+    return paths.select(F.posexplode("path").alias("i", "ancestor"), "node", "path", "level").select("ancestor", "node", (F.size("path") - 1 - F.col("i")).alias("distance"), "level").distinct()
+
+
 def ascend(tree: DataFrame, start: DataFrame) -> DataFrame:
     """(node, ancestor, distance, level): what lies above each start node (node) that a root can be reached from, the node's own level with it."""
     edges = tree.select(F.col("node").alias("__n"), F.col("parent").alias("__p"))

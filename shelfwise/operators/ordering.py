@@ -166,11 +166,8 @@ def reference_keys(ctx: Context, c: Constraint) -> DataFrame:
         order = None
         if traverse and traverse.children:
             o = Orderer(target, target.rows())
-            first = traverse.children[0]
-            if len(traverse.children) > 1 or first.name not in ("attributeNatural", "entityPrimaryKeyNatural"):
-                raise QueryError("a traversal is ordered by one attribute or the primary key")
-            (column, down, _), *_ = o.clause(first)[0]
-            ranked = o.df.select(F.col("pk").alias("node"), F.row_number().over(Window.partitionBy("parent_pk").orderBy(column.desc_nulls_last() if down else column.asc_nulls_last(), "pk")).alias("place"))
+            keys = o.keys(traverse.children)
+            ranked = o.df.select(F.col("pk").alias("node"), F.row_number().over(Window.partitionBy("parent_pk").orderBy(*keys)).alias("place"))
             tree, order = tree.join(ranked, "node"), F.struct("place")
         places = hierarchy.sorted_paths(tree, order, mode)
         refs = reference.frame.join(places, F.col("ref_pk") == F.col("node"))

@@ -38,7 +38,13 @@ def compute(ctx: Context, output: Constraint, pivot: DataFrame | None, owned: Da
     if within is not None:
         tree = tree.join(within, "node", "left_semi")
         tree = tree.join(tree.select(F.col("node").alias("__p")), F.col("parent") == F.col("__p"), "left").withColumn("parent", F.col("__p")).drop("__p")
-    closure = hierarchy.closure(tree)
+    start = None
+    if output.name == "fromNode":
+        start = filters.entities(ctx, output.child("node").child("filterBy").children).select(F.col("pk").alias("node"))
+    elif output.name == "children":
+        start = pivot
+    # Of parts of a tree only their nodes are opened; parents and siblings of a node, and the whole tree, count what lies below the roots.
+    closure = hierarchy.closure(tree) if start is None else hierarchy.below(tree, start)
     entities = closure.join(owned, "node").groupBy(F.col("ancestor").alias("node")).agg(F.count_distinct("pk").alias("queried_entity_count"))
     levels = closure.where("distance = 0").select("node", "level").join(tree, "node")
     every = levels.join(entities, "node", "left").fillna(0, ["queried_entity_count"])
@@ -50,8 +56,7 @@ def compute(ctx: Context, output: Constraint, pivot: DataFrame | None, owned: Da
     if output.name == "fromRoot":
         base = closure.where("distance = 0").select("node", (F.col("level") - 1).alias("distance"), "level")
     elif output.name == "fromNode":
-        start = filters.entities(ctx, output.child("node").child("filterBy").children).select(F.col("pk").alias("ancestor"))
-        base = closure.join(start, "ancestor", "left_semi").select("node", "distance", "level")
+        base = closure.join(start.select(F.col("node").alias("ancestor")), "ancestor", "left_semi").select("node", "distance", "level")
     else:
         if pivot is None:
             raise QueryError(f"{output.name} needs a hierarchyWithin in the filter")

@@ -85,6 +85,7 @@ def test_trees(shop):
     [
         ("attributeNatural('size', DESC)", [3, 1, 2, 5]), ("attributeNatural('size'), attributeNatural('code', DESC)", [1, 3, 2, 5]), ("entityPrimaryKeyExact(3, 5)", [3, 5, 1, 2]), ("attributeSetExact('code', 'z', 'x')", [3, 1, 2, 5]),
         ("referenceProperty('node', attributeNatural('priority'))", [1, 2, 3, 5]), ("referenceProperty('node', traverseByEntityProperty(BREADTH_FIRST, attributeNatural('rank')), attributeNatural('priority'))", [3, 1, 2, 5]),
+        ("referenceProperty('node', traverseByEntityProperty(BREADTH_FIRST, attributeSetExact('name', 'b'), attributeNatural('name', DESC)), attributeNatural('priority'))", [3, 1, 2, 5]),
         ("referenceProperty('node', pickFirstByEntityProperty(attributeNatural('rank', DESC)), attributeNatural('priority', DESC))", [2, 1, 3, 5]),
         ("segments(segment(entityHaving(attributeIsNull('size')), orderBy(entityPrimaryKeyNatural(DESC)), limit(1)), segment(orderBy(attributeNatural('size', DESC))))", [5, 3, 1, 2]),
     ],
