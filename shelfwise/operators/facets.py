@@ -7,8 +7,9 @@ can be set for a query, and for single groups.
 Impact is worked out for all facets at once: an entity's state under the current
 selection is how many units of it (a group, or all groups joined by "or") it fails;
 adding a facet can only help entities that fail nothing else than its own unit.
-What is said of the selection as a whole - its units, how many entities satisfy it -
-is a scalar subquery, so nothing runs before the result does.
+The facets of the entities that count, and those that are selected, are
+checkpointed once, as each is needed several times; what is said of the selection as
+a whole - its units, how many entities satisfy it - is a scalar subquery.
 
 A selection that no facet answers to is satisfied by no entity.
 """
@@ -23,6 +24,7 @@ from pyspark.sql import functions as F
 from shelfwise.constraints import Constraint, QueryError
 from shelfwise.operators import filters, hierarchy
 from shelfwise.operators.context import Context
+from shelfwise.scratch import checkpointed
 
 DISJUNCTION, CONJUNCTION, NEGATION, EXCLUSIVITY = "DISJUNCTION", "CONJUNCTION", "NEGATION", "EXCLUSIVITY"
 IN_GROUP, BETWEEN = "WITH_DIFFERENT_FACETS_IN_GROUP", "WITH_DIFFERENT_GROUPS"
@@ -94,17 +96,17 @@ def chosen(ctx: Context, c: Constraint) -> DataFrame:
     return facet_rows(ctx, name).join(picked, "ref_pk", "left_semi").select("group_pk", "ref_pk").distinct()
 
 
-def _states(ctx: Context, c: Constraint, rules: Rules) -> tuple[DataFrame, DataFrame]:
-    """Groups of a selection (group_pk, relation, n, unit, negated), and entities that satisfy one (pk, group_pk, unit)."""
+def _states(ctx: Context, c: Constraint, rules: Rules, picked: DataFrame | None = None, facets: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Groups of a selection (group_pk, relation, n, unit, negated), and entities that satisfy one (pk, group_pk, unit); picked and facets, if they are at hand."""
     name = c.values[0]
-    picked = chosen(ctx, c)
+    picked = chosen(ctx, c) if picked is None else picked
     groups = picked.groupBy("group_pk").agg(F.count_distinct("ref_pk").alias("n"))
     groups = rules.relation(ctx, name, IN_GROUP, groups)
     between = rules.relation(ctx, name, BETWEEN, groups.select("group_pk")).withColumnRenamed("relation", "between")
     groups = groups.join(between, "group_pk")
     negated = (F.col("relation") == NEGATION) | (F.col("between") == NEGATION)
     groups = groups.withColumn("negated", negated).withColumn("unit", F.when(F.col("between") == DISJUNCTION, F.lit(_ANY)).otherwise(F.col("group_pk")))
-    hits = facet_rows(ctx, name).join(picked, ["group_pk", "ref_pk"], "left_semi").groupBy("pk", "group_pk").agg(F.count_distinct("ref_pk").alias("k"))
+    hits = (facet_rows(ctx, name) if facets is None else facets).join(picked, ["group_pk", "ref_pk"], "left_semi").groupBy("pk", "group_pk").agg(F.count_distinct("ref_pk").alias("k"))
     hits = hits.join(groups, "group_pk")
     good = F.when(F.col("negated"), F.lit(True)).when(F.col("relation") == CONJUNCTION, F.col("k") == F.col("n")).otherwise(F.lit(True))
     return groups, hits.where(good).select("pk", "group_pk", "unit", "negated")
@@ -124,9 +126,9 @@ def _units(groups: DataFrame) -> Column:
     return units.agg(F.when(F.count(F.lit(1)) > 0, wanted).alias("wanted")).scalar()
 
 
-def unmet(ctx: Context, c: Constraint, rules: Rules, entities: DataFrame) -> DataFrame:
+def unmet(ctx: Context, c: Constraint, rules: Rules, entities: DataFrame, picked: DataFrame | None = None, facets: DataFrame | None = None) -> DataFrame:
     """`entities` (pk) with how many units of the selection each fails (null if there is no facet to satisfy), and one that it fails."""
-    groups, hits = _states(ctx, c, rules)
+    groups, hits = _states(ctx, c, rules, picked, facets)
     held = hits.groupBy("pk").agg(F.collect_set(F.when(~F.col("negated"), F.col("unit"))).alias("has"), F.collect_set(F.when(F.col("negated"), F.col("unit"))).alias("bad"))
     none = F.array().cast("array<bigint>")
     out = entities.join(held, "pk", "left").withColumn("wanted", _units(groups))
@@ -141,16 +143,15 @@ def summary(ctx: Context, name: str, mandatory: DataFrame, others: DataFrame, se
     mandatory: (pk) by the filter without its user part, the base of the counts;
     others: (pk) by the whole filter but for the selection on this reference.
     """
-    facets = facet_rows(ctx, name)
+    facets = checkpointed(facet_rows(ctx, name).join(mandatory.select("pk"), "pk", "left_semi"))
+    picked = None if selection is None else checkpointed(chosen(ctx, selection))
     # One pass over the facets of the entities that count, with their state under the selection.
     state = mandatory.select("pk")
     if impact:
-        now = unmet(ctx, selection, rules, others.select("pk")) if selection is not None else others.select("pk", F.lit(0).alias("unmet"), F.lit(None).cast("bigint").alias("failed"))
+        now = unmet(ctx, selection, rules, others.select("pk"), picked, facets) if selection is not None else others.select("pk", F.lit(0).alias("unmet"), F.lit(None).cast("bigint").alias("failed"))
         state = state.join(now, "pk", "left")
-    else:
-        state = state.withColumn("unmet", F.lit(None).cast("int")).withColumn("failed", F.lit(None).cast("bigint"))
     groups = facets.select("group_pk").distinct()
-    rows = facets.join(state, "pk")
+    rows = facets.join(state, "pk") if impact else facets.withColumn("unmet", F.lit(None).cast("int")).withColumn("failed", F.lit(None).cast("bigint"))
     if impact:
         related = rules.relation(ctx, name, IN_GROUP, groups).join(rules.relation(ctx, name, BETWEEN, groups).withColumnRenamed("relation", "between"), "group_pk")
         related = related.withColumn("unit", F.when(F.col("between") == DISJUNCTION, F.lit(_ANY)).otherwise(F.col("group_pk")))
@@ -159,17 +160,17 @@ def summary(ctx: Context, name: str, mandatory: DataFrame, others: DataFrame, se
         rows = rows.withColumn("unit", F.lit(None).cast("bigint"))
     kept = ["group_pk", "ref_pk", *(["relation", "between", "unit"] if impact else [])]
     sums = rows.groupBy(*kept).agg(F.count(F.lit(1)).alias("count"), F.count_if(F.col("unmet") == 0).alias("met"), F.count_if((F.col("unmet") == 1) & (F.col("failed") == F.col("unit"))).alias("gained"))
-    by_group = facets.join(mandatory.select("pk"), "pk", "left_semi").groupBy("group_pk").agg(F.count_distinct("pk").alias("group_count"))
+    by_group = facets.groupBy("group_pk").agg(F.count_distinct("pk").alias("group_count"))
     out = sums.join(by_group, "group_pk")
     if selection is not None:
-        mark = chosen(ctx, selection).select("group_pk", "ref_pk", F.lit(True).alias("requested"))
+        mark = picked.select("group_pk", "ref_pk", F.lit(True).alias("requested"))
         out = out.join(mark, ["group_pk", "ref_pk"], "left").withColumn("requested", F.coalesce("requested", F.lit(False)))
     else:
         out = out.withColumn("requested", F.lit(False))
     if impact:
         out = out.withColumn("base", state.agg(F.count_if(F.col("unmet") == 0)).scalar())
         base = F.col("base")
-        active = _units(_states(ctx, selection, rules)[0]) if selection is not None else F.array().cast("array<bigint>")
+        active = _units(_states(ctx, selection, rules, picked, facets)[0]) if selection is not None else F.array().cast("array<bigint>")
         out = out.withColumn("is_active", F.coalesce(F.array_contains(active, F.col("unit")), F.lit(False)))
         negated = (F.col("relation") == NEGATION) | (F.col("between") == NEGATION)
         exclusive = (F.col("relation") == EXCLUSIVITY) | (F.col("between") == EXCLUSIVITY)
