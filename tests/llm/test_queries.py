@@ -85,6 +85,25 @@ def test_pipeline_stages(spark, small, tmp_path):
     assert {r.doc_id for r in docs.select("doc_id").distinct().collect()} == set(before)
 
 
+def test_pipeline_carries_columns_of_any_name(spark, small):
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet(f"{small}/documents.parquet").limit(30)
+    for name in ("score", "lang_pred", "fit", "held_out", "size", "print", "text_hash", "item_id", "spans", "key"):
+        docs = docs.withColumn(name, F.lit(name))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, small)
+        assert out.columns == docs.columns and out.where("score = 'score' and size = 'size' and lang_pred = 'lang_pred'").count() == out.count() > 0
+
+
+def test_pipeline_rejects_text_of_no_learned_language(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    junk = [(10**6 + i, t, None, "x", len(t)) for i, t in enumerate(["xkcd qwrtp zzkj vbnm fghj klmnp qqwx " * 4, "Съешь же ещё этих мягких французских булок", "我能吞下玻璃而不伤身体", "12 34", None or ""])]
+    out = corpus_pipeline.language(spark, docs.unionByName(spark.createDataFrame(junk, docs.schema)), small)
+    ids = {r.doc_id for r in out.collect()}
+    assert not any(i >= 10**6 for i in ids) and ids == {r.doc_id for r in docs.collect() if language.has_letter(r.text)}
+
+
 def test_pipeline_of_nothing(spark, small):
     docs = empty(spark)
     for _, stage in corpus_pipeline.STAGES:
