@@ -197,7 +197,11 @@ def test_collection_by_unique_attribute_and_labels(shop, spark):
     out = q.run()
     assert q.ctx.collection.name == "item" and [r.pk for r in out.page.collect()] == [3] and "Physical Plan" in out.telemetry["page"] and out.total == 1 and "timings" not in out.telemetry
     status = spark.sparkContext._jsc.sc().statusStore()
-    tagged = lambda: sum("a=b" in str(status.job(i).jobTags().toString()) for i in range(status.jobsList(None).size()))
+
+    def tagged():
+        jobs = status.jobsList(None)
+        return sum("a=b" in jobs.apply(i).jobTags().toString() for i in range(jobs.size()))
+
     before = tagged()
     assert before > 0  # the count
     out.page.collect()
