@@ -105,7 +105,8 @@ class WordCache:
         bare = pc.utf8_rtrim(words.dictionary, characters="".join(self.marks))
         marked = pc.and_(pc.equal(pc.subtract(pc.binary_length(words.dictionary), pc.binary_length(bare)), 1), pc.utf8_is_alpha(bare))
         # Words with other than plain Latin letters are looked at one by one.
-        odd = np.flatnonzero(pc.and_(marked, pc.match_substring_regex(bare, "[^A-Za-zªµºÀ-įıĲ-ɏ]")).to_numpy(zero_copy_only=False))
+        odd = np.flatnonzero(pc.and_not(marked, pc.string_is_ascii(bare)).to_numpy(zero_copy_only=False))
+        odd = odd[pc.match_substring_regex(bare.take(pa.array(odd)), "[^A-Za-zªµºÀ-įıĲ-ɏ]").to_numpy(zero_copy_only=False)]
         if len(odd):
             keep = np.ones(len(bare), dtype=bool)
             keep[[i for i, stem in zip(odd.tolist(), bare.take(pa.array(odd)).to_pylist()) if not ends_in_letter(stem)]] = False
