@@ -9,6 +9,36 @@ from shelfwise.constraints import Constraint, QueryError
 from shelfwise.operators import filters, hierarchy
 from shelfwise.operators.context import Context
 
+#: Bytes of input whose entities one task counts, and the pairs of a tree's closure that are broadcast at most.
+TASK_BYTES, BROADCAST_PAIRS = 4 << 20, 2_000_000
+
+
+def _parts(df: DataFrame) -> int:
+    """In how many parts to count, by the size of what is read: they grow in number, not in size, and as a number that is asked for they aren't coalesced."""
+    leaves, spark = df._jdf.queryExecution().optimizedPlan().collectLeaves(), df.sparkSession
+    leaves = [leaves.apply(i) for i in range(leaves.size())]
+    # Rows that are no files have the size that their plan was guessed to have, or none.
+    sizes = [0 if leaf.getClass().getSimpleName() == "LogicalRDD" else int(leaf.stats().sizeInBytes()) for leaf in leaves]
+    known = [size for size in sizes if 0 < size < 2**50]
+    least = int(spark.conf.get("spark.sql.shuffle.partitions")) if len(known) < len(sizes) else spark.sparkContext.defaultParallelism
+    return max(least, -(-sum(known) // TASK_BYTES))
+
+
+def _counts(owned: DataFrame, closure: DataFrame) -> DataFrame:
+    """(node, queried_entity_count): how many entities each node and those below it have.
+
+    A row of `owned` becomes one for each node above it. All of an entity's come into
+    one part before they are told apart, so no task holds a partial result of many
+    entities, and nothing but counts is shuffled after it.
+    """
+    above = closure.groupBy("node").agg(F.collect_set("ancestor").alias("__above"))
+    parts = _parts(owned)
+    if closure.limit(BROADCAST_PAIRS + 1).count() <= BROADCAST_PAIRS:
+        rows = owned.repartition(parts, "pk").join(F.broadcast(above), "node")
+    else:
+        rows = owned.join(above, "node").repartition(parts, "pk")
+    return rows.select("pk", F.explode("__above").alias("node")).groupBy("node").agg(F.count_distinct("pk").alias("queried_entity_count"))
+
 
 def _stop(ctx: Context, output: Constraint, below: DataFrame, closure: DataFrame) -> DataFrame:
     """Rows (node, distance, ...) within stopAt; the node that stops is given, its children aren't."""
@@ -29,7 +59,7 @@ def compute(ctx: Context, output: Constraint, pivot: DataFrame | None, owned: Da
     """output, node, parent, level, children_count, queried_entity_count, for one of fromRoot, fromNode, children, parents, siblings.
 
     ctx: on the tree's collection; pivot: (node) of the filter's hierarchyWithin;
-    owned: (pk, node), the queried entities and the nodes that they belong to;
+    owned: (pk, node), the queried entities and the nodes that they belong to, repeated or not;
     within: (node) to which the filter's having and excluding restrict the tree.
     A node's entities are counted once each however many nodes below have them.
     Nodes without any are left out unless keep_empty.
@@ -45,7 +75,7 @@ def compute(ctx: Context, output: Constraint, pivot: DataFrame | None, owned: Da
         start = pivot
     # Of parts of a tree only their nodes are opened; parents and siblings of a node, and the whole tree, count what lies below the roots.
     closure = hierarchy.closure(tree) if start is None else hierarchy.below(tree, start)
-    entities = closure.join(owned, "node").groupBy(F.col("ancestor").alias("node")).agg(F.count_distinct("pk").alias("queried_entity_count"))
+    entities = _counts(owned, closure)
     levels = closure.where("distance = 0").select("node", "level").join(tree, "node")
     every = levels.join(entities, "node", "left").fillna(0, ["queried_entity_count"])
     shown = every if keep_empty else every.where("queried_entity_count > 0")

@@ -261,7 +261,7 @@ class Query:
         if reference is None:
             owned = df.select("pk", F.col("pk").alias("node"))
         else:
-            refs = self.ctx.collection.reference(reference).frame.select("pk", F.col("ref_pk").alias("node")).distinct()
+            refs = self.ctx.collection.reference(reference).frame.select("pk", F.col("ref_pk").alias("node"))
             owned = refs.join(df.select("pk"), "pk", "left_semi")
         within = pivot = None
         if trees:

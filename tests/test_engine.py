@@ -7,7 +7,7 @@ import pytest
 
 from shelfwise.catalog import Attribute, Catalog, Collection, Reference, reflected
 from shelfwise.constraints import QueryError
-from shelfwise.operators import chains
+from shelfwise.operators import chains, hierarchy, statistics
 from shelfwise.operators.histograms import histogram
 from shelfwise.plans.compiler import Query, run
 
@@ -144,6 +144,15 @@ def test_hierarchy_statistics(shop):
     assert q("query(collection('node'), require(hierarchyOfSelf(fromRoot('m', stopAt(node(filterBy(attributeEquals('name', 'a'))))))))") == {1: (3, 4), 2: (1, 2), 3: (0, 1)}
 
 
+@pytest.mark.parametrize("pairs", [0, 100])
+def test_an_entity_counts_once_at_a_node(spark, monkeypatch, pairs):
+    """However often it has the node, or has nodes below it, by a broadcast tree and by a shuffled one."""
+    monkeypatch.setattr(statistics, "BROADCAST_PAIRS", pairs)
+    tree = spark.createDataFrame([(1, None), (2, 1), (3, 1), (4, 2)], "node int, parent int")
+    owned = spark.createDataFrame([("x", 4), ("x", 4), ("x", 2), ("x", 3), ("y", 1), ("y", 1), ("z", 4), ("z", 99), (None, 3)], "pk string, node int")
+    assert {r.node: r.queried_entity_count for r in statistics._counts(owned, hierarchy.closure(tree)).collect()} == {1: 3, 2: 2, 3: 1, 4: 2}
+
+
 @pytest.mark.parametrize("behaviour", ["STANDARD", "OPTIMIZED", "EQUALIZED"])
 def test_histogram_edges(spark, behaviour):
     schema = "pk int, value decimal(10,2)"

@@ -1,8 +1,11 @@
 """Every registered query against its SQL twin, as the driver does, on the two smaller sets of tables."""
 
+import re
+
 import duckdb
 import pytest
 
+from shelfwise.operators import statistics
 from shelfwise.plans import registry
 from shelfwise.plans.compiler import Query
 from shelfwise.sources.tables import catalog
@@ -81,3 +84,18 @@ def test_a_page_is_fetched_by_its_keys(spark, small):
 
 def test_flagship(spark, small):
     assert registry.queries()[registry.FLAGSHIP](spark, small).count() > 0
+
+
+@pytest.mark.parametrize("name", ["hierarchy_stats_in_order"])
+def test_statistics_are_counted_in_parts_that_do_not_grow(spark, small, monkeypatch, name):
+    """More input makes more parts by entity; no partial result of node and entity is held, nor shuffled."""
+    build = lambda: registry.queries()[name](spark, small)
+    parts = lambda df: [int(n) for n in re.findall(r"hashpartitioning\(\w+#\d+L?, (\d+)\), REPARTITION_BY_NUM", plan(df))]
+    few = build()
+    want = sorted(few.collect())
+    assert not re.search(r"hashpartitioning\((ancestor|node)#\d+, pk#", plan(few))
+    monkeypatch.setattr(statistics, "TASK_BYTES", statistics.TASK_BYTES >> 10)
+    many = build()
+    assert parts(few) and min(parts(many)) > 2 * max(parts(few)) and sorted(many.collect()) == want
+    monkeypatch.setattr(statistics, "BROADCAST_PAIRS", 0)
+    assert sorted(build().collect()) == want
