@@ -86,7 +86,7 @@ def test_flagship(spark, small):
     assert registry.queries()[registry.FLAGSHIP](spark, small).count() > 0
 
 
-@pytest.mark.parametrize("name", ["hierarchy_stats_in_order", "hierarchy_stats_parents"])
+@pytest.mark.parametrize("name", ["hierarchy_stats_in_order", "hierarchy_stats_parents", "hierarchy_stats_siblings"])
 def test_statistics_are_counted_in_parts_that_do_not_grow(spark, small, monkeypatch, name):
     """More input makes more parts by entity; no partial result of node and entity is held, nor shuffled."""
     build = lambda: registry.queries()[name](spark, small)
